@@ -6,21 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text_key
+from millrace.operators.joins import BROADCAST_ROWS, is_small
 from millrace.operators.rules import REASONS, reason_code
+from millrace.session import cut
 
 
 def first_ids(df: DataFrame, text: str, row_id: str) -> DataFrame:
     """(key, id, copies) per distinct text. Only the digest and the id are shuffled, and a
     crowded group is folded map-side."""
-    return (
-        df.groupBy(text_key(F.col(text)).alias("key"))
-        .agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("copies"))
-    )
+    return df.groupBy(text_key(F.col(text)).alias("key")).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("copies"))
 
 
-def drop_copies(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """Keep the first row of each text."""
-    return df.join(first_ids(df, text, row_id).select(row_id), row_id, "left_semi")
+def drop_copies(df: DataFrame, text: str, row_id: str, small: int = BROADCAST_ROWS) -> DataFrame:
+    """Keep the first row of each text.
+
+    Only texts with copies matter. While they are few, however many copies each has,
+    their (key, first id) list is sent to every task and the texts are not shuffled at
+    all; beyond that the surviving ids are joined back.
+    """
+    firsts = first_ids(df, text, row_id)
+    repeated = cut(firsts.where("copies > 1").select(F.col("key").alias("__key"), F.col(row_id).alias("__first")))
+    if is_small(repeated, small):
+        rows = df.withColumn("__key", text_key(F.col(text))).join(F.broadcast(repeated), "__key", "left")
+        return rows.where(F.col("__first").isNull() | (F.col("__first") == F.col(row_id))).drop("__key", "__first")
+    return df.join(firsts.select(row_id), row_id, "left_semi")
 
 
 def drop_seen(df: DataFrame, text: str, row_id: str, seen: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import ratio, score_text
 from millrace.operators.ordered import GROUP_ROWS, numbered
+from millrace.session import cut
 
 
 def problem_verdicts(tests: DataFrame, keys: Sequence[str], passed: str = "passed") -> DataFrame:
@@ -86,8 +87,11 @@ def metric_columns(table: DataFrame, benchmarks: Sequence[str]) -> DataFrame:
 def report_lines(table: DataFrame, title: str, generated_at: str, limit: int = GROUP_ROWS) -> DataFrame:
     """The report as rows (section, group, line_no, line), to be written in that order.
 
-    Section 0 is the head, 1 the ranking per metric, 2 the details per model.
+    Section 0 is the head, 1 the ranking per metric, 2 the details per model. The scores
+    are used several times, so they are written once first.
     """
+    table = cut(table)
+
     def lines(section: int, group: Column, start: Column, texts: list[Column]) -> Column:
         rows = [
             F.struct(F.lit(section).alias("section"), group.alias("group"), (start + i).cast("long").alias("line_no"), t.alias("line"))

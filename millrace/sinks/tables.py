@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import file_key
+from millrace.sources.tables import NULL_TEXT
 
 
 def write_json_splits(df: DataFrame, folder: str, mode: str = "error") -> None:
@@ -18,12 +19,12 @@ def write_parquet_splits(df: DataFrame, folder: str, mode: str = "error") -> Non
 
 
 def write_csv(df: DataFrame, folder: str, mode: str = "error") -> None:
-    """CSV with a header; nested columns become JSON text."""
+    """CSV with a header; nested columns become JSON text, nulls a marker of their own."""
     nested = (T.StructType, T.MapType, T.ArrayType)
     flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema]
     (
         df.select(*flat).write.mode(mode).option("header", True).option("quoteAll", True)
-        .option("quote", '"').option("escape", '"').option("emptyValue", "")
+        .option("quote", '"').option("escape", '"').option("nullValue", NULL_TEXT)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     )
 

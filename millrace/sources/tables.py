@@ -12,6 +12,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 SPLITS = ("train", "validation", "test")
 CORRUPT = "_corrupt_record"
+NULL_TEXT = "\\N"
+"""How a null is written in CSV, where it must differ from an empty text."""
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,5 +72,6 @@ def read_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFram
     """CSV as `write_csv` leaves it: quoted, with line breaks inside fields."""
     return (
         spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(folder)
+        .option("quote", '"').option("escape", '"').option("nullValue", NULL_TEXT).option("emptyValue", "")
+        .option("lineSep", "\n").csv(folder)
     )
