@@ -9,6 +9,8 @@ comparing each row with the cut: no row-level shuffle at all.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,37 +22,33 @@ from millrace.session import cut
 BUCKET_BITS = 16
 
 
-def rank_cuts(
-    df: DataFrame, by: Sequence[str], row_id: str, seed: int | str, ranks: DataFrame | Sequence[tuple[str, int]]
-) -> DataFrame:
-    """Shuffle key and id of the row at each wanted rank.
+def _keyed(df: DataFrame, by: Sequence[str], row_id: str, seed: int | str) -> DataFrame:
+    keyed = df.select(*by, F.col(row_id).alias("__id"), shuffle_key(seed, F.col(row_id)).alias("__key"))
+    return keyed.withColumn("__bucket", F.shiftright("__key", KEY_BITS - BUCKET_BITS))
+
+
+def _placed(inside: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Row numbers within the few buckets that hold a cut."""
+    return inside.withColumn("__rn", F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__key", "__id")))
+
 
-    `ranks` is a table (by..., cut, rank), or a list of (cut, rank) when there are no
-    strata. The result (by..., cut, cut_key, cut_id) lacks the cuts whose rank is
-    beyond the stratum. `row_id` must be unique.
+def rank_cuts(df: DataFrame, by: Sequence[str], row_id: str, seed: int | str, ranks: DataFrame, small: bool) -> DataFrame:
+    """Shuffle key and id of the row at the wanted rank of each stratum.
+
+    `ranks` holds (by..., rank) and `small` says whether it may be broadcast. The result
+    (by..., cut_key, cut_id) lacks the strata that have fewer rows. `row_id` must be unique.
     """
-    keyed = df.select(*by, F.col(row_id).alias("__id"), shuffle_key(seed, F.col(row_id)).alias("__key"))
-    keyed = keyed.withColumn("__bucket", F.shiftright("__key", KEY_BITS - BUCKET_BITS))
+    keyed = _keyed(df, by, row_id, seed)
     counts = keyed.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket"))
     buckets = counts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__n"))
     holds = (F.col("rank") > F.col("__before")) & (F.col("rank") <= F.col("__upto"))
-    if by:
-        small = is_small(ranks)
-        wanted = buckets.join(ranks, list(by)).where(holds)
-    else:
-        small = True
-        listed = F.array(*[F.struct(F.lit(cut).alias("cut"), F.lit(rank).alias("rank")) for cut, rank in ranks])
-        wanted = buckets.withColumn("__want", F.explode(listed)).select("*", "__want.*").where(holds)
-    wanted = wanted.select(*by, "__bucket", "cut", (F.col("rank") - F.col("__before")).alias("__place"))
-    if small:
-        wanted = F.broadcast(wanted)
-    inside = keyed.join(wanted.select(*by, "__bucket").distinct(), [*by, "__bucket"], "left_semi")
-    place = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy("__key", "__id"))
-    found = inside.withColumn("__rn", place).join(wanted, [*by, "__bucket"])
-    return found.where("__rn = __place").select(
-        *by, "cut", F.col("__key").alias("cut_key"), F.col("__id").alias("cut_id")
-    )
+    wanted = buckets.join(ranks, list(by)).where(holds)
+    wanted = wanted.select(*by, "__bucket", (F.col("rank") - F.col("__before")).alias("__place"))
+    # one row per stratum on the right, so the join only picks the buckets
+    inside = keyed.join(F.broadcast(wanted) if small else wanted, [*by, "__bucket"])
+    found = _placed(inside, by).where("__rn = __place")
+    return found.select(*by, F.col("__key").alias("cut_key"), F.col("__id").alias("cut_id"))
 
 
 def not_after(seed: int | str, row_id: str, cut_key: Column, cut_id: Column) -> Column:
@@ -64,11 +62,10 @@ def take_quota(df: DataFrame, by: Sequence[str], quotas: DataFrame, row_id: str,
 
     A stratum without a quota gives nothing; one with fewer rows gives all it has.
     """
-    wanted = cut(quotas.where("quota > 0").select(*by, "quota"))
-    ranks = wanted.select(*by, F.lit("quota").alias("cut"), F.col("quota").cast("long").alias("rank"))
-    cuts = rank_cuts(df, by, row_id, seed, ranks).drop("cut")
-    limits = cut(wanted.join(cuts, list(by), "left").drop("quota"))
-    rows = attach(df, limits, by, "inner", spread=[row_id])
+    ranks = cut(quotas.where("quota > 0").select(*by, F.col("quota").cast("long").alias("rank")))
+    small = is_small(ranks)
+    limits = cut(ranks.join(rank_cuts(df, by, row_id, seed, ranks, small), list(by), "left").drop("rank"))
+    rows = attach(df, limits, by, "inner", spread=[row_id], known_small=small)
     keep = F.col("cut_key").isNull() | not_after(seed, row_id, F.col("cut_key"), F.col("cut_id"))
     return rows.where(keep).drop("cut_key", "cut_id")
 
@@ -80,18 +77,29 @@ def exact_split(
     seed: int | str = 42,
     column: str = "split",
 ) -> DataFrame:
-    """Label each row with a part. Sizes are floor(n * share); the last part takes the rest."""
-    total = df.count()
-    ranks, upto = [], 0
-    for label, share in shares[:-1]:
-        size = int(total * share)
-        upto += size
-        if size:
-            ranks.append((label, upto))
+    """Label each row with a part. Sizes are floor(n * share); the last part takes the rest.
+
+    Two narrow passes find the cuts (65,536 counts and a handful of rows reach the
+    driver, whatever the size of the table); the labels are then a plain comparison.
+    """
+    keyed = _keyed(df, [], row_id, seed)
+    counts = dict(keyed.groupBy("__bucket").agg(F.count(F.lit(1))).collect())
+    total, upto, ranks = sum(counts.values()), 0, {}
+    for name, share in shares[:-1]:
+        upto += int(total * share)
+        if upto:
+            ranks[name] = upto
+    places, before = {}, 0
+    for bucket in sorted(counts):
+        places |= {n: (bucket, r - before) for n, r in ranks.items() if before < r <= before + counts[bucket]}
+        before += counts[bucket]
     label = F.lit(shares[-1][0])
-    if ranks:
-        found = {r["cut"]: r for r in rank_cuts(df, [], row_id, seed, ranks).collect()}
-        for name, _ in reversed(ranks):
-            hit = not_after(seed, row_id, F.lit(found[name]["cut_key"]), F.lit(found[name]["cut_id"]))
+    if places:
+        inside = _placed(keyed.where(F.col("__bucket").isin([b for b, _ in places.values()])), [])
+        wanted = reduce(or_, [(F.col("__bucket") == b) & (F.col("__rn") == p) for b, p in places.values()])
+        found = {(r["__bucket"], r["__rn"]): r for r in inside.where(wanted).collect()}
+        for name in reversed(places):
+            row = found[places[name]]
+            hit = not_after(seed, row_id, F.lit(row["__key"]), F.lit(row["__id"]))
             label = F.when(hit, F.lit(name)).otherwise(label)
     return df.withColumn(column, label)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text_key
@@ -11,39 +11,52 @@ from millrace.operators.rules import REASONS, reason_code
 from millrace.session import cut
 
 
+def _key(text: str) -> Column:
+    """Digest of a text; all missing texts are one text."""
+    return F.coalesce(text_key(F.col(text)), F.lit(""))
+
+
 def first_ids(df: DataFrame, text: str, row_id: str) -> DataFrame:
     """(key, id, copies) per distinct text. Only the digest and the id are shuffled, and a
     crowded group is folded map-side."""
-    return df.groupBy(text_key(F.col(text)).alias("key")).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("copies"))
+    return df.groupBy(_key(text).alias("key")).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("copies"))
 
 
-def drop_copies(df: DataFrame, text: str, row_id: str, small: int = BROADCAST_ROWS) -> DataFrame:
-    """Keep the first row of each text.
+def _keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small: int) -> DataFrame:
+    """Keep the rows that `firsts(key, id, copies, seen)` names and that are not seen.
 
-    Only texts with copies matter. While they are few, however many copies each has,
-    their (key, first id) list is sent to every task and the texts are not shuffled at
-    all; beyond that the surviving ids are joined back.
+    Only texts that are seen or have copies need a look-up. While those are few, however
+    many copies each has, they are sent to every task and no text is shuffled; beyond
+    that the surviving ids, unique on both sides, are joined back.
     """
-    firsts = first_ids(df, text, row_id)
-    repeated = cut(firsts.where("copies > 1").select(F.col("key").alias("__key"), F.col(row_id).alias("__first")))
-    if is_small(repeated, small):
-        rows = df.withColumn("__key", text_key(F.col(text))).join(F.broadcast(repeated), "__key", "left")
-        return rows.where(F.col("__first").isNull() | (F.col("__first") == F.col(row_id))).drop("__key", "__first")
-    return df.join(firsts.select(row_id), row_id, "left_semi")
+    firsts = cut(firsts)
+    first = F.when(~F.col("seen"), F.col(row_id)).alias("__first")
+    special = firsts.where("seen or copies > 1").select(F.col("key").alias("__key"), first, F.lit(True).alias("__special"))
+    if is_small(special, small):
+        rows = df.withColumn("__key", _key(text)).join(F.broadcast(special), "__key", "left")
+        keep = F.col("__special").isNull() | F.coalesce(F.col("__first") == F.col(row_id), F.lit(False))
+        return rows.where(keep).drop("__key", "__first", "__special")
+    return df.join(firsts.where("not seen").select(row_id), row_id, "left_semi")
+
+
+def drop_copies(df: DataFrame, text: str, row_id: str, small: int = BROADCAST_ROWS) -> DataFrame:
+    """Keep the first row of each text."""
+    return _keep_first(df, text, row_id, first_ids(df, text, row_id).withColumn("seen", F.lit(False)), small)
 
 
-def drop_seen(df: DataFrame, text: str, row_id: str, seen: DataFrame) -> DataFrame:
+def drop_seen(df: DataFrame, text: str, row_id: str, seen: DataFrame, small: int = BROADCAST_ROWS) -> DataFrame:
     """Keep the first row of each text whose key is not in `seen(key)`.
 
-    Both sides of the anti join are unique on the key, so no key is crowded there.
+    Both sides of the key join are unique on the key, so no key is crowded there.
     """
-    fresh = first_ids(df, text, row_id).join(seen.select("key").distinct(), "key", "left_anti")
-    return df.join(fresh.select(row_id), row_id, "left_semi")
+    known = seen.select("key").distinct().withColumn("__known", F.lit(True))
+    firsts = first_ids(df, text, row_id).join(known, "key", "left")
+    return _keep_first(df, text, row_id, firsts.withColumn("seen", F.col("__known").isNotNull()).drop("__known"), small)
 
 
 def outcome_counts(df: DataFrame, text: str, row_id: str, reason: str) -> DataFrame:
     """One row of counters. Copies count once, as duplicates, and meet no other rule."""
-    firsts = df.groupBy(text_key(F.col(text)).alias("key")).agg(
+    firsts = df.groupBy(_key(text).alias("key")).agg(
         F.min_by(reason_code(F.col(reason)), F.col(row_id)).alias("code"), F.count(F.lit(1)).alias("copies")
     )
 
@@ -77,7 +90,7 @@ def outcome_rates(counts: DataFrame) -> DataFrame:
 
 def repeat_rate(df: DataFrame, text: str, target: float = 0.8) -> DataFrame:
     """Share of rows whose normalised text was there before, and whether it meets `target`."""
-    keys = df.groupBy(text_key(F.col(text)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    keys = df.groupBy(_key(text).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     rate = F.col("repeats") / F.greatest(F.col("requests"), F.lit(1))
     return (
         keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"))

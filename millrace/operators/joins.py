@@ -25,6 +25,7 @@ def attach(
     how: str = "left",
     spread: Sequence[str] = (),
     small: int = BROADCAST_ROWS,
+    known_small: bool | None = None,
     hot: int = GROUP_ROWS,
     salts: int = 64,
 ) -> DataFrame:
@@ -33,9 +34,10 @@ def attach(
     A lookup of proven size is broadcast. A larger one is shuffled, and keys with
     more than `hot` rows on the left are spread, by the hash of the `spread` columns
     (all columns when none are named), over `salts` copies of their one lookup row.
-    There are at most rows / `hot` such keys.
+    There are at most rows / `hot` such keys. A caller that has checked the size already
+    says so with `known_small`.
     """
-    if is_small(dim, small):
+    if is_small(dim, small) if known_small is None else known_small:
         return df.join(F.broadcast(dim), list(keys), how)
     crowded = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(*keys, F.lit(salts).alias("__salts"))
