@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.catalog.registry import key_sql, load, norm_sql, query, r6, strip_sql
 from millrace.catalog.texts import part_code
 from millrace.functions.text import contains_any
 from millrace.operators import dedup, rules
 from millrace.operators.ledger import completion, usage_totals
-from millrace.plans.curation import curated_summary
+from millrace.plans.curation import curated_summary, write_curated
+from millrace.session import fresh_folder
+from millrace.sources.tables import read_splits
 
 REASON_SQL = f"""case when length({strip_sql('text')}) < 50 then 'too_short'
                       when length({strip_sql('text')}) > 2048 then 'too_long'
@@ -169,3 +172,18 @@ CURATED_SQL = f"""
 @query(CURATED_SQL)
 def curated(spark, sf):
     return curated_summary(load(spark, sf, "documents")).withColumn("mean_length", r6(F.col("mean_length")))
+
+
+@query(
+    CURATED_SQL[: CURATED_SQL.index("  select case when rn")]
+    + """select a2.doc_id, d.text, case when rn <= n1 then 'train' when rn <= n1 + n2 then 'validation' else 'test' end as split
+         from s a2 join documents d using (doc_id), t"""
+)
+def curated_files(spark, sf):
+    """The build written as JSON lines per split, and read back."""
+    folder = fresh_folder(spark, "curated")
+    events = load(spark, sf, "events")
+    usage = usage_totals(events, F.col("event_type") != "error", F.floor("value"), F.col("value"))
+    write_curated(load(spark, sf, "documents"), usage, folder, "2024-01-31 00:00:00")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    return read_splits(spark, f"{folder}/rows", schema)

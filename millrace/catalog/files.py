@@ -9,10 +9,11 @@ from millrace.catalog.allocation import SPLIT_SQL
 from millrace.catalog.accounts import USAGE, usage_totals
 from millrace.catalog.curation import with_reasons
 from millrace.catalog.registry import load, query, r6
-from millrace.catalog.verdicts import REPORT_SQL, SCORES_SQL, STAMP, score_table
+from millrace.catalog.verdicts import REPORT_SQL, SCORES_SQL, STAMP, samples, score_table
 from millrace.operators import dedup
 from millrace.operators.cuts import exact_split
 from millrace.operators.verdicts import report_lines
+from millrace.plans.comparison import write_comparison
 from millrace.session import fresh_folder
 from millrace.sinks import tables as out
 from millrace.sources import tables as src
@@ -95,6 +96,19 @@ def manifest_file(spark, sf):
     )
 
 
+@query(
+    SCORES_SQL
+    + """select benchmark || '_pass_at_1' as metric, model, round(pass_at_1, 6) as value,
+                row_number() over (partition by benchmark order by pass_at_1 desc, model) as position from c"""
+)
+def comparison_files(spark, sf):
+    """Results per model, summary and report, written together; the summary read back."""
+    folder = fresh_folder(spark, "comparison")
+    write_comparison(samples(spark, sf), folder, "Scores", STAMP)
+    back = spark.read.schema("metric string, model string, value double, position long").json(f"{folder}/summary")
+    return back.withColumn("value", r6(F.col("value")))
+
+
 @query(REPORT_SQL.replace("select section, \"group\", line_no, line from l", "select unnest(string_split(line, chr(10))) as value from l"))
 def report_file(spark, sf):
     """The report as text files; read back as lines."""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import SPACE_SQL, load, norm_sql, query, r6, strip_sql, words_sql
 from millrace.functions import text as tx
-from millrace.functions.code import branching, parse_state, syntax_facts
+from millrace.functions.code import compiles, parse_state, syntax_facts
+from millrace.operators.code_metrics import code_quality
 from millrace.operators.ledger import option_or, token_cost
 from millrace.operators.rolling import elapsed, scheduled_weights
 
@@ -83,6 +84,22 @@ def assertion_parts(spark, sf):
     return parsed.where("p is not null").select("p_partkey", "p.input", "p.expected")
 
 
+@query(
+    """select p_partkey, unnest([0, 3])::int as place, 'g(' || unnest([p_size, p_partkey]) || ')' as input, unnest([p_partkey, p_size]) || '' as expected from part"""
+)
+def test_case_rows(spark, sf):
+    """A list of test lines per part, one row per line that parses."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+
+    def line(call, *expected):
+        return F.concat(F.lit("assert g("), call, F.lit(")"), *[x for e in expected for x in (F.lit(" == "), e)])
+
+    lines = F.array(line(size, key), line(size), line(size, key, key), line(key, size))
+    listed = load(spark, sf, "part").select("p_partkey", F.posexplode(lines).alias("place", "line"))
+    parsed = listed.select("p_partkey", "place", tx.assertion_parts(F.col("line")).alias("p"))
+    return parsed.where("p is not null").select("p_partkey", "place", "p.input", "p.expected")
+
+
 @query(
     f"""select doc_id, {strip_sql("substr(text, length(lang || source) + 1)")} as rest from documents"""
 )
@@ -221,8 +238,6 @@ def part_code(spark, sf):
 )
 def code_validity(spark, sf):
     """Two grammars of strictness: `return` outside a function parses but does not compile."""
-    from millrace.functions.code import compiles
-
     rows = part_code(spark, sf).select("p_partkey", parse_state(F.col("code")).alias("s"), compiles(F.col("code")).alias("compiles"))
     return rows.select("p_partkey", F.col("s.ok").alias("parses"), "compiles", F.startswith("s.error", F.lit("Syntax Error")).alias("e")).select(
         "p_partkey", "parses", "compiles", F.coalesce("e", F.lit(False)).alias("has_error")
@@ -238,13 +253,9 @@ def code_validity(spark, sf):
        from c"""
 )
 def code_facts(spark, sf):
-    rows = part_code(spark, sf).withColumn("f", syntax_facts(F.col("code")))
-    density = F.when(F.col("f.nodes").isNotNull(), tx.comment_density(F.col("code")))
+    rows = code_quality(part_code(spark, sf), "code")
     return rows.select(
-        "p_partkey",
-        branching(F.col("f.nodes")).cast("double").alias("complexity"),
-        F.col("f.docstrings").cast("double").alias("docstrings"),
-        r6(density).alias("readability"),
+        "p_partkey", "complexity", F.col("docstrings").cast("double").alias("docstrings"), r6(F.col("readability")).alias("readability")
     )
 
 

@@ -70,19 +70,19 @@ def take_quota(df: DataFrame, by: Sequence[str], quotas: DataFrame, row_id: str,
     return rows.where(keep).drop("cut_key", "cut_id")
 
 
-def exact_split(
-    df: DataFrame,
+def split_column(
+    ids: DataFrame,
     row_id: str,
     shares: Sequence[tuple[str, float]] = (("train", 0.8), ("validation", 0.1), ("test", 0.1)),
     seed: int | str = 42,
-    column: str = "split",
-) -> DataFrame:
-    """Label each row with a part. Sizes are floor(n * share); the last part takes the rest.
+) -> Column:
+    """Column that names the part of a row, for tables with the same ids.
 
-    Two narrow passes find the cuts (65,536 counts and a handful of rows reach the
-    driver, whatever the size of the table); the labels are then a plain comparison.
+    Sizes are floor(n * share); the last part takes the rest. Two passes over the ids
+    find the cuts (65,536 counts and a handful of rows reach the driver, whatever the
+    size of the table); the column is then a plain comparison.
     """
-    keyed = _keyed(df, [], row_id, seed)
+    keyed = _keyed(ids, [], row_id, seed)
     counts = dict(keyed.groupBy("__bucket").agg(F.count(F.lit(1))).collect())
     total, upto, ranks = sum(counts.values()), 0, {}
     for name, share in shares[:-1]:
@@ -102,4 +102,15 @@ def exact_split(
             row = found[places[name]]
             hit = not_after(seed, row_id, F.lit(row["__key"]), F.lit(row["__id"]))
             label = F.when(hit, F.lit(name)).otherwise(label)
-    return df.withColumn(column, label)
+    return label
+
+
+def exact_split(
+    df: DataFrame,
+    row_id: str,
+    shares: Sequence[tuple[str, float]] = (("train", 0.8), ("validation", 0.1), ("test", 0.1)),
+    seed: int | str = 42,
+    column: str = "split",
+) -> DataFrame:
+    """Label each row of `df` with its part."""
+    return df.withColumn(column, split_column(df, row_id, shares, seed))

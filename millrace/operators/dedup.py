@@ -16,20 +16,28 @@ def _key(text: str) -> Column:
     return F.coalesce(text_key(F.col(text)), F.lit(""))
 
 
-def first_ids(df: DataFrame, text: str, row_id: str) -> DataFrame:
-    """(key, id, copies) per distinct text. Only the digest and the id are shuffled, and a
-    crowded group is folded map-side."""
-    return df.groupBy(_key(text).alias("key")).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("copies"))
+def first_ids(df: DataFrame, text: str, row_id: str, **facts: Column) -> DataFrame:
+    """(key, id, copies) per distinct text, with facts of the first row.
+
+    Only the digest, the id and the facts are shuffled, and a crowded group is folded
+    map-side.
+    """
+    keyed = df.select(_key(text).alias("key"), row_id, *[c.alias(n) for n, c in facts.items()])
+    n = F.count(F.lit(1)).alias("copies")
+    if not facts:
+        return keyed.groupBy("key").agg(F.min(row_id).alias(row_id), n)
+    folded = keyed.groupBy("key").agg(F.min(F.struct(row_id, *facts)).alias("first"), n)
+    return folded.select("key", "first.*", "copies")
 
 
-def _keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small: int) -> DataFrame:
-    """Keep the rows that `firsts(key, id, copies, seen)` names and that are not seen.
+def keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small: int = BROADCAST_ROWS) -> DataFrame:
+    """Keep the rows that `firsts(key, id, copies, seen)`, a written table, names and that
+    are not seen.
 
     Only texts that are seen or have copies need a look-up. While those are few, however
     many copies each has, they are sent to every task and no text is shuffled; beyond
     that the surviving ids, unique on both sides, are joined back.
     """
-    firsts = cut(firsts)
     first = F.when(~F.col("seen"), F.col(row_id)).alias("__first")
     special = firsts.where("seen or copies > 1").select(F.col("key").alias("__key"), first, F.lit(True).alias("__special"))
     if is_small(special, small):
@@ -41,7 +49,7 @@ def _keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small:
 
 def drop_copies(df: DataFrame, text: str, row_id: str, small: int = BROADCAST_ROWS) -> DataFrame:
     """Keep the first row of each text."""
-    return _keep_first(df, text, row_id, first_ids(df, text, row_id).withColumn("seen", F.lit(False)), small)
+    return keep_first(df, text, row_id, cut(first_ids(df, text, row_id).withColumn("seen", F.lit(False))), small)
 
 
 def drop_seen(df: DataFrame, text: str, row_id: str, seen: DataFrame, small: int = BROADCAST_ROWS) -> DataFrame:
@@ -51,7 +59,8 @@ def drop_seen(df: DataFrame, text: str, row_id: str, seen: DataFrame, small: int
     """
     known = seen.select("key").distinct().withColumn("__known", F.lit(True))
     firsts = first_ids(df, text, row_id).join(known, "key", "left")
-    return _keep_first(df, text, row_id, firsts.withColumn("seen", F.col("__known").isNotNull()).drop("__known"), small)
+    firsts = cut(firsts.withColumn("seen", F.col("__known").isNotNull()).drop("__known"))
+    return keep_first(df, text, row_id, firsts, small)
 
 
 def outcome_counts(df: DataFrame, text: str, row_id: str, reason: str) -> DataFrame:
@@ -59,6 +68,11 @@ def outcome_counts(df: DataFrame, text: str, row_id: str, reason: str) -> DataFr
     firsts = df.groupBy(_key(text).alias("key")).agg(
         F.min_by(reason_code(F.col(reason)), F.col(row_id)).alias("code"), F.count(F.lit(1)).alias("copies")
     )
+    return count_outcomes(firsts)
+
+
+def count_outcomes(firsts: DataFrame) -> DataFrame:
+    """The counters from one row per text with its outcome `code` and number of `copies`."""
 
     def having(*names: str):
         return F.count_if(F.col("code").isin([REASONS.index(n) for n in names]))

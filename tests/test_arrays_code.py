@@ -64,3 +64,15 @@ def test_vectors(spark):
     r = df.select(ar.norm(a), ar.mean_squared_gap(a, b), ar.squared_gap(b, a)).first()
     assert r[0] == 5 and r[1] == pytest.approx((4 + 9) / 2) and r[2] == 13
     assert math.isclose(df.select(ar.squared_norm(b)).first()[0], 27)
+
+
+def test_code_quality_modes(code):
+    from millrace.operators.code_metrics import code_quality
+
+    strict = {r["id"]: r for r in code_quality(code, "code").collect()}
+    compat = {r["id"]: r for r in code_quality(code, "code", compat=True).collect()}
+    assert strict[1]["complexity"] is None and not strict[1]["parse_ok"]
+    assert (compat[1]["complexity"], compat[1]["readability"]) == (1.0, 1.0)
+    lines = len(MIX.split("\n"))
+    assert strict[4]["readability"] == pytest.approx(1 / lines) and strict[4]["lines"] == lines and strict[4]["length"] == len(MIX)
+    assert compat[4]["complexity"] == 5
