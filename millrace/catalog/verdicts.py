@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import load, query, r6
 from millrace.operators import verdicts as vd
-from millrace.operators.joins import attach
-from millrace.session import cut
+from millrace.operators.joins import attach, settle
 
 BENCHMARKS = ["en", "fr", "de", "es"]
 STAMP = "2024-01-31 00:00:00"
@@ -76,7 +75,7 @@ def scores_with_totals(spark, sf):
                 row_number() over (partition by benchmark order by pass_at_1 desc, model) as position from c"""
 )
 def leaderboard(spark, sf):
-    board = vd.leaderboard(cut(vd.metric_rows(score_table(spark, sf))))
+    board = vd.leaderboard(settle(vd.metric_rows(score_table(spark, sf)))[0])
     return board.withColumn("value", r6(F.col("value"))).orderBy("metric", "position")
 
 

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.draws import KEY_BITS, shuffle_key
-from millrace.operators.joins import attach, is_small
-from millrace.session import cut
+from millrace.operators.joins import attach, settle
 
 BUCKET_BITS = 16
 
@@ -62,10 +61,9 @@ def take_quota(df: DataFrame, by: Sequence[str], quotas: DataFrame, row_id: str,
 
     A stratum without a quota gives nothing; one with fewer rows gives all it has.
     """
-    ranks = cut(quotas.where("quota > 0").select(*by, F.col("quota").cast("long").alias("rank")))
-    small = is_small(ranks)
-    limits = cut(ranks.join(rank_cuts(df, by, row_id, seed, ranks, small), list(by), "left").drop("rank"))
-    rows = attach(df, limits, by, "inner", spread=[row_id], known_small=small)
+    ranks, small = settle(quotas.where("quota > 0").select(*by, F.col("quota").cast("long").alias("rank")))
+    limits = ranks.join(rank_cuts(df, by, row_id, seed, ranks, small), list(by), "left").drop("rank")
+    rows = attach(df, limits, by, "inner", spread=[row_id])
     keep = F.col("cut_key").isNull() | not_after(seed, row_id, F.col("cut_key"), F.col("cut_id"))
     return rows.where(keep).drop("cut_key", "cut_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text_key
-from millrace.operators.joins import BROADCAST_ROWS, is_small
+from millrace.operators.joins import BROADCAST_ROWS, settle
 from millrace.operators.rules import REASONS, reason_code
 from millrace.session import cut
 
@@ -40,7 +40,8 @@ def keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small:
     """
     first = F.when(~F.col("seen"), F.col(row_id)).alias("__first")
     special = firsts.where("seen or copies > 1").select(F.col("key").alias("__key"), first, F.lit(True).alias("__special"))
-    if is_small(special, small):
+    special, few = settle(special, small)
+    if few:
         rows = df.withColumn("__key", _key(text)).join(F.broadcast(special), "__key", "left")
         keep = F.col("__special").isNull() | F.coalesce(F.col("__first") == F.col(row_id), F.lit(False))
         return rows.where(keep).drop("__key", "__first", "__special")

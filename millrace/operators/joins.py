@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import GROUP_ROWS
+from millrace.session import cut
 
 BROADCAST_ROWS = 100_000
 """Largest lookup table, in rows, that is sent to every executor."""
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `rows` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Compute `df` once: (the table to go on with, whether it is small).
+
+    At most `rows` rows go through the driver and become a local table, ready to be
+    broadcast. A larger table is written to the shared folder.
+    """
+    head = df.limit(rows + 1).toArrow()
+    if head.num_rows <= rows:
+        return df.sparkSession.createDataFrame(head, df.schema), True
+    return cut(df), False
 
 
 def attach(
@@ -25,7 +33,6 @@ def attach(
     how: str = "left",
     spread: Sequence[str] = (),
     small: int = BROADCAST_ROWS,
-    known_small: bool | None = None,
     hot: int = GROUP_ROWS,
     salts: int = 64,
 ) -> DataFrame:
@@ -34,10 +41,10 @@ def attach(
     A lookup of proven size is broadcast. A larger one is shuffled, and keys with
     more than `hot` rows on the left are spread, by the hash of the `spread` columns
     (all columns when none are named), over `salts` copies of their one lookup row.
-    There are at most rows / `hot` such keys. A caller that has checked the size already
-    says so with `known_small`.
+    There are at most rows / `hot` such keys.
     """
-    if is_small(dim, small) if known_small is None else known_small:
+    dim, is_small = settle(dim, small)
+    if is_small:
         return df.join(F.broadcast(dim), list(keys), how)
     crowded = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(*keys, F.lit(salts).alias("__salts"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace.functions.arrays import norm, squared_gap
 from millrace.operators.joins import attach
 from millrace.operators.ordered import GROUP_ROWS, framed
-from millrace.session import cut
 
 
 def recent_mean(
@@ -62,7 +61,7 @@ def group_norm(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
 def scale_to_norm(df: DataFrame, keys: Sequence[str], value: str, row_id: str, bound: float) -> DataFrame:
     """Shrink groups whose norm is above `bound` down to it. The norms are joined back;
     crowded groups are spread, not windowed."""
-    norms = cut(group_norm(df, keys, F.col(value)))
+    norms = group_norm(df, keys, F.col(value))
     rows = attach(df, norms, keys, "inner", spread=[row_id])
     factor = F.least(F.lit(1.0), F.lit(float(bound)) / F.nullif(F.col("norm"), F.lit(0.0)))
     return rows.withColumn("scaled", F.col(value) * F.coalesce(factor, F.lit(1.0)))

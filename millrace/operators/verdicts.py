@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ratio, score_text
+from millrace.operators.joins import settle
 from millrace.operators.ordered import GROUP_ROWS, numbered
-from millrace.session import cut
 
 
 def problem_verdicts(tests: DataFrame, keys: Sequence[str], passed: str = "passed") -> DataFrame:
@@ -88,9 +88,9 @@ def report_lines(table: DataFrame, title: str, generated_at: str, limit: int = G
     """The report as rows (section, group, line_no, line), to be written in that order.
 
     Section 0 is the head, 1 the ranking per metric, 2 the details per model. The scores
-    are used several times, so they are written once first.
+    are used several times, so they are computed once first.
     """
-    table = cut(table)
+    table, _ = settle(table)
 
     def lines(section: int, group: Column, start: Column, texts: list[Column]) -> Column:
         rows = [

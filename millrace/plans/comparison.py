@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from millrace.operators import verdicts as vd
-from millrace.session import cut
+from millrace.operators.joins import settle
 from millrace.sinks import tables as out
 
 
@@ -16,7 +16,7 @@ def write_comparison(samples: DataFrame, folder: str, title: str, written_at: st
     follows works on the scores.
     """
     good = vd.without_errors(samples) if "error" in samples.columns else samples
-    scores = cut(vd.scores(good))
+    scores, _ = settle(vd.scores(good))
     out.write_by_model(scores, f"{folder}/results")
     vd.leaderboard(vd.metric_rows(scores)).write.json(f"{folder}/summary")
     out.write_report(vd.report_lines(scores, title, written_at), f"{folder}/report")

@@ -48,6 +48,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and go on from there."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared folder and go on from there.
+
+    A Parquet table rather than an RDD checkpoint: later steps read only the columns
+    they use, and lost executors take nothing with them.
+    """
+    folder = fresh_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
