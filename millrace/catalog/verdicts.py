@@ -45,13 +45,20 @@ def sample_verdicts(spark, sf):
 
 
 @query(
-    SAMPLES_SQL
-    + """, p as (select model, benchmark, problem, bool_and(case when doc_id % 4 <> 0 then good end) as a, count(*) filter (where doc_id % 4 <> 0) as n_tests from s group by 1, 2, 3)
-       select model, benchmark, problem, coalesce(a, true) as passed, coalesce(a, true) and n_tests > 0 as passed_strict, n_tests from p"""
+    """with p as (select 'm' || (doc_id % 3) as model, lang as benchmark, doc_id as problem, quality = 1 and toxic = 0 as a, quality is not null as tested
+                  from documents left join labels using (doc_id))
+       select model, benchmark, problem, coalesce(a, true) as passed, coalesce(a, true) and tested as passed_strict,
+              case when tested then 2 else 0 end::bigint as n_tests from p"""
 )
 def problem_verdicts(spark, sf):
-    """Every fourth document stands for a problem entry without tests."""
-    tests = samples(spark, sf).withColumn("passed", F.when(F.col("doc_id") % 4 != 0, F.col("good")))
+    """Every document is a problem; its label gives two tests, and without a label it has none."""
+    docs = load(spark, sf, "documents").select("doc_id", "lang").join(load(spark, sf, "labels"), "doc_id", "left")
+    tests = docs.select(
+        F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"),
+        F.col("lang").alias("benchmark"),
+        F.col("doc_id").alias("problem"),
+        F.explode(F.array(F.col("quality") == 1, F.col("toxic") == 0)).alias("passed"),
+    )
     return vd.problem_verdicts(tests, ["model", "benchmark", "problem"])
 
 

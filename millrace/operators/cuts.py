@@ -110,5 +110,8 @@ def exact_split(
     seed: int | str = 42,
     column: str = "split",
 ) -> DataFrame:
-    """Label each row of `df` with its part."""
+    """Label each row of `df` with its part.
+
+    `df` is read three times, twice for its ids alone; give a costly one to `cut` first.
+    """
     return df.withColumn(column, split_column(df, row_id, shares, seed))

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import GROUP_ROWS
+from millrace.operators.ordered import GROUP_ROWS, group_extent
 from millrace.session import cut
 
 BROADCAST_ROWS = 100_000
 """Largest lookup table, in rows, that is sent to every executor."""
 
+CROWDED_KEYS = 50_000
+"""Most keys that are treated as crowded: each holds more than this share of the rows."""
+
 
 def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Compute `df` once: (the table to go on with, whether it is small).
@@ -34,26 +37,25 @@ def attach(
     spread: Sequence[str] = (),
     small: int = BROADCAST_ROWS,
     hot: int = GROUP_ROWS,
-    salts: int = 64,
 ) -> DataFrame:
     """Join `dim`, unique on `keys`, to `df`.
 
-    A lookup of proven size is broadcast. A larger one is shuffled, and keys with
-    more than `hot` rows on the left are spread, by the hash of the `spread` columns
-    (all columns when none are named), over `salts` copies of their one lookup row.
-    There are at most rows / `hot` such keys.
+    A lookup of proven size is broadcast. A larger one is shuffled; a key with more than
+    `hot` rows on the left is then spread, by the hash of the `spread` columns (all
+    columns when none are named), over as many copies of its one lookup row as it has
+    multiples of `hot`. At most `CROWDED_KEYS` keys can be that large.
     """
     dim, is_small = settle(dim, small)
     if is_small:
         return df.join(F.broadcast(dim), list(keys), how)
-    crowded = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(*keys, F.lit(salts).alias("__salts"))
-    )
-    copies = F.coalesce("__salts", F.lit(1))
+    widest, total = group_extent(df, keys)
+    if widest <= hot:
+        return df.join(dim, list(keys), how)
+    hot = max(hot, total // CROWDED_KEYS)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot)
+    crowded = F.broadcast(sizes.select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__copies")))
+    copies = F.coalesce("__copies", F.lit(1))
     salt = F.pmod(F.xxhash64(*(spread or df.columns)), copies.cast("long")).cast("int")
-    left = df.join(F.broadcast(crowded), list(keys), "left").withColumn("__salt", salt)
-    right = dim.join(F.broadcast(crowded), list(keys), "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), copies - 1))
-    )
-    joined = left.drop("__salts").join(right.drop("__salts"), [*keys, "__salt"], how)
-    return joined.drop("__salt")
+    left = df.join(crowded, list(keys), "left").withColumn("__salt", salt).drop("__copies")
+    right = dim.join(crowded, list(keys), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return left.join(right.drop("__copies"), [*keys, "__salt"], how).drop("__salt")

@@ -28,6 +28,7 @@ def option_or(value: Column, default) -> Column:
 
 def usage_totals(df: DataFrame, success: Column, tokens: Column, cost: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Requests, failures, tokens, cost and their averages. Failures use up nothing."""
+    success = F.coalesce(success, F.lit(False))
     sums = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(~success).alias("failed_requests"),

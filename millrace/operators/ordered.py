@@ -8,8 +8,8 @@ aggregate with map-side combine). Beyond `limit` rows it takes the wide way:
   partitions, and are written to the shared folder with their partition number
   (the "run"); a retried task can then never see other cuts;
 * a per-run total gives each run its offset. Only a key that crosses a partition
-  border needs one, so there are fewer offsets than partitions and they may be
-  broadcast;
+  border needs one, so there are fewer offsets than partitions, at most `MAX_RUNS`,
+  and they may be broadcast;
 * the row-level window is then keyed by (keys, run).
 """
 
@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut
 
-GROUP_ROWS = 1_000_000
-"""Largest number of rows that a single window task is given."""
+GROUP_ROWS = 2_000_000
+"""Largest group that is left to a single window task."""
+
+MAX_RUNS = 50_000
+"""Most partitions of a range-partitioned table; beyond it they grow instead."""
 
 _RUN, _RN, _BLOCK, _HOME = "__run", "__rn", "__block", "__home"
 
@@ -41,7 +44,7 @@ def group_extent(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 
 def _runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, limit: int) -> DataFrame:
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(base, math.ceil(2 * total / limit))
+    parts = min(max(base, math.ceil(2 * total / limit)), MAX_RUNS)
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return cut(ranged.withColumn(_RUN, F.spark_partition_id()))
 

@@ -14,7 +14,7 @@ REASONS = (ACCEPTED, "failed", "too_short", "too_long", "syntax")
 
 
 def keep_successful(df: DataFrame, success: str = "success") -> DataFrame:
-    return df.where(F.col(success))
+    return df.where(success)
 
 
 def as_examples(df: DataFrame, instruction: str, output: str, *carry: str) -> DataFrame:
@@ -38,15 +38,18 @@ def reject_reason(
 ) -> Column:
     """Name of the first rule that fails, `accepted` when none does.
 
-    `class_rule` is (applies, passes): a rule that only some rows must pass.
+    `class_rule` is (applies, passes): a rule that only some rows must pass. A missing text
+    is too short, and a missing answer to a rule is a no.
     """
-    size = stripped_length(text)
-    chain = F.when(~success, F.lit("failed")) if success is not None else F.when(F.lit(False), F.lit("failed"))
-    chain = chain.when(size < low, F.lit("too_short")).when(size > high, F.lit("too_long"))
+    size, no = F.coalesce(stripped_length(text), F.lit(0)), F.lit(False)
+    chain = F.when(size < low, F.lit("too_short")).when(size > high, F.lit("too_long"))
+    if success is not None:
+        chain = F.when(~F.coalesce(success, no), F.lit("failed")).otherwise(chain)
     if class_rule:
         applies, passes = class_rule
-        chain = chain.when(applies & ~passes, F.lit("syntax"))
-    return chain.otherwise(F.lit(ACCEPTED))
+        special = F.when(applies & ~F.coalesce(passes, no), F.lit("syntax"))
+        chain = F.coalesce(chain, special)
+    return F.coalesce(chain, F.lit(ACCEPTED))
 
 
 def reason_code(reason: Column) -> Column:

@@ -112,7 +112,7 @@ def test_attach_crowded_keys(spark, how):
     df = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")))
     dim = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     want = {tuple(r) for r in df.join(dim, "k", how).select("id", "k", "v").collect()}
-    got = attach(df, dim, ["k"], how, spread=["id"], small=10, hot=100, salts=8)
+    got = attach(df, dim, ["k"], how, spread=["id"], small=10, hot=100)
     assert {tuple(r) for r in got.select("id", "k", "v").collect()} == want
     assert got.count() == len(want) and set(got.columns) == {"id", "k", "v"}
 

@@ -56,6 +56,13 @@ def test_first_failing_rule_counts(spark):
     assert got == {1: "failed", 2: "too_short", 3: "syntax", 4: "accepted"}
 
 
+def test_missing_values_do_not_pass(spark):
+    df = spark.createDataFrame([(1, None, True), (2, "y" * 60, None), (3, "y" * 60, True)], "id long, text string, ok boolean")
+    rule = (F.lit(True), F.when(F.col("id") != 3, F.lit(True)))
+    reason = rules.reject_reason(F.col("text"), success=F.col("ok"), class_rule=rule)
+    assert [r["r"] for r in df.orderBy("id").select(reason.alias("r")).collect()] == ["too_short", "failed", "syntax"]
+
+
 def test_parser_runs_last(spark):
     good = "def hello():\n    return 'a value that is long enough to pass the rule'\n"
     df = spark.createDataFrame([(1, good, True), (2, good + "def (", True), (3, good + "def (", False), (4, "def (", True)], "id long, text string, code boolean")
