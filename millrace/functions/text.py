@@ -14,7 +14,8 @@ SPACE_CODES = (
     0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 SPACES = "".join(map(chr, SPACE_CODES))
-SPACE_RUN = "[" + "".join(f"\\x{{{c:X}}}" for c in SPACE_CODES) + "]+"
+# The same set as a pattern; a class that lists the code points is several times slower.
+SPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
 
 
 def strip(c: Column) -> Column:
@@ -57,7 +58,7 @@ def fill_slots(template: Column, slots: Mapping[str, Column]) -> Column:
 
 
 def task_slots(task: Column) -> dict[str, Column]:
-    """The five slot values that one task text gives."""
+    """The five slot values that one task text gives. Names and defaults are fixed values."""
     return {
         "task": task,
         "problem": task,

@@ -21,8 +21,13 @@ def turn_pairs(turns: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     return pairs.select("conv_id", "turn", F.col("text").alias("instruction"), "output")
 
 
+# The headings of a pair.
+FIRST_HEADING = "### Instruction:\n"
+SECOND_HEADING = "\n\n### Response:\n"
+
+
 def pair_head(instruction: Column) -> Column:
-    return F.concat(F.lit("### Instruction:\n"), instruction, F.lit("\n\n### Response:\n"))
+    return F.concat(F.lit(FIRST_HEADING), instruction, F.lit(SECOND_HEADING))
 
 
 def pair_text(instruction: Column, output: Column, end: str = "") -> Column:

@@ -7,16 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+"""Streaming state on disk instead of the executor's heap."""
+
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC time and adaptive execution; `conf` uses `_` for `.`-free overrides."""
+    """A session with UTC time and adaptive execution; `conf` adds or overrides settings."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:
         builder = builder.master(master)

@@ -7,7 +7,7 @@ from millrace.plans.curation import accepted_rows
 
 @pytest.fixture(scope="module")
 def copies(spark):
-    texts = ["Write a Python function", "WRITE A PYTHON FUNCTION", " write a python function\n", "another"]
+    texts = ["Count the red boxes", "COUNT THE RED BOXES", " count the red boxes\n", "another"]
     return spark.createDataFrame([(10 - i, t) for i, t in enumerate(texts)], "id long, text string")
 
 

@@ -13,6 +13,12 @@ def test_white_space_is_complete():
     assert known == set(tx.SPACE_CODES)
 
 
+def test_pattern_is_the_same_set(spark):
+    chars = spark.createDataFrame([(c, chr(c)) for c in range(1, 0xD800)], "id long, s string")
+    got = {r["id"] for r in chars.where(F.rlike("s", F.lit("^" + tx.SPACE_RUN + "$"))).collect()}
+    assert got == set(tx.SPACE_CODES)
+
+
 SAMPLES = ["", "  ", "\n a b \t", " x ", "one", "a　b  c\n", "\x1cq\x1f", "É à", " (Base) x"]
 
 
