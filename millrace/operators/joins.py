@@ -4,28 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.ordered import GROUP_ROWS, group_extent
 from millrace.session import cut
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 """Largest lookup table, in rows, that is sent to every executor."""
 
+BROADCAST_WIDTH = 1_024
+"""Longest text or nested value, in bytes, of such a table."""
+
 CROWDED_KEYS = 50_000
 """Most keys that are treated as crowded: each holds more than this share of the rows."""
 
 
+def _within_width(df: DataFrame) -> Column:
+    """Whether no value of a row is longer than `BROADCAST_WIDTH`."""
+    fits = F.lit(True)
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            fits = fits & (F.coalesce(F.octet_length(f.name), F.lit(0)) <= BROADCAST_WIDTH)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            fits = fits & (F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)) <= BROADCAST_WIDTH)
+    return fits
+
+
 def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Compute `df` once: (the table to go on with, whether it is small).
 
-    At most `rows` rows go through the driver and become a local table, ready to be
-    broadcast. A larger table is written to the shared folder.
+    A table of at most `rows` rows without long values goes through the driver and becomes
+    a local table, ready to be broadcast; values too long for that are not fetched. Any
+    other table is written to the shared folder.
     """
-    head = df.limit(rows + 1).toArrow()
-    if head.num_rows <= rows:
-        return df.sparkSession.createDataFrame(head, df.schema), True
+    fits = _within_width(df)
+    head = df.limit(rows + 1).select(*[F.when(fits, F.col(c)).alias(c) for c in df.columns], fits.alias("__fits")).toArrow()
+    if head.num_rows <= rows and pc.all(head["__fits"], min_count=0).as_py():
+        return df.sparkSession.createDataFrame(head.drop_columns("__fits"), df.schema), True
     return cut(df), False
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import allocate, ledger, lookups, rolling
-from millrace.operators.joins import attach
+from millrace.operators.joins import attach, settle
 from millrace.sources.tables import from_records
 
 
@@ -117,6 +117,24 @@ def test_attach_crowded_keys(spark, how):
     assert got.count() == len(want) and set(got.columns) == {"id", "k", "v"}
 
 
+@pytest.mark.parametrize("rows,want", [(3, True), (2, False)])
+def test_settle_counts_rows(spark, rows, want):
+    df = spark.createDataFrame([(1, "a", [1]), (2, None, None), (3, "c", [])], "id long, s string, a array<int>")
+    table, small = settle(df, rows)
+    assert small is want and table.schema == df.schema
+    assert sorted(map(str, table.collect())) == sorted(map(str, df.collect()))
+    assert settle(df.where("false"))[1] and settle(df.where("false"))[0].count() == 0
+
+
+@pytest.mark.parametrize("value", ["x" * 2000, "é" * 600])
+def test_settle_looks_at_width(spark, value):
+    df = spark.createDataFrame([(1, value)], "id long, s string")
+    table, small = settle(df)
+    assert not small and table.first()["s"] == value
+    nested = df.select("id", F.array("s").alias("a"))
+    assert not settle(nested)[1]
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 4])
 def test_adaptive_clip_needs_eleven(spark, limit):
     df = spark.createDataFrame([(i, 1.0 if i < 11 else 100.0) for i in range(12)], "id long, v double").withColumn("k", F.lit(1))
