@@ -56,7 +56,7 @@ def words_sql(c: str) -> str:
 
 
 def key_sql(row_id: str, seed: int = 42) -> str:
-    return f"cast('0x' || substr(md5('{seed}:' || {row_id}), 1, 15) as bigint)"
+    return f"md5('{seed}:' || {row_id})"
 
 
 def draw_sql(row_id: str, salt: str = "", seed: int = 42) -> str:

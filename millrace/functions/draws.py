@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEY_BITS = 60
-
 
 def _digest(seed: int | str, row_id: Column, salt: str = "") -> Column:
     tail = [F.lit(f":{salt}")] if salt else []
@@ -16,8 +14,9 @@ def _digest(seed: int | str, row_id: Column, salt: str = "") -> Column:
 
 
 def shuffle_key(seed: int | str, row_id: Column) -> Column:
-    """60-bit key whose order is a seeded shuffle of the ids."""
-    return F.conv(F.substring(_digest(seed, row_id), 1, 15), 16, 10).cast("long")
+    """Key whose order is a seeded shuffle of the ids: the hexadecimal digest, which sorts
+    like the number it stands for."""
+    return _digest(seed, row_id)
 
 
 def draw32(seed: int | str, row_id: Column, salt: str = "") -> Column:

@@ -19,13 +19,19 @@ SPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends (Unicode white space, not only the blank)."""
-    return F.btrim(c, F.lit(SPACES))
+    """Without white space at both ends (Unicode white space, not only the blank).
+
+    Trimming a set of characters takes the text apart, so only texts that begin or end
+    with one of them are trimmed.
+    """
+    spaces = F.lit(SPACES)
+    padded = F.contains(spaces, F.substring(c, 1, 1)) | F.contains(spaces, F.substring(c, -1, 1))
+    return F.when(padded, F.btrim(c, spaces)).otherwise(c)
 
 
 def normalise(c: Column) -> Column:
     """Lower case, stripped: the form in which two texts count as equal."""
-    return strip(F.lower(c))
+    return F.lower(strip(c))
 
 
 def text_key(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Exact order statistics of the seeded shuffle without a global sort.
 
-To find the row of rank r, count rows per high-bit bucket of the shuffle key (at most
+To find the row of rank r, count rows per bucket of leading key digits (at most
 65,536 buckets per stratum, combined map-side), find the one bucket that holds
 rank r, and order only the rows of that bucket. The table is then labelled by
 comparing each row with the cut: no row-level shuffle at all.
@@ -15,15 +15,16 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.draws import KEY_BITS, shuffle_key
+from millrace.functions.draws import shuffle_key
 from millrace.operators.joins import attach, settle
 
-BUCKET_BITS = 16
+BUCKET_DIGITS = 4
+"""Hexadecimal digits of the key that make a bucket: 65,536 buckets."""
 
 
 def _keyed(df: DataFrame, by: Sequence[str], row_id: str, seed: int | str) -> DataFrame:
     keyed = df.select(*by, F.col(row_id).alias("__id"), shuffle_key(seed, F.col(row_id)).alias("__key"))
-    return keyed.withColumn("__bucket", F.shiftright("__key", KEY_BITS - BUCKET_BITS))
+    return keyed.withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
 
 
 def _placed(inside: DataFrame, by: Sequence[str]) -> DataFrame:
