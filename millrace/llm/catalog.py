@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, quality, toxicity
+from millrace.llm import bpe, jaccard, packing, quality, toxicity
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,36 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query(
+    r"""
+    with recursive words as (
+        select doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+        from documents
+    ), sets as (
+        select doc_id, case when len(w) = 0 then []
+            when len(w) < 3 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s
+        from words
+    ), items as (
+        select doc_id, len(s) as n, unnest(s) as t from sets
+    ), links as (
+        select x.doc_id as a, y.doc_id as b from items x join items y on x.t = y.t and x.doc_id <> y.doc_id
+        group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))
+    ), reach as (
+        select doc_id as a, doc_id as b from documents
+        union
+        select reach.a, links.b from reach join links on reach.b = links.a
+    )
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.c as component_id
+    from sets s join (select a, min(b) as c from reach group by a) r on s.doc_id = r.a
+    """
+)
+def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's group of texts whose 3-word shingle sets are at least 0.9 alike."""
+    return jaccard.similar_groups(documents(spark, sf), n=3, num=9, den=10)
+
+
 @query()
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of every document's ids and of their decoded text."""
