@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jaccard, packing, quality, toxicity
+from millrace.llm import bpe, jaccard, lattice, licenses, packing, quality, topk, toxicity
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,65 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query(
+    """
+    with q as (
+        select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+        where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scores as (
+        select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))) as bigint) as score
+        from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0
+    ), ranked as (
+        select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scores
+    )
+    select query_id, rank, vec_id, score from ranked where rank <= 20
+    """
+)
+def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best matches of every vector whose id is divisible by 20, among all others."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), topk.grid(F.col("embedding")).alias("vec"))
+    return topk.top_k(rows.where("id % 20 = 0"), rows, 20)
+
+
+def _license_sql() -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    lower = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())
+    sets = ", ".join(f"({ws!r}, '{label}', {licenses.needed(len(ws))})" for label, ws in licenses.template_words(licenses.TEMPLATES))
+    return f"""
+    with phrases(p, label) as (values {phrases}), templates(ws, label, k) as (values {sets}),
+    docs as (
+        select doc_id, {lower} as t, regexp_extract_all({lower}, '{word}') as w from documents
+    ), places as (
+        select doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) as pos from docs, phrases
+    ), base as (
+        select doc_id, count(*) as n, min(pos) as first_word, max(pos) as last_word, list_sort(list_distinct(list(label))) as labels from places group by doc_id
+    ), blocks as (
+        select doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) as b from docs
+    ), met as (
+        select doc_id, list(label) as labels, max(len(list_intersect(ws, b)) / len(ws)) as share from blocks, templates
+        where len(list_intersect(ws, b)) >= k group by doc_id
+    )
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, first_word, last_word,
+        coalesce(array_to_string(base.labels, ','), '') as base_labels,
+        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), ','), '') as labels,
+        greatest(case when n > 0 then 1.0::double else 0.0::double end, coalesce(share, 0.0::double)) as score
+    from docs left join base using (doc_id) left join met using (doc_id)
+    """
+
+
+@query(_license_sql())
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's license phrases and the labels of the notices that its lines hold."""
+    return licenses.scan(documents(spark, sf))
+
+
+@query()
+def op6_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector's links of cosine 0.98 or more within its label, and its component."""
+    return lattice.similar_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 @query(
     r"""
     with recursive words as (
