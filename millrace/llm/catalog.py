@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, jaccard, lattice, licenses, packing, quality, topk, toxicity
+from millrace.llm import bpe, counts, extraction, jaccard, lattice, licenses, packing, quality, topk, toxicity
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,20 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(documents(spark, sf))
 
 
+@query()
+def op4_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = extraction.extract_text(pages, extraction.learn(pages), out="text", keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op5_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's pre-tokens and unigram tokens."""
+    return counts.token_counts(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query()
 def op6_lattice(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector's links of cosine 0.98 or more within its label, and its component."""
