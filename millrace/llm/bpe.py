@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.common import in_turn, text_slices, words_of
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 """Words whose ids a Python worker remembers; it starts anew when it has more."""
 
 # Fixed values of the pre-tokenizer: the contractions that stand alone, and what counts as white space.
@@ -171,7 +171,8 @@ class WordBpe:
         if not chunk:
             return []
         if chunk.isascii() or (max(chunk) < chr(PLAIN_END) and "İ" not in chunk):
-            return [p.encode() for p in self.plain.findall(chunk.lower())]
+            lower = chunk.lower()
+            return [lower.encode()] if lower.isalpha() else [p.encode() for p in self.plain.findall(lower)]
         normal = self.library.normalizer.normalize_str(chunk)
         return [self._raw(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -185,15 +186,16 @@ class WordBpe:
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks and remember them."""
         split = [self._pretokens(c) for c in chunks]
-        distinct = list({p for parts in split for p in parts if isinstance(p, bytes)})
+        distinct = [p for p in dict.fromkeys(p for parts in split for p in parts) if isinstance(p, bytes)]
         place = {p: i for i, p in enumerate(distinct)}
         ids, counts = self.merge(distinct) if distinct else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         extra = {t: len(distinct) + i for i, t in enumerate(self.special.values())}
         ids = np.concatenate([ids, np.array([*extra], dtype=np.int64)])
         counts = np.concatenate([counts, np.ones(len(extra), dtype=np.int64)])
         starts = np.cumsum(counts) - counts
-        order = np.fromiter((extra[p] if isinstance(p, int) else place[p] for parts in split for p in parts), dtype=np.int64)
-        pieces = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        place |= extra
+        order = np.array([place[p] for parts in split for p in parts], dtype=np.int64)
+        pieces = np.array([len(parts) for parts in split], dtype=np.int64)
         flat = ids[in_turn(starts[order], counts[order])]
         ends = np.concatenate([[0], np.cumsum(counts[order])])[np.cumsum(pieces)]
         lengths = np.diff(ends, prepend=0)
@@ -239,7 +241,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_bpe(path)
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in text_slices(batches):
             flat, ends = bpe.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat, type=pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], [*keep, ids])
@@ -270,7 +272,7 @@ def encoding_digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_bpe(path)
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in text_slices(batches):
             flat, ends = bpe.encode(texts)
             hashes, decoded = [], []
             for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

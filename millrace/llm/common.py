@@ -31,10 +31,10 @@ def one_label(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     return known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cut batches into pieces of at most `limit` text bytes: (the rows, their texts with null as '')."""
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cut batches, whose last column is a text, into pieces of at most `limit` text bytes: (the rows, their texts with null as '')."""
     for batch in batches:
-        texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
+        texts = pc.fill_null(batch.column(batch.num_columns - 1).cast(pa.large_string()), "")
         ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
         begin = 0
         while begin < len(ends):

@@ -105,7 +105,7 @@ def token_counts(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = load_trie(path)
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in text_slices(batches):
             words = words_of(pc.utf8_split_whitespace(texts))
             if len(trie.best) > KEPT_NODES:
                 trie.forget()

@@ -59,7 +59,7 @@ def pack(
         if task >> TASK_BITS:
             raise ValueError("too many partitions for sequence numbers")
         used = [0] * longest.bit_length()
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in text_slices(batches):
             flat, ends = bpe.encode(texts)
             sizes = np.diff(ends) + 1
             flat = np.insert(flat, ends[1:], closing_id).astype("<u4")

@@ -103,7 +103,7 @@ def described(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in text_slices(batches):
             x = features_of(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, type=pa.int32()), pa.array(x.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], [*keep, "x"])
@@ -220,17 +220,35 @@ def train(described_rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     return rows, fit(rows)
 
 
+def _probability(x: np.ndarray, model: Model) -> np.ndarray:
+    w = np.array(model.weights)
+    f = np.clip((x - np.array(model.centre)) / np.array(model.scale), -6, 6) @ w[:-1] + w[-1]
+    return 1 / (1 + np.exp(-np.clip(f, -35, 35)))
+
+
+def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Add the probability of label 1 to every row, in one pass over the texts; null counts as empty."""
+    keep = [c for c in df.columns if c != out]
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_slices(batches):
+            found = _probability(features_of(texts).astype(np.float32).astype(np.float64), model)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, out])
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{out}` double"])
+    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+
+
 def scored(rows: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """Add the probability of label 1 computed from `x`."""
     keep = [c for c in rows.columns if c not in ("x", "__label", out)]
     types = dict(rows.dtypes)
-    centre, scale, w = np.array(model.centre), np.array(model.scale), np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(len(keep))) if batch.num_rows else np.zeros((0, FEATURES))
-            f = np.clip((x - centre) / scale, -6, 6) @ w[:-1] + w[-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(f, -35, 35))))], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(_probability(x, model))], [*keep, out])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{out}` double"])
     return rows.select(*keep, "x").mapInArrow(run, schema)

@@ -5,7 +5,8 @@ with one or two words between them. Learning (McMahan et al., 2013): every coord
 its own rate, and L1 keeps the weights sparse, so the model that goes to the executors is
 two short arrays. It is fitted on at most `max_rows` labelled rows, taken by a digest of
 their ids; coordinates that fewer than `min_rows` of them hold are left out, which is the
-usual inclusion rule and bounds the model. The sample may be dealt into `shards`; each round
+usual inclusion rule and bounds the model (words are counted first, as a pair can't be more
+frequent than its words). The sample may be dealt into `shards`; each round
 trains every shard from the shared state in a task of its own and the states are averaged.
 One shard learns best and, as the sample is bounded, is the default. All documents are
 scored, in one pass without a shuffle.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import gram_hashes, one_label, text_slices, word_hashes, words_of
 from millrace.session import cut
 
-MAX_ROWS = 24_000
-"""Labelled rows to learn from, at most. Their known features take about 40 MB."""
+MAX_ROWS = 16_000
+"""Labelled rows to learn from, at most. Their known features take about 30 MB."""
 EDGES = ".,;:!?\"'()[]{}<>*_#%&$|-~`^+=/\\"
 """Characters that are stripped from the ends of words."""
 
@@ -47,42 +48,55 @@ class Model:
         return self.bias + np.bincount(found[0], weights=self.weights[found[1]], minlength=len(ends) - 1)
 
 
-def features_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes of all texts, one text after another, and where each text's begin and end."""
+def _narrow(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(24)).astype(np.int64)
+
+
+def features_of(texts: pa.Array, gaps: tuple = ((), (1,), (2,), (3,)), within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes of all texts, one text after another, and where each text's begin and end.
+
+    `gaps`: () stands for words, (1,) for pairs, (2,) for pairs with a word between. `within`:
+    sorted word features; pairs with other words are left out.
+    """
     words = words_of(pc.utf8_split_whitespace(pc.utf8_lower(texts)))
     bare = pc.utf8_trim(words.distinct, characters=EDGES)
     h = word_hashes(bare)[words.codes]
     doc = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
+    known = np.isin(_narrow(gram_hashes(h, ())), within) if within is not None else np.ones(len(h), dtype=bool)
     grams, owners = [], []
-    for gaps in ((), (1,), (2,), (3,)):
-        reach = max(gaps, default=0)
-        g = gram_hashes(h, gaps)
-        inside = doc[: len(g)] == doc[reach:] if reach else np.ones(len(g), dtype=bool)
+    for gap in gaps:
+        reach = max(gap, default=0)
+        g = gram_hashes(h, gap)
+        inside = (doc[: len(g)] == doc[reach:]) & known[: len(g)] & known[reach:] if reach else known
         grams.append(g[inside])
         owners.append(doc[: len(g)][inside])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    features = (np.concatenate(grams)[order] >> np.uint64(24)).astype(np.int64)
-    return features, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words.offsets) - 1))])
+    return _narrow(np.concatenate(grams)[order]), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words.offsets) - 1))])
 
 
 def _sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """(digest, label, distinct features) of at most about `max_rows` labelled documents."""
+    """(id, label, text) of at most about `max_rows` labelled documents."""
     known = one_label(labels, doc_id, label)
     total = known.count()
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     texts = df.select(df[doc_id].alias("__id"), df[text].alias("__text"))
-    rows = texts.join(F.broadcast(known), "__id")  # at most max_rows ids and labels
+    return texts.join(F.broadcast(known), "__id").select("__id", "__label", "__text")  # at most max_rows ids and labels
+
+
+def _frequent(sample: DataFrame, min_rows: int, gaps: tuple, within: np.ndarray | None = None) -> np.ndarray:
+    """The features of these kinds that `min_rows` texts of the sample hold, sorted; bounded with the sample."""
+    shared = sample.sparkSession.sparkContext.broadcast(within)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, slice_texts in text_slices(batches, "__text"):
-            flat, ends = features_of(slice_texts)
-            own = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            ids = [pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), type=pa.int32()), pa.array(np.concatenate(own))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(*ids)], ["id", "label", "features"])
+        for _, texts in text_slices(batches):
+            flat, ends = features_of(texts, gaps, shared.value)
+            own, n = np.unique(np.concatenate([np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int32))], ["key", "n"])
 
-    return rows.select("__id", "__label", "__text").mapInArrow(run, f"id {dict(texts.dtypes)['__id']}, label int, features array<long>")
+    counts = sample.select("__text").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") >= min_rows).select("key").toArrow()["key"].to_numpy())
 
 
 def fit(
@@ -92,22 +106,23 @@ def fit(
 ) -> Model:
     """Learn from the rows of `labels` alone. Without labelled texts the model gives every text 0.5."""
     sample = cut(_sample(df, labels, doc_id, text, label, max_rows))
-    frequent = sample.select(F.explode("features").alias("key")).groupBy("key").count().where(F.col("count") >= min_rows)
-    keys = np.sort(frequent.select("key").toArrow()["key"].to_numpy())  # bounded with the sample
+    words = _frequent(sample, min_rows, ((),))
+    keys = np.union1d(words, _frequent(sample, min_rows, ((1,), (2,), (3,)), words))
     session = df.sparkSession
     shared = session.sparkContext.broadcast(keys)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
-            rows = [np.asarray(f.values) for f in batch.column(2)]
+        for batch, texts in text_slices(batches):
+            flat, ends = features_of(texts)
+            rows = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             places = [np.searchsorted(known, f[np.isin(f, known, assume_unique=True)]) for f in rows]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in places])])
             flat = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "label", "places"])
 
-    pruned = sample.select("id", "label", "features").mapInArrow(prune, f"id {dict(sample.dtypes)['id']}, label int, places array<int>")
+    pruned = sample.mapInArrow(prune, f"id {dict(sample.dtypes)['__id']}, label int, places array<int>")
     dealt = pruned.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     state = (np.zeros(len(keys) + 1), np.zeros(len(keys) + 1))  # the last coordinate is the bias
 
@@ -150,7 +165,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "__text"):
+        for batch, texts in text_slices(batches):
             m = shared.value.margins(*features_of(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(m, -35, 35))))], [*keep, out])
 
