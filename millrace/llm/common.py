@@ -31,6 +31,14 @@ def one_label(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     return known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
 
 
+def beside_text(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns to carry, then the text under a name that none of them has."""
+    name = "__text"
+    while name in keep:
+        name += "_"
+    return df.select(*keep, df[text].alias(name))
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches, whose last column is a text, into pieces of at most `limit` text bytes: (the rows, their texts with null as '')."""
     for batch in batches:

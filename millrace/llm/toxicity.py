@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import gram_hashes, one_label, text_slices, word_hashes, words_of
+from millrace.llm.common import beside_text, gram_hashes, one_label, text_slices, word_hashes, words_of
 from millrace.session import cut
 
 MAX_ROWS = 16_000
@@ -170,4 +170,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(m, -35, 35))))], [*keep, out])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{out}` double"])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return beside_text(df, keep, text).mapInArrow(run, schema)
