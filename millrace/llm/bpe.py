@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import in_turn, text_slices, words_of
+from millrace.llm.common import beside_text, in_turn, text_slices, words_of
 
 KEPT_WORDS = 800_000
 """Words whose ids a Python worker remembers; it starts anew when it has more."""
@@ -237,7 +237,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
     A null or empty text has no ids. A carried column named like `ids` is replaced.
     """
     keep = [c for c in (keep if keep is not None else df.columns) if c != ids]
-    rows = df.select(*keep, df[text].alias("__text"))
+    rows = beside_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_bpe(path)
