@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import beside_text
+
 SAMPLE_PAGES = 2_000
 """Labelled pages to learn from, at most, taken by a digest of their ids."""
 
@@ -227,4 +229,4 @@ def extract_text(df: DataFrame, weights: Weights, html: str = "html", out: str =
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(texts, type=pa.string())], [*keep, out])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{out}` string"])
-    return df.select(*keep, df[html].alias("__html")).mapInArrow(run, schema)
+    return beside_text(df, keep, html).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import one_label, text_slices, words_of
+from millrace.llm.common import beside_text, one_label, text_slices, words_of
 from millrace.session import cut
 
 SYMBOLS = "[^\\p{L}\\p{N}\\p{M}.,;:'\"?()-]"
@@ -109,7 +109,7 @@ def described(df: DataFrame, text: str = "text", keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], [*keep, "x"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "x array<float>"])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return beside_text(df, keep, text).mapInArrow(run, schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -237,7 +237,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, out])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), f"`{out}` double"])
-    return df.select(*keep, df[text].alias("__text")).mapInArrow(run, schema)
+    return beside_text(df, keep, text).mapInArrow(run, schema)
 
 
 def scored(rows: DataFrame, model: Model, out: str = "score") -> DataFrame:
