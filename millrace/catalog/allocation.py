@@ -8,6 +8,7 @@ from millrace.catalog.registry import draw_sql, key_sql, load, norm_sql, query,
 from millrace.functions.draws import shuffle_key, uniform, weighted_choice
 from millrace.operators import allocate, lookups
 from millrace.operators.cuts import exact_split, take_quota
+from millrace.operators.ordered import numbered
 from millrace.session import cut
 
 LANGS = {"en": 40, "fr": 25, "de": 15, "es": 10}
@@ -106,7 +107,7 @@ TEMPLATES = {
 FALLBACK = ["Note in {language}: {task}", "Outline of {concept} in {language}"]
 CATEGORIES = {"easy": ["sorting", "naming"], "medium": ["sorting", "storage", "missing"]}
 OTHER = ["storage", "sorting"]
-TASKS = {"sorting": ["sort the rows", "merge two lists"], "naming": ["name the columns"], "storage": ["store a table", "split a file", "pack"]}
+TASKS = {"sorting": ["sort the rows", "merge two lists"], "naming": ["name the columns"], "storage": ["store a table", "parse {problem} and {concept}", "pack"]}
 
 
 def _sql_list(items) -> str:
@@ -123,14 +124,16 @@ def _expansion_sql() -> str:
     ) + " else [" + ", ".join(f"replace('{t}', '{{language}}', lang)" for t in FALLBACK) + "] end"
     cats = "case " + " ".join(f"when difficulty = '{b}' then {_sql_list(c)}" for b, c in CATEGORIES.items()) + f" else {_sql_list(OTHER)} end"
     tasks = "case " + " ".join(f"when category = '{c}' then {_sql_list(t)}" for c, t in TASKS.items()) + " else ['find an answer'] end"
-    fill = "template"
-    for slot, value in {
+    fill, values = "template", {
         "task": "task", "problem": "task",
         "concept": f"coalesce({words_sql('task')}[-1], 'solution')",
         "algorithm": f"coalesce({words_sql('task')}[1], 'algorithm')",
         "features": "'advanced ' || task",
-    }.items():
-        fill = f"replace({fill}, '{{{slot}}}', {value})"
+    }
+    for i, slot in enumerate(values, 1):  # marks first, so that braces in a value stay
+        fill = f"replace({fill}, '{{{slot}}}', chr({i}))"
+    for i, value in enumerate(values.values(), 1):
+        fill = f"replace({fill}, chr({i}), {value})"
     return f"""
       with d as (select doc_id, lang, case when n_chars < 500 then 'easy' when n_chars < 2000 then 'medium' else 'hard' end as difficulty from documents),
            o as (select *, {templates} as ts, {cats} as cs from d),
@@ -168,17 +171,17 @@ def review_sample(spark, sf):
     return load(spark, sf, "documents").where(uniform(42, F.col("doc_id"), "review") < 0.05).select("doc_id")
 
 
-@query(f"select doc_id, lang from documents order by {key_sql('doc_id')}, doc_id limit 1000")
+@query(f"select doc_id, lang from documents order by {key_sql('doc_id')}, doc_id limit 100")
 def fixed_size_sample(spark, sf):
-    """The 1,000 rows that come first in the seeded shuffle."""
+    """The 100 rows that come first in the seeded shuffle."""
     docs = load(spark, sf, "documents").select("doc_id", "lang")
-    return docs.orderBy(shuffle_key(42, F.col("doc_id")), "doc_id").limit(1000)
+    return docs.orderBy(shuffle_key(42, F.col("doc_id")), "doc_id").limit(100)
 
 
-@query(f"select doc_id, {key_sql('doc_id')} as shuffle_key from documents")
+@query(f"select doc_id, {key_sql('doc_id')} as shuffle_key, row_number() over (order by {key_sql('doc_id')}, doc_id) as place from documents")
 def seeded_order(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", shuffle_key(42, F.col("doc_id")).alias("shuffle_key"))
-    return docs.orderBy("shuffle_key", "doc_id")
+    return numbered(docs, [], [F.col("shuffle_key"), F.col("doc_id")], "place").orderBy("place")
 
 
 SPLIT_SQL = f"""

@@ -31,19 +31,20 @@ def stream_outcome_counts(spark, sf):
     reason = F.when(F.col("event_type") == "error", "failed").when(value < 5, "too_short").when(value > 100, "too_long").otherwise("accepted")
     root = fresh_folder(spark, "outcomes")
     jobs.count_batches(stream(spark, sf), [reason.alias("reason")], f"{root}/rows", f"{root}/progress")
-    return jobs.total_counts(spark, f"{root}/rows", ["reason"])
+    return jobs.total_counts(spark, f"{root}/rows", ["reason"], "reason string")
 
 
 @query(
-    """with w as (select user_id, floor(value)::bigint as tok, unnest(range(epoch_us(ts) // 600000000 * 600000000 - 3000000000, epoch_us(ts) // 600000000 * 600000000 + 1, 600000000)) as start_us, epoch_us(ts) as t from events),
-            m as (select max(epoch_us(ts)) // 1000 * 1000 - 60000000 as wm from events)
-       select start_us, user_id, count(*) as requests, sum(tok)::bigint as tokens from w, m
-       where t < start_us + 3600000000 and start_us + 3600000000 <= wm group by 1, 2"""
+    """with w as (select user_id, floor(value)::bigint as tok, unnest(range(epoch_us(ts) // 600000000 * 600000000 - 3000000000, epoch_us(ts) // 600000000 * 600000000 + 1, 600000000)) as start_us, epoch_us(ts) as t from events)
+       select start_us, user_id, count(*) as requests, sum(tok)::bigint as tokens from w
+       where t < start_us + 3600000000 group by 1, 2"""
 )
 def stream_sliding_totals(spark, sf):
-    """Hour-long windows every ten minutes; those still open at the end are not given out."""
-    totals = jobs.sliding_totals(stream(spark, sf), "ts", ["user_id"], F.floor("value"), "1 hour", "10 minutes")
-    return spark.read.schema(totals.schema).parquet(jobs.run_to_folder(totals, "sliding"))
+    """Hour-long windows every ten minutes; a batch job adds those still open when the stream ends."""
+    shape = (["user_id"], F.floor("value"), "1 hour", "10 minutes")
+    totals = jobs.sliding_totals(stream(spark, sf), "ts", *shape)
+    closed = spark.read.schema(totals.schema).parquet(jobs.run_to_folder(totals, "sliding"))
+    return closed.unionByName(jobs.open_windows(load(spark, sf, "events"), closed, "ts", *shape))
 
 
 @query("select distinct event_type, user_id from events")

@@ -9,7 +9,8 @@ from millrace.functions import text as tx
 from millrace.functions.code import compiles, parse_state, syntax_facts
 from millrace.operators.code_metrics import code_quality
 from millrace.operators.ledger import option_or, token_cost
-from millrace.operators.rolling import elapsed, scheduled_weights
+from millrace.operators.rolling import age_weights as age_decay
+from millrace.operators.rolling import elapsed
 
 
 @query(f"select doc_id, md5({norm_sql('text')}) as text_key from documents")
@@ -191,29 +192,16 @@ def elapsed_times(spark, sf):
     return rows.select("event_id", r6(F.col("elapsed_s")).alias("elapsed_s"))
 
 
-def _schedule_sql() -> str:
-    pair = {
-        "linear": ("0.7 * (1 - p * 0.3)", "0.3 * (1 + p * 0.5)"),
-        "cosine": ("0.7 * (0.5 * (1 + cos(pi() * p)))", "0.3 * (0.5 * (1 + cos(pi() * (1 - p))))"),
-        "exponential": ("0.7 * exp(-2 * p)", "0.3 * (1 + p)"),
-        "fixed": ("0.7::double", "0.3::double"),
-    }
-    cols = ", ".join(f"round(({a}) / ({a} + {b}), 6) as {n}_first, round(({b}) / ({a} + {b}), 6) as {n}_second" for n, (a, b) in pair.items())
-    return f"""with e as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from events),
-                    q as (select event_id, (epoch_us(ts) - (select lo from e)) / (select hi - lo from e) as p from events)
-               select event_id, {cols} from q"""
-
-
-@query(_schedule_sql())
-def progress_weights(spark, sf):
-    events = load(spark, sf, "events").select("event_id", F.unix_micros("ts").alias("t"))
-    ends = events.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
-    p = (F.col("t") - ends["lo"]) / (ends["hi"] - ends["lo"])
-    cols = []
-    for name in ("linear", "cosine", "exponential", "fixed"):
-        a, b = scheduled_weights(p, name, 0.7, 0.3)
-        cols += [r6(a).alias(f"{name}_first"), r6(b).alias(f"{name}_second")]
-    return events.select("event_id", *cols)
+@query(
+    """with e as (select event_id, nullif(event_type, 'error') as kind, epoch_us(ts) / 1e6 as s from events),
+            r as (select *, pow(0.5, (max(s) over (partition by kind) - s) / 604800) as raw from e)
+       select event_id, round(raw / sum(raw) over (partition by kind), 9) as weight from r"""
+)
+def age_weights(spark, sf):
+    """Weights that halve with every week of age, per kind of event; errors have no kind."""
+    kind = F.nullif(F.col("event_type"), F.lit("error")).alias("kind")
+    rows = age_decay(load(spark, sf, "events").select("event_id", kind, "ts"), ["kind"], "ts", 7 * 86_400)
+    return rows.select("event_id", F.round("weight", 9).alias("weight"))
 
 
 def part_code(spark, sf):
@@ -260,11 +248,16 @@ def code_facts(spark, sf):
 
 
 @query(
-    """select node, sum(n)::bigint as n from (
-         select unnest([{'node': 'For', 'n': 1}, {'node': 'If', 'n': p_size % 4}, {'node': 'FunctionDef', 'n': 1}, {'node': 'Pass', 'n': 1}], recursive := true)
-         from part where p_partkey % 7 <> 0 and p_partkey % 5 <> 0) where n > 0 group by node"""
+    """with g as (select p_size % 4 as k, (p_size % 2 = 0)::int as d from part where p_partkey % 7 <> 0 and p_partkey % 5 <> 0),
+            f as (select count(*) as n from part where p_partkey % 7 <> 0 and p_partkey % 5 = 0),
+            t as (select count(*) as n, sum(k) as k, sum(d) as d from g),
+            c as (select unnest(['Module', 'Return', 'FunctionDef', 'arguments', 'arg', 'For', 'Pass', 'Expr', 'Constant', 'Name', 'Load', 'Store',
+                                 'If', 'Compare', 'Gt', 'Assign', 'BinOp', 'Sub']) as node,
+                         unnest([t.n + f.n, t.n + f.n, t.n, t.n, t.n, t.n, t.n, d, d + 2 * k + f.n, 3 * t.n + 3 * k, 2 * t.n + 2 * k, t.n + k,
+                                 k, k, k, k, k, k])::bigint as n from t, f)
+       select node, n from c where n > 0"""
 )
 def node_totals(spark, sf):
+    """How often each kind of syntax node stands in the programs."""
     nodes = part_code(spark, sf).select(F.explode(syntax_facts(F.col("code"))["nodes"]).alias("node", "n"))
-    kept = nodes.where(F.col("node").isin("For", "If", "FunctionDef", "Pass"))
-    return kept.groupBy("node").agg(F.sum("n").alias("n"))
+    return nodes.groupBy("node").agg(F.sum("n").alias("n"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import load, query, r6
 from millrace.operators import verdicts as vd
-from millrace.operators.joins import attach, settle
+from millrace.operators.bounds import settle
+from millrace.operators.joins import attach
 
 BENCHMARKS = ["en", "fr", "de", "es"]
 STAMP = "2024-01-31 00:00:00"
@@ -93,7 +94,7 @@ def leaderboard(spark, sf):
     + " from c group by model"
 )
 def metric_columns(spark, sf):
-    wide = vd.metric_columns(score_table(spark, sf), BENCHMARKS)
+    wide = vd.metric_columns(score_table(spark, sf))
     return wide.select("model", *[r6(F.col(c)).alias(c) for c in wide.columns if c != "model"])
 
 

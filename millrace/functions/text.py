@@ -1,4 +1,4 @@
-"""Text columns. All are built-in expressions and stay inside whole-stage code."""
+"""Text columns, all of built-in expressions."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ SPACE_CODES = (
 )
 SPACES = "".join(map(chr, SPACE_CODES))
 # The same set as a pattern; a class that lists the code points is several times slower.
-SPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
+_SPACE, _VISIBLE = r"[\s\x1C-\x1F]", r"[^\s\x1C-\x1F]"
+SPACE_RUN = f"(?U){_SPACE}+"
+_SLOT = r"\{\{|\}\}|\{\w+\}|[^{}]+|[{}]"
 
 
 def strip(c: Column) -> Column:
@@ -49,18 +51,30 @@ def words(c: Column) -> Column:
 
 
 def first_word(c: Column, default: str) -> Column:
-    return F.coalesce(F.try_element_at(words(c), F.lit(1)), F.lit(default))
+    found = F.regexp_extract(c, f"(?U)^{_SPACE}*({_VISIBLE}+)", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit(default))
 
 
 def last_word(c: Column, default: str) -> Column:
-    return F.coalesce(F.try_element_at(words(c), F.lit(-1)), F.lit(default))
+    found = F.regexp_extract(c, f"(?Us)^(?:.*{_SPACE})?({_VISIBLE}+){_SPACE}*$", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit(default))
 
 
 def fill_slots(template: Column, slots: Mapping[str, Column]) -> Column:
-    """Put values into the `{name}` slots of a template."""
-    for name, value in slots.items():
-        template = F.replace(template, F.lit("{" + name + "}"), value)
-    return template
+    """Put values into the `{name}` slots of a template, in one pass.
+
+    A value is put in as it is, braces included. `{{` and `}}` stand for single braces, a slot
+    without a value stays, and the result is null if a value that is asked for is.
+    """
+
+    def part(p: Column) -> Column:
+        filled = F.when(p == "{{", F.lit("{")).when(p == "}}", F.lit("}"))
+        for name, value in slots.items():
+            filled = filled.when(p == "{" + name + "}", value)
+        return filled.otherwise(p)
+
+    parts = F.transform(F.regexp_extract_all(template, F.lit(_SLOT), F.lit(0)), part)
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))
 
 
 def task_slots(task: Column) -> dict[str, Column]:
@@ -86,7 +100,7 @@ def line_count(c: Column) -> Column:
 
 def comment_lines(c: Column) -> Column:
     """Lines whose first visible character is `#`."""
-    return F.size(F.filter(F.split(c, "\n", -1), lambda line: F.startswith(strip(line), F.lit("#"))))
+    return F.regexp_count(c, F.lit(r"(?Umd)^[\s\x1C-\x1F&&[^\n]]*#"))
 
 
 def comment_density(c: Column) -> Column:

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text_key
+from millrace.operators.joins import meet
 
 # Default shares in percent.
-LANGUAGE_SHARES = {"python": 40, "javascript": 25, "java": 15, "cpp": 10, "go": 5, "rust": 5}
-DIFFICULTY_SHARES = {"easy": 30, "medium": 50, "hard": 20}
 STYLE_SHARES = {"clean": 50, "documented": 30, "optimized": 20}
 
 UNIT_CHUNK = 100_000
@@ -71,7 +70,7 @@ def total_quota(nested: DataFrame, column: str = "quotas") -> DataFrame:
 def shortfall(rows: DataFrame, by: Sequence[str], quotas: DataFrame) -> DataFrame:
     """Quota, rows delivered and the gap, per stratum."""
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("delivered"))
-    joined = quotas.select(*by, "quota").join(counts, list(by), "left")
+    joined = meet(quotas.select(*by, "quota"), counts, by)
     delivered = F.coalesce("delivered", F.lit(0))
     return joined.select(*by, "quota", delivered.alias("delivered"), (F.col("quota") - delivered).alias("shortfall"))
 
@@ -79,6 +78,6 @@ def shortfall(rows: DataFrame, by: Sequence[str], quotas: DataFrame) -> DataFram
 def capacity(df: DataFrame, by: Sequence[str], text: str, quotas: DataFrame) -> DataFrame:
     """Distinct texts a stratum can give against its quota."""
     distinct = df.groupBy(*by).agg(F.count_distinct(text_key(F.col(text))).alias("capacity"))
-    joined = quotas.select(*by, "quota").join(distinct, list(by), "left")
+    joined = meet(quotas.select(*by, "quota"), distinct, by)
     have = F.coalesce("capacity", F.lit(0))
     return joined.select(*by, "quota", have.alias("capacity"), (have >= F.col("quota")).alias("enough"))

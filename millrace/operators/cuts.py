@@ -16,14 +16,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.draws import shuffle_key
-from millrace.operators.joins import attach, settle
+from millrace.operators.bounds import settle
+from millrace.operators.joins import attach, meet
 
 BUCKET_DIGITS = 4
 """Hexadecimal digits of the key that make a bucket: 65,536 buckets."""
 
 
+def _key(seed: int | str, row_id: str) -> Column:
+    """The shuffle key; a missing id comes first, as the empty key."""
+    return F.coalesce(shuffle_key(seed, F.col(row_id)), F.lit(""))
+
+
 def _keyed(df: DataFrame, by: Sequence[str], row_id: str, seed: int | str) -> DataFrame:
-    keyed = df.select(*by, F.col(row_id).alias("__id"), shuffle_key(seed, F.col(row_id)).alias("__key"))
+    keyed = df.select(*by, F.col(row_id).alias("__id"), _key(seed, row_id).alias("__key"))
     return keyed.withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
 
 
@@ -43,28 +49,32 @@ def rank_cuts(df: DataFrame, by: Sequence[str], row_id: str, seed: int | str, ra
     upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__bucket"))
     buckets = counts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__n"))
     holds = (F.col("rank") > F.col("__before")) & (F.col("rank") <= F.col("__upto"))
-    wanted = buckets.join(ranks, list(by)).where(holds)
+    wanted = meet(buckets, ranks, by, "inner").where(holds)
     wanted = wanted.select(*by, "__bucket", (F.col("rank") - F.col("__before")).alias("__place"))
     # one row per stratum on the right, so the join only picks the buckets
-    inside = keyed.join(F.broadcast(wanted) if small else wanted, [*by, "__bucket"])
+    inside = meet(keyed, F.broadcast(wanted) if small else wanted, [*by, "__bucket"], "inner")
     found = _placed(inside, by).where("__rn = __place")
     return found.select(*by, F.col("__key").alias("cut_key"), F.col("__id").alias("cut_id"))
 
 
 def not_after(seed: int | str, row_id: str, cut_key: Column, cut_id: Column) -> Column:
     """Whether a row comes no later than the cut row in the seeded shuffle."""
-    key = shuffle_key(seed, F.col(row_id))
-    return (key < cut_key) | ((key == cut_key) & (F.col(row_id) <= cut_id))
+    key = _key(seed, row_id)
+    return (key < cut_key) | ((key == cut_key) & F.coalesce(F.col(row_id) <= cut_id, F.lit(True)))
 
 
 def take_quota(df: DataFrame, by: Sequence[str], quotas: DataFrame, row_id: str, seed: int | str = 42) -> DataFrame:
     """Keep, per stratum, the first `quota` rows of the seeded shuffle.
 
-    A stratum without a quota gives nothing; one with fewer rows gives all it has.
+    A stratum without a quota gives nothing; one with fewer rows gives all it has. A null
+    stratum is a stratum like any other.
     """
     ranks, small = settle(quotas.where("quota > 0").select(*by, F.col("quota").cast("long").alias("rank")))
-    limits = ranks.join(rank_cuts(df, by, row_id, seed, ranks, small), list(by), "left").drop("rank")
-    rows = attach(df, limits, by, "inner", spread=[row_id])
+    limits = meet(ranks, rank_cuts(df, by, row_id, seed, ranks, small), by).drop("rank")
+    if small:  # as many rows as the quotas have, and of bounded width
+        rows = meet(df, F.broadcast(limits), by, "inner")
+    else:
+        rows = attach(df, limits, by, "inner", spread=[row_id])
     keep = F.col("cut_key").isNull() | not_after(seed, row_id, F.col("cut_key"), F.col("cut_id"))
     return rows.where(keep).drop("cut_key", "cut_id")
 
@@ -77,7 +87,8 @@ def split_column(
 ) -> Column:
     """Column that names the part of a row, for tables with the same ids.
 
-    Sizes are floor(n * share); the last part takes the rest. Two passes over the ids
+    Sizes are floor(n * share); the last part takes the rest. `row_id` must be unique, one null
+    included. Two passes over the ids
     find the cuts (65,536 counts and a handful of rows reach the driver, whatever the
     size of the table); the column is then a plain comparison.
     """
@@ -99,7 +110,7 @@ def split_column(
         found = {(r["__bucket"], r["__rn"]): r for r in inside.where(wanted).collect()}
         for name in reversed(places):
             row = found[places[name]]
-            hit = not_after(seed, row_id, F.lit(row["__key"]), F.lit(row["__id"]))
+            hit = not_after(seed, row_id, F.lit(row["__key"]), F.lit(row["__id"]) if row["__id"] is not None else F.lit(None))
             label = F.when(hit, F.lit(name)).otherwise(label)
     return label
 

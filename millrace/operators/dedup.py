@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import text_key
-from millrace.operators.joins import BROADCAST_ROWS, settle
+from millrace.operators.bounds import BROADCAST_ROWS, settle
 from millrace.operators.rules import REASONS, reason_code
 from millrace.session import cut
 

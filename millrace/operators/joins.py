@@ -1,50 +1,31 @@
-"""Joins of many rows to a table that has one row per key."""
+"""Joins of many rows to a table that has one row per key. A null key is a key like any other."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from millrace.operators.bounds import BROADCAST_ROWS, settle
 from millrace.operators.ordered import GROUP_ROWS, group_extent
-from millrace.session import cut
-
-BROADCAST_ROWS = 50_000
-"""Largest lookup table, in rows, that is sent to every executor."""
-
-BROADCAST_WIDTH = 1_024
-"""Longest text or nested value, in bytes, of such a table."""
 
 CROWDED_KEYS = 50_000
 """Most keys that are treated as crowded: each holds more than this share of the rows."""
 
 
-def _within_width(df: DataFrame) -> Column:
-    """Whether no value of a row is longer than `BROADCAST_WIDTH`."""
-    fits = F.lit(True)
-    for f in df.schema:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            fits = fits & (F.coalesce(F.octet_length(f.name), F.lit(0)) <= BROADCAST_WIDTH)
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            fits = fits & (F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)) <= BROADCAST_WIDTH)
-    return fits
-
-
-def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Compute `df` once: (the table to go on with, whether it is small).
-
-    A table of at most `rows` rows without long values goes through the driver and becomes
-    a local table, ready to be broadcast; values too long for that are not fetched. Any
-    other table is written to the shared folder.
-    """
-    fits = _within_width(df)
-    head = df.limit(rows + 1).select(*[F.when(fits, F.col(c)).alias(c) for c in df.columns], fits.alias("__fits")).toArrow()
-    if head.num_rows <= rows and pc.all(head["__fits"], min_count=0).as_py():
-        return df.sparkSession.createDataFrame(head.drop_columns("__fits"), df.schema), True
-    return cut(df), False
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys of which null equals null. A full outer join takes the key from either side."""
+    renamed = right.select(*[F.col(k).alias(f"__k_{k}") if k in keys else F.col(k) for k in right.columns])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = left.join(renamed, match, how)
+    if how in ("left_anti", "left_semi"):
+        return joined
+    if how == "full_outer":  # an absent side has null keys, so where they differ the other side's counts
+        joined = joined.withColumns({k: F.coalesce(k, f"__k_{k}") for k in keys})
+    return joined.drop(*[f"__k_{k}" for k in keys])
 
 
 def attach(
@@ -56,24 +37,26 @@ def attach(
     small: int = BROADCAST_ROWS,
     hot: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Join `dim`, unique on `keys`, to `df`.
+    """Join `dim`, unique on `keys`, to `df`; null keys meet.
 
-    A lookup of proven size is broadcast. A larger one is shuffled; a key with more than
-    `hot` rows on the left is then spread, by the hash of the `spread` columns (all
+    A lookup of proven size is broadcast. A larger one is shuffled; a key (null as well) with
+    more than `hot` rows on the left is then spread, by the hash of the `spread` columns (all
     columns when none are named), over as many copies of its one lookup row as it has
-    multiples of `hot`. At most `CROWDED_KEYS` keys can be that large.
+    multiples of `hot`. At most `CROWDED_KEYS` keys can be that large; they are broadcast if
+    their values are small.
     """
     dim, is_small = settle(dim, small)
     if is_small:
-        return df.join(F.broadcast(dim), list(keys), how)
+        return meet(df, F.broadcast(dim), keys, how)
     widest, total = group_extent(df, keys)
     if widest <= hot:
-        return df.join(dim, list(keys), how)
+        return meet(df, dim, keys, how)
     hot = max(hot, total // CROWDED_KEYS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot)
-    crowded = F.broadcast(sizes.select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__copies")))
+    crowded, few = settle(sizes.select(*keys, F.ceil(F.col("__n") / hot).cast("int").alias("__copies")), CROWDED_KEYS)
+    crowded = F.broadcast(crowded) if few else crowded
     copies = F.coalesce("__copies", F.lit(1))
     salt = F.pmod(F.xxhash64(*(spread or df.columns)), copies.cast("long")).cast("int")
-    left = df.join(crowded, list(keys), "left").withColumn("__salt", salt).drop("__copies")
-    right = dim.join(crowded, list(keys), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return left.join(right.drop("__copies"), [*keys, "__salt"], how).drop("__salt")
+    left = meet(df, crowded, keys).withColumn("__salt", salt).drop("__copies")
+    right = meet(dim, crowded, keys).withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return meet(left, right.drop("__copies"), [*keys, "__salt"], how).drop("__salt")

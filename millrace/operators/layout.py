@@ -16,7 +16,7 @@ def turn_pairs(turns: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     def make(w):
         return {"__role": F.lead("role").over(w), "output": F.lead("text").over(w)}
 
-    rows = framed(turns, ["conv_id"], [F.col("turn")], make, ahead=1, limit=limit)
+    rows = framed(turns, ["conv_id"], [F.col("turn")], make, ahead=1, limit=limit, wide=["text"])
     pairs = rows.where((F.col("role") == "user") & (F.col("__role") == "assistant"))
     return pairs.select("conv_id", "turn", F.col("text").alias("instruction"), "output")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.draws import pick
 from millrace.functions.text import fill_slots, task_slots
-from millrace.operators.joins import attach
+from millrace.operators.joins import attach, meet
 from millrace.sources.tables import from_records
 
 
@@ -65,10 +65,10 @@ def filled(template: Column, task: Column) -> Column:
 
 
 def overlay(base: DataFrame, over: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """Both settings tables as one; where a key is in both, `over` wins."""
+    """Both settings tables as one; where a key (null as well) is in both, `over` wins."""
     left = base.select(key, F.col(value).alias("__a"))
     right = over.select(key, F.col(value).alias("__b"), F.lit(True).alias("__in"))
-    joined = left.join(right, key, "full_outer")
+    joined = meet(left, right, [key], "full_outer")
     return joined.select(key, F.when(F.col("__in"), F.col("__b")).otherwise(F.col("__a")).alias(value))
 
 

@@ -21,20 +21,28 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from millrace.operators.bounds import settle, width
 from millrace.session import cut
 
 GROUP_ROWS = 2_000_000
 """Largest group that is left to a single window task."""
 
+ROW_BYTES = 128
+"""Bytes that count as one row where wide columns ride along: `GROUP_ROWS` then stands for 256 MB."""
+
 MAX_RUNS = 50_000
 """Most partitions of a range-partitioned table; beyond it they grow instead."""
 
 _RUN, _RN, _BLOCK, _HOME = "__run", "__rn", "__block", "__home"
 
 
-def group_extent(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows in the largest group, rows in all)."""
-    if keys:
+def group_extent(df: DataFrame, keys: Sequence[str], wide: Sequence[str] = ()) -> tuple[int, int]:
+    """(rows in the largest group, rows in all). With `wide` columns, a row counts once for
+    each `ROW_BYTES` that they hold."""
+    if wide:
+        rows = F.greatest(F.count(F.lit(1)), F.ceil(F.sum(width(df, list(wide))) / ROW_BYTES))
+        row = df.groupBy(*keys).agg(rows.alias("n")).agg(F.max("n").alias("widest"), F.sum("n").alias("total")).first()
+    elif keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         row = sizes.agg(F.max("n").alias("widest"), F.sum("n").alias("total")).first()
     else:
@@ -62,7 +70,8 @@ def _with_offsets(runs: DataFrame, keys: Sequence[str], totals: dict[str, Column
     match = F.col(_RUN) == F.col("__k_run")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = runs.join(F.broadcast(offsets), match, "left")
+    offsets, few = settle(offsets, MAX_RUNS)
+    joined = runs.join(F.broadcast(offsets) if few else offsets, match, "left")
     return joined.drop("__k_run", "__earlier", *[f"__k_{k}" for k in keys])
 
 
@@ -128,16 +137,21 @@ def framed(
     ahead: int = 0,
     limit: int = GROUP_ROWS,
     extent: tuple[int, int] | None = None,
+    wide: Sequence[str] = (),
 ) -> DataFrame:
     """Add window columns that look at most `back` rows back and `ahead` rows ahead.
 
+    Name the columns that may hold long values in `wide`, so that groups are bounded by bytes.
+
     `make` receives the ordered window and names the new columns. In the wide way a
     key is cut into equal blocks by row number; rows near a border are also copied
     into the neighbouring block as context and dropped again after the window.
     """
-    extent = extent or group_extent(df, keys)
+    extent = extent or group_extent(df, keys, wide)
     if extent[0] <= limit:
         return df.withColumns(make(Window.partitionBy(*keys).orderBy(*order)))
+    if wide:  # fewer rows to a block, as each is wider
+        limit = max(1, limit * df.count() // max(extent[1], 1))
     size = max(limit, back, ahead)
     rows = numbered(df, keys, order, _RN, limit, extent)
     home, place = F.floor((F.col(_RN) - 1) / size), (F.col(_RN) - 1) % size

@@ -35,17 +35,18 @@ def rate_audit(
     widest, total = group_extent(df, keys)
     around = lambda w: {"__next": F.lead("__t").over(w), "__prev": F.lag("__t").over(w)}
     linked = framed(base, keys, order, around, 1, 1, limit, (widest, total))
-    mark = F.struct
-    none = F.lit(None).cast("long")
+    rest = [c for c in base.columns if c not in keys and c != row_id]
+    row, none = F.struct(*rest), F.lit(None).cast("long")  # the row itself rides on its own mark alone
+
+    def mark(phase: int, at: Column, n: int, tok: Column, oldest: Column, kept: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), at.alias("at"), F.lit(n).alias("n"), tok.alias("tok"), oldest.alias("oldest"), kept.alias("row"))
+
     steps = F.array(
-        mark(F.lit(0).alias("phase"), (F.col("__t") + 1).alias("at"), F.lit(1).alias("n"), F.col("__tok").alias("tok"),
-             F.when(F.col("__prev").isNull(), F.col("__t")).alias("oldest")),
-        mark(F.lit(0).alias("phase"), (F.col("__t") + span).alias("at"), F.lit(-1).alias("n"), (-F.col("__tok")).alias("tok"),
-             F.col("__next").alias("oldest")),
-        mark(F.lit(1).alias("phase"), F.col("__t").alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("tok"),
-             none.alias("oldest")),
-    )
-    line = linked.withColumn("__s", F.explode(steps)).drop("__next", "__prev")
+        mark(0, F.col("__t") + 1, 1, F.col("__tok"), F.when(F.col("__prev").isNull(), F.col("__t")), F.when(F.lit(False), row)),
+        mark(0, F.col("__t") + span, -1, -F.col("__tok"), F.col("__next"), F.when(F.lit(False), row)),
+        mark(1, F.col("__t"), 0, F.lit(0).cast("long"), none, row),
+    )
+    line = linked.select(*keys, row_id, F.explode(steps).alias("__s"))
     s = "__s."
     summed = running(
         line,
@@ -56,6 +57,7 @@ def rate_audit(
         limit=limit,
         extent=(3 * widest, 3 * total),
     ).where(F.col(s + "phase") == 1)
+    summed = summed.select(*keys, row_id, s + "row.*", "in_window", "tokens_in_window", "__oldest")
     oldest = F.when(F.col("in_window") > 0, F.col("__oldest"))
     rpm = F.col("in_window") >= max_requests
     tpm = F.col("tokens_in_window") + F.col("__tok") > max_tokens
@@ -67,4 +69,4 @@ def rate_audit(
             "wait_s": F.when(rpm | tpm, wait),
             "no_history": tpm & (F.col("in_window") == 0),
         }
-    ).drop("__s", "__t", "__tok", "__oldest")
+    ).select(*df.columns, "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import norm, squared_gap
+from millrace.functions.arrays import squared_gap, squared_norm
 from millrace.operators.joins import attach
 from millrace.operators.ordered import GROUP_ROWS, framed
 
@@ -42,7 +42,7 @@ def adaptive_clip(
     def make(w):
         recent = w.rowsBetween(1 - n, 0)
         line = F.avg(value).over(recent) + factor * F.stddev_pop(value).over(recent)
-        return {"threshold": F.when(F.count(F.lit(1)).over(recent) > more_than, line)}
+        return {"threshold": F.when(F.count(value).over(recent) > more_than, line)}
 
     rows = framed(df, keys, order, make, back=n - 1, limit=limit)
     over = F.coalesce(F.col(value) > F.col("threshold"), F.lit(False))
@@ -60,7 +60,7 @@ def group_norm(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
 
 def scale_to_norm(df: DataFrame, keys: Sequence[str], value: str, row_id: str, bound: float) -> DataFrame:
     """Shrink groups whose norm is above `bound` down to it. The norms are joined back;
-    crowded groups are spread, not windowed."""
+    crowded groups are spread, not windowed. Rows with a null key are a group too."""
     norms = group_norm(df, keys, F.col(value))
     rows = attach(df, norms, keys, "inner", spread=[row_id])
     factor = F.least(F.lit(1.0), F.lit(float(bound)) / F.nullif(F.col("norm"), F.lit(0.0)))
@@ -89,23 +89,21 @@ def elapsed(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, limit: int
     return framed(rows, keys, [F.col("__t"), F.col(row_id)], make, back=1, limit=limit).drop("__t")
 
 
-# How two weights move with progress p in [0, 1].
-SCHEDULES = {
-    "linear": (lambda p: 1 - p * 0.3, lambda p: 1 + p * 0.5),
-    "cosine": (lambda p: 0.5 * (1 + F.cos(F.pi() * p)), lambda p: 0.5 * (1 + F.cos(F.pi() * (1 - p)))),
-    "exponential": (lambda p: F.exp(-2 * p), lambda p: 1 + p),
-}
+def age_weights(df: DataFrame, keys: Sequence[str], ts: str, half_life_seconds: float) -> DataFrame:
+    """Weight every row by its age against the newest row of its key, as `weight`.
 
-
-def scheduled_weights(progress: Column, schedule: str, first: float, second: float) -> tuple[Column, Column]:
-    """The two weights at a point of progress, scaled to a sum of one. An unknown
-    schedule leaves their ratio as it is."""
-    if schedule in SCHEDULES:
-        fall, rise = SCHEDULES[schedule]
-        a, b = first * fall(progress), second * rise(progress)
-    else:
-        a, b = F.lit(first), F.lit(second)
-    return a / (a + b), b / (a + b)
+    A row that is `half_life_seconds` older than another counts half as much, and the weights of
+    a key add up to one. Rows of one time share the weight; a row without a time has a null one.
+    The newest time and the sum per key are aggregated map-side and joined back, so a crowded
+    key is spread. The exponent is taken from the newest row, so nothing overflows.
+    """
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    newest = df.groupBy(*keys).agg(F.max(seconds).alias("__newest"))
+    rows = attach(df, newest, keys, spread=[ts])
+    raw = F.pow(F.lit(0.5), (F.col("__newest") - seconds) / F.lit(float(half_life_seconds)))
+    aged = rows.withColumn("__raw", raw).drop("__newest")
+    totals = aged.groupBy(*keys).agg(F.sum("__raw").alias("__total"))
+    return attach(aged, totals, keys, spread=[ts]).withColumn("weight", F.col("__raw") / F.col("__total")).drop("__raw", "__total")
 
 
 def step_sizes(df: DataFrame, keys: Sequence[str], row_id: str, vector: str, limit: int = GROUP_ROWS) -> DataFrame:
@@ -114,7 +112,7 @@ def step_sizes(df: DataFrame, keys: Sequence[str], row_id: str, vector: str, lim
     def make(w):
         return {"__before": F.lag(vector).over(w)}
 
-    rows = framed(df.select(*keys, row_id, vector), keys, [F.col(row_id)], make, back=1, limit=limit)
+    rows = framed(df.select(*keys, row_id, vector), keys, [F.col(row_id)], make, back=1, limit=limit, wide=[vector])
     step = F.sqrt(squared_gap(F.col(vector), F.col("__before")))
     return rows.where(F.col("__before").isNotNull()).groupBy(*keys).agg(
         F.avg(step).alias("mean_step"), F.count(F.lit(1)).alias("steps")
@@ -123,7 +121,7 @@ def step_sizes(df: DataFrame, keys: Sequence[str], row_id: str, vector: str, lim
 
 def vector_norms(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     """Length of all vectors of a key taken as one long vector."""
-    return df.groupBy(*keys).agg(F.sqrt(F.sum(norm(F.col(vector)) * norm(F.col(vector)))).alias("norm"))
+    return df.groupBy(*keys).agg(F.sqrt(F.sum(squared_norm(F.col(vector)))).alias("norm"))
 
 
 def divergence(df: DataFrame, label: str, target: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ratio, score_text
-from millrace.operators.joins import settle
+from millrace.operators.bounds import settle
 from millrace.operators.ordered import GROUP_ROWS, numbered
 
 
@@ -75,13 +75,12 @@ def metric_rows(table: DataFrame, prefix: str = "benchmark") -> DataFrame:
     )
 
 
-def metric_columns(table: DataFrame, benchmarks: Sequence[str]) -> DataFrame:
-    """Scores in wide form, one column per named benchmark. Naming them avoids a first
-    pass over the data."""
-    return (
-        table.groupBy("model").pivot("benchmark", list(benchmarks)).agg(F.first("pass_at_1"))
-        .select("model", *[F.col(b).alias(f"{b}_pass_at_1") for b in benchmarks])
-    )
+def metric_columns(table: DataFrame) -> DataFrame:
+    """Scores in wide form, one column for every benchmark that the table holds, in order of
+    their names. The scores are computed once; their benchmarks are few, as they become columns."""
+    table, _ = settle(table)
+    wide = table.groupBy("model").pivot("benchmark").agg(F.first("pass_at_1"))
+    return wide.select("model", *[F.col(f"`{b}`").alias(f"{b}_pass_at_1") for b in wide.columns if b != "model"])
 
 
 def report_lines(table: DataFrame, title: str, generated_at: str, limit: int = GROUP_ROWS) -> DataFrame:
@@ -90,7 +89,8 @@ def report_lines(table: DataFrame, title: str, generated_at: str, limit: int = G
     Section 0 is the head, 1 the ranking per metric, 2 the details per model. The scores
     are used several times, so they are computed once first.
     """
-    table, _ = settle(table)
+    table, few = settle(table)
+    extent = (1, 1) if few else None  # so few rows need no look at their groups
 
     def lines(section: int, group: Column, start: Column, texts: list[Column]) -> Column:
         rows = [
@@ -103,12 +103,12 @@ def report_lines(table: DataFrame, title: str, generated_at: str, limit: int = G
     head = [f"# {title}", "", f"Generated: {generated_at}", "", "## Summary"]
     top = spark.range(1).select(F.explode(lines(0, F.lit(""), F.lit(0), [F.lit(t) for t in head])).alias("l"))
 
-    board = leaderboard(metric_rows(table), limit=limit)
+    board = numbered(metric_rows(table), ["metric"], [F.col("value").desc(), F.col("model")], "position", limit, extent)
     opening = F.when(F.col("position") == 1, F.concat(F.lit("\n### "), F.col("metric")))
     entry = F.concat(F.col("position").cast("string"), F.lit(". "), F.col("model"), F.lit(": "), score_text(F.col("value")))
     ranks = board.select(F.explode(lines(1, F.col("metric"), F.col("position") * 2, [opening, entry])).alias("l"))
 
-    listed = numbered(table, ["model"], [F.col("benchmark")], "__no", limit)
+    listed = numbered(table, ["model"], [F.col("benchmark")], "__no", limit, extent)
     opening = F.when(F.col("__no") == 1, F.concat(F.lit("\n### "), F.col("model")))
     detail = [
         opening,

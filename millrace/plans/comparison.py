@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from millrace.operators import verdicts as vd
-from millrace.operators.joins import settle
+from millrace.operators.bounds import settle
 from millrace.sinks import tables as out
 
 

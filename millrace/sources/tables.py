@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SPLITS = ("train", "validation", "test")
 CORRUPT = "_corrupt_record"
 NULL_TEXT = "\\N"
 """How a null is written in CSV, where it must differ from an empty text."""
@@ -35,37 +34,46 @@ def from_records(spark: SparkSession, records: Iterable, schema: T.StructType |
     return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(schema)), schema)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in order."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    hits = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(h.getPath().toString() for h in hits or [])
 
 
 def read_json_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """JSON lines of a folder, with the split each row belongs to.
 
-    The split is a `split=` folder or the name of a `<split>.jsonl` file. Blank lines are
-    dropped; a line that is no JSON is kept in `_corrupt_record`.
+    The split is any `split=` folder or the name of any `.jsonl` file. Blank lines are
+    dropped; a line that is no JSON is kept in `_corrupt_record`. A folder that holds neither
+    is an error.
     """
     with_bad = T.StructType([*[f for f in schema if f.name != "split"], T.StructField(CORRUPT, T.StringType())])
-    if any(_exists(spark, f"{folder}/split={s}") for s in SPLITS):
+    if _found(spark, f"{folder}/split=*"):
         return spark.read.schema(T.StructType([*with_bad, T.StructField("split", T.StringType())])).json(folder)
-    files = [f"{folder}/{s}.jsonl" for s in SPLITS if _exists(spark, f"{folder}/{s}.jsonl")]
-    if not files:
-        empty = T.StructType([*with_bad, T.StructField("split", T.StringType())])
-        return from_records(spark, [], empty)
-    rows = spark.read.schema(with_bad).json(files)
-    return rows.withColumn("split", F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+)\.jsonl$", 1))
+    if not _found(spark, f"{folder}/*.jsonl"):
+        raise FileNotFoundError(f"no split= folders and no .jsonl files in {folder}")
+    rows = spark.read.schema(with_bad).json(f"{folder}/*.jsonl")
+    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1))
+    return rows.withColumn("split", name)
 
 
 def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Parquet when the folder holds it, JSON lines otherwise; the same columns either way."""
+    """Parquet when the folder holds it, JSON lines otherwise; the same columns either way.
+
+    Parquet files without a `split=` folder have a null split. A line that is no JSON is an
+    error when the rows are read, as is a folder without any such file at once.
+    """
     columns = [f.name for f in schema if f.name != "split"]
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/split=*/*.parquet")
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    if found is not None and len(found) > 0:
+    if _found(spark, f"{folder}/*.parquet"):
+        return spark.read.schema(T.StructType([f for f in schema if f.name != "split"])).parquet(folder).withColumn("split", F.lit(None).cast("string"))
+    if _found(spark, f"{folder}/split=*/*.parquet"):
         full = T.StructType([*[f for f in schema if f.name != "split"], T.StructField("split", T.StringType())])
         return spark.read.schema(full).parquet(folder).select(*columns, "split")
-    return read_json_splits(spark, folder, schema).select(*columns, "split")
+    rows = read_json_splits(spark, folder, schema)
+    bad = F.raise_error(F.concat(F.lit("no JSON: "), F.col(CORRUPT)))
+    checked = rows.withColumn("split", F.when(F.col(CORRUPT).isNull(), F.col("split")).otherwise(bad.cast("string")))
+    return checked.select(*columns, "split")
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:

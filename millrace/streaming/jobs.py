@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.joins import meet
 from millrace.session import fresh_folder
+from millrace.sources.tables import from_records
 
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet", per_trigger: int | None = None) -> DataFrame:
@@ -50,17 +52,31 @@ def count_batches(stream: DataFrame, by: list[Column], out: str, progress: str)
     query.awaitTermination()
 
 
-def total_counts(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
-    """All batches of `count_batches` added up."""
-    return spark.read.parquet(out).groupBy(*by).agg(F.sum("n").alias("n"))
+def total_counts(spark: SparkSession, out: str, by: list[str], schema: str) -> DataFrame:
+    """All batches of `count_batches` added up; no rows before the first batch. `schema`: of the
+    `by` columns."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return from_records(spark, [], f"{schema}, n long")
+    return spark.read.schema(f"{schema}, n long").parquet(out).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def sliding_totals(stream: DataFrame, ts: str, keys: list[str], tokens: Column, size: str = "60 seconds", step: str = "10 seconds", late: str = "60 seconds") -> DataFrame:
     """Requests and tokens per key and sliding window; a window is given out once it is
     older than the watermark."""
+    return _windows(stream.withWatermark(ts, late), ts, keys, tokens, size, step)
+
+
+def open_windows(rows: DataFrame, given_out: DataFrame, ts: str, keys: list[str], tokens: Column, size: str = "60 seconds", step: str = "10 seconds") -> DataFrame:
+    """The windows of a batch of events that a finished stream hasn't given out, as they were
+    still open when it ended. Null keys count."""
+    given = given_out.select("start_us", *keys)
+    return meet(_windows(rows, ts, keys, tokens, size, step), given, ["start_us", *keys], "left_anti")
+
+
+def _windows(rows: DataFrame, ts: str, keys: list[str], tokens: Column, size: str, step: str) -> DataFrame:
     return (
-        stream.withWatermark(ts, late)
-        .groupBy(F.window(ts, size, step), *keys)
+        rows.groupBy(F.window(ts, size, step), *keys)
         .agg(F.count(F.lit(1)).alias("requests"), F.sum(tokens).alias("tokens"))
         .select(F.unix_micros("window.start").alias("start_us"), *keys, "requests", "tokens")
     )

@@ -41,9 +41,27 @@ def test_named_json_files(spark, tmp_path):
     assert [r["_corrupt_record"] for r in got if r["id"] is None] == ["not json"]
 
 
-def test_missing_files_give_an_empty_table(spark, tmp_path):
-    empty = src.read_splits(spark, str(tmp_path), SCHEMA)
-    assert empty.count() == 0 and empty.columns == ["id", "text", "meta", "split"]
+def test_missing_files_are_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        src.read_splits(spark, str(tmp_path), SCHEMA)
+
+
+@pytest.mark.parametrize("write", [out.write_json_splits, out.write_parquet_splits])
+def test_splits_of_any_name(spark, tmp_path, write):
+    df = spark.createDataFrame([(i, "t", {"k": "v"}, ["dev", "held out"][i % 2]) for i in range(10)], "id long, text string, meta map<string,string>, split string")
+    write(df, str(tmp_path / "s"))
+    got = src.read_splits(spark, str(tmp_path / "s"), SCHEMA).collect()
+    assert sorted((r["id"], r["split"]) for r in got) == [(i, ["dev", "held out"][i % 2]) for i in range(10)]
+
+
+def test_flat_parquet_and_bad_lines(spark, tmp_path):
+    df = spark.createDataFrame([(i, "t", {"k": "v"}) for i in range(10)], "id long, text string, meta map<string,string>")
+    df.write.parquet(str(tmp_path / "flat"))
+    got = src.read_splits(spark, str(tmp_path / "flat"), SCHEMA).collect()
+    assert len(got) == 10 and {r["split"] for r in got} == {None}
+    (tmp_path / "dev.jsonl").write_text('{"id": 1, "text": "a"}\nnot json\n')
+    with pytest.raises(Exception, match="no JSON"):
+        src.read_splits(spark, str(tmp_path), SCHEMA).collect()
 
 
 def test_empty_records_keep_the_schema(spark):

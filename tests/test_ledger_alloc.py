@@ -4,8 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import allocate, ledger, lookups, rolling
-from millrace.operators.joins import attach, settle
+from millrace.operators.bounds import settle
+from millrace.operators.joins import attach
 from millrace.sources.tables import from_records
+from millrace.operators.cuts import exact_split, take_quota
+from millrace.operators.ordered import framed, group_extent
+
+# Shares in percent.
+LANGUAGES = {"python": 40, "javascript": 25, "java": 15, "cpp": 10, "go": 5, "rust": 5}
+LEVELS = {"easy": 30, "medium": 50, "hard": 20}
 
 
 def test_usage_worked_values(spark):
@@ -68,7 +75,7 @@ def test_option_or_keeps_zero(spark):
 
 def test_quota_grid(spark):
     def grid(n, mode="floor"):
-        rows = allocate.quota_grid(from_records(spark, [(n,)], "target long"), allocate.LANGUAGE_SHARES, allocate.DIFFICULTY_SHARES, mode=mode)
+        rows = allocate.quota_grid(from_records(spark, [(n,)], "target long"), LANGUAGES, LEVELS, mode=mode)
         return {(r["language"], r["difficulty"]): r["quota"] for r in rows.collect()}
 
     big = grid(25_000)
@@ -129,10 +136,10 @@ def test_settle_counts_rows(spark, rows, want):
 @pytest.mark.parametrize("value", ["x" * 2000, "é" * 600])
 def test_settle_looks_at_width(spark, value):
     df = spark.createDataFrame([(1, value)], "id long, s string")
-    table, small = settle(df)
+    table, small = settle(df, size=1_000)
     assert not small and table.first()["s"] == value
     nested = df.select("id", F.array("s").alias("a"))
-    assert not settle(nested)[1]
+    assert not settle(nested, size=1_000)[1] and settle(nested)[1]
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 4])
@@ -169,8 +176,52 @@ def test_divergence(spark):
     assert half["divergence"] == pytest.approx(0.75 * math.log(1.5)) and half["untargeted_share"] == 0.25
 
 
-@pytest.mark.parametrize("name,p,want", [("linear", 1.0, 0.7 * 0.7 / (0.7 * 0.7 + 0.3 * 1.5)), ("cosine", 0.0, 1.0), ("none", 0.4, 0.7)])
-def test_schedules(spark, name, p, want):
-    a, b = rolling.scheduled_weights(F.lit(p), name, 0.7, 0.3)
-    r = spark.range(1).select(a, b).first()
-    assert r[0] == pytest.approx(want) and r[0] + r[1] == pytest.approx(1)
+def test_age_weights(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("a", 2, 10), ("a", 3, 10), ("b", 4, 5), (None, 5, 0), (None, 6, 20), ("c", 7, None)], "k string, id long, s long")
+    rows = rolling.age_weights(df.withColumn("ts", F.timestamp_seconds("s")), ["k"], "ts", 10)
+    got = {r["id"]: r["weight"] for r in rows.collect()}
+    want = {1: 0.2, 2: 0.4, 3: 0.4, 4: 1.0, 5: 0.2, 6: 0.8}
+    assert got == {**{i: pytest.approx(w) for i, w in want.items()}, 7: None}
+    assert rolling.age_weights(df.limit(0).withColumn("ts", F.timestamp_seconds("s")), ["k"], "ts", 10).count() == 0
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(None, 1, 3.0), (None, 2, 4.0), ("b", 3, 0.5)], "k string, id long, v double")
+    got = {r["id"]: r["scaled"] for r in rolling.scale_to_norm(df, ["k"], "v", "id", 1.0).collect()}
+    assert got == {1: pytest.approx(0.6), 2: pytest.approx(0.8), 3: 0.5}
+    a = spark.createDataFrame([(None, "1"), ("x", "2")], "key string, value string")
+    b = spark.createDataFrame([(None, "3")], "key string, value string")
+    assert {tuple(r) for r in lookups.overlay(a, b).collect()} == {(None, "3"), ("x", "2")}
+    quotas = spark.createDataFrame([(None, 1), ("b", 5)], "k string, quota long")
+    assert [r["k"] for r in take_quota(df, ["k"], quotas, "id").orderBy("k").collect()] == [None, "b"]
+    short = {r["k"]: (r["delivered"], r["shortfall"]) for r in allocate.shortfall(df, ["k"], quotas).collect()}
+    assert short == {None: (2, -1), "b": (1, 4)}
+    full = {r["k"]: r["capacity"] for r in allocate.capacity(df.withColumn("t", F.col("id").cast("string")), ["k"], "t", quotas).collect()}
+    assert full == {None: 2, "b": 1}
+
+
+def test_a_crowded_null_key_is_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(4000).withColumn("k", F.when(F.col("id") % 10 == 0, F.col("id")))
+        dim = spark.range(0, 4000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+        rows = attach(df, dim, ["k"], "left", spread=["id"], small=10, hot=100)
+        sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_null_id_has_a_place_in_the_split(spark):
+    df = spark.createDataFrame([(i if i else None,) for i in range(20)], "id long")
+    parts = [r["split"] for r in exact_split(df, "id").collect()]
+    assert (parts.count("train"), parts.count("validation"), parts.count("test")) == (16, 2, 2)
+
+
+def test_wide_rows_count_by_their_bytes(spark):
+    df = spark.createDataFrame([(1, i, "x" * 1280) for i in range(6)], "k int, id int, t string")
+    assert group_extent(df, ["k"]) == (6, 6) and group_extent(df, ["k"], ["t"]) == (60, 60)
+    lag = lambda w: {"before": F.lag("id").over(w)}
+    for limit in (100, 30):
+        got = framed(df, ["k"], [F.col("id")], lag, back=1, limit=limit, wide=["t"])
+        assert sorted((r["id"], r["before"]) for r in got.collect()) == [(i, i - 1 if i else None) for i in range(6)]

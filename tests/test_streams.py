@@ -35,7 +35,8 @@ def test_batch_counts_equal_the_batch_result(spark):
     for part in range(3):
         put(spark, f"{root}/in", [(part * 10 + i, i, "ab"[i % 2], i) for i in range(7)])
     jobs.count_batches(open_stream(spark, f"{root}/in"), [F.col("key")], f"{root}/out", f"{root}/progress")
-    got = {r["key"]: r["n"] for r in jobs.total_counts(spark, f"{root}/out", ["key"]).collect()}
+    assert jobs.total_counts(spark, f"{root}/none", ["key"], "key string").count() == 0
+    got = {r["key"]: r["n"] for r in jobs.total_counts(spark, f"{root}/out", ["key"], "key string").collect()}
     want = {r["key"]: r["count"] for r in spark.read.parquet(f"{root}/in").groupBy("key").count().collect()}
     assert got == want
     assert spark.read.parquet(f"{root}/out").select("batch").distinct().count() == 3
@@ -50,6 +51,10 @@ def test_sliding_totals_equal_the_batch_result_for_closed_windows(spark):
     closed = batch.where(F.col("window.end") <= F.lit(BASE + dt.timedelta(seconds=59 * 7 - 60)))
     want = {(r[0], r[1], r[2], r[3]) for r in closed.select(F.unix_micros("window.start"), "key", "n", "t").collect()}
     assert got == want and got
+    given = spark.createDataFrame(list(got), totals.schema)
+    tail = {tuple(r) for r in jobs.open_windows(spark.read.parquet(f"{root}/in"), given, "ts", ["key"], F.col("tok")).collect()}
+    every = {(r[0], r[1], r[2], r[3]) for r in batch.select(F.unix_micros("window.start"), "key", "n", "t").collect()}
+    assert tail == every - got and tail
 
 
 def test_first_seen_over_several_batches(spark):

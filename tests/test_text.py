@@ -87,3 +87,23 @@ def test_first_match_is_ordered(spark):
     df = spark.createDataFrame([(0, "XgptLLAMA"), (1, "gpt-x"), (2, "other")], "id long, s string")
     rules = [(("llama",), "one"), (("GPT",), "two")]
     assert column(df, tx.first_match(F.col("s"), rules, "none")) == ["one", "two", "none"]
+
+
+def test_slots_are_filled_in_one_pass(spark):
+    df = spark.createDataFrame([("Do {task}", "parse {problem} and {concept}"), ("{{task}} {other} {", "x"), ("}} {task}", None), ("plain", None), (None, "x")], "t string, v string")
+    got = [r[0] for r in df.select(tx.fill_slots(F.col("t"), {"task": F.col("v"), "problem": F.lit("P"), "concept": F.lit("C")})).collect()]
+    assert got == ["Do parse {problem} and {concept}", "{task} {other} {", None, "plain", None]
+
+
+def test_edge_words_and_comment_lines_take_no_text_apart(spark):
+    texts = ["", " \u00a0\n", "one", "\x1c a\u2003b\n c ", "#a\n  # b\n\u2003#c\nx # d\r\n\t#e\n#", "x\r#y\n\n#", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = F.col("t")
+    rows = df.select(tx.first_word(c, "-"), tx.last_word(c, "+"), tx.comment_lines(c)).collect()
+    want = []
+    for t in texts:
+        words = (t or "").split()
+        lines = None if t is None else sum(line.strip().startswith("#") for line in t.split("\n"))
+        want.append((words[0] if words else "-", words[-1] if words else "+", lines))
+    assert [tuple(r) for r in rows] == want
+    assert "lambda" not in df.select(tx.first_word(c, "-"), tx.last_word(c, "+"), tx.comment_lines(c))._jdf.queryExecution().toString()
