@@ -10,6 +10,7 @@ from millrace.catalog.texts import part_code
 from millrace.functions.text import contains_any
 from millrace.operators import dedup, rules
 from millrace.operators.ledger import completion, usage_totals
+from millrace.operators.ordered import top_per_key
 from millrace.plans.curation import curated_summary, write_curated
 from millrace.session import fresh_folder
 from millrace.sources.tables import read_splits
@@ -56,6 +57,15 @@ def reject_reasons(spark, sf):
     return with_reasons(spark, sf).select("doc_id", "reason")
 
 
+@query(
+    """select doc_id from documents left join labels using (doc_id) where coalesce(quality >= 1, true)"""
+)
+def good_or_unscored(spark, sf):
+    """Documents labelled as good, and those without a label."""
+    docs = load(spark, sf, "documents").select("doc_id")
+    return rules.score_at_least(docs, load(spark, sf, "labels"), "doc_id", "quality", 1, unscored=True)
+
+
 @query(f"select lang, {REASON_SQL} as reason, count(*) as n from documents group by all")
 def reason_counts(spark, sf):
     return with_reasons(spark, sf).groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -151,11 +161,8 @@ def repeat_rate(spark, sf):
 )
 def matching_names(spark, sf):
     """At most four matching names per brand. Spark cuts each task's share to four before the shuffle."""
-    from pyspark.sql import Window
-
     hits = load(spark, sf, "part").where(contains_any(F.col("p_name"), ["ring", "Bolt"]))
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return hits.withColumn("rn", place).where("rn <= 4").select("p_brand", "p_partkey", "p_name")
+    return top_per_key(hits, ["p_brand"], [F.col("p_partkey")], 4).select("p_brand", "p_partkey", "p_name")
 
 
 CURATED_SQL = f"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.catalog.registry import load, query, r6, words_sql
+from millrace.catalog.registry import load, norm_sql, query, r6, words_sql
 from millrace.functions.arrays import mean_squared_gap
-from millrace.operators import layout, rates, rolling
+from millrace.operators import layout, overlap, rates, rolling
 
 ORDER = ["ts", "event_id"]
 
@@ -157,3 +157,46 @@ def fixed_width_rows(spark, sf):
         F.array_join(F.col("mask").cast("array<string>"), ",").alias("mask"),
         F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"),
     )
+
+
+WORDS_SQL = PAIRS_SQL + f""", w as (select conv_id, turn, {words_sql(norm_sql('output'))} as a, {words_sql(norm_sql('instruction'))} as b from p)"""
+GRAMS_SQL = WORDS_SQL.replace("with l as", "with recursive l as") + """,
+  g as (select conv_id, turn, n, true as own, array_to_string(a[i : i + n - 1], ' ') as g from (select *, unnest(range(1, len(a) - n + 2)) as i from (select *, unnest([1, 2, 3, 4]) as n from w))
+        union all
+        select conv_id, turn, n, false, array_to_string(b[i : i + n - 1], ' ') from (select *, unnest(range(1, len(b) - n + 2)) as i from (select *, unnest([1, 2, 3, 4]) as n from w))),
+  k as (select conv_id, turn, n, g, count(*) filter (where own) as c, count(*) filter (where not own) as r from g group by all),
+  m as (select conv_id, turn, n, sum(least(c, r)) as m, sum(c) as c, sum(r) as r from k group by all),
+  x as (select conv_id, turn, {columns} from w left join m using (conv_id, turn) group by conv_id, turn)
+""".format(columns=", ".join(f"coalesce(max({v}) filter (where n = {i}), 0)::double as {v}{i}" for v in "mcr" for i in (1, 2, 3, 4)))
+
+
+@query(
+    GRAMS_SQL
+    + """select conv_id, turn, round(case when m1 * m2 * m3 * m4 > 0 then (case when c1 > r1 then 1 else exp(1 - r1 / c1) end)
+         * exp((ln(m1 / c1) + ln(m2 / c2) + ln(m3 / c3) + ln(m4 / c4)) / 4) else 0 end, 6) as bleu from x"""
+)
+def bleu_scores(spark, sf):
+    """How much of its instruction each answer repeats."""
+    pairs = layout.turn_pairs(load(spark, sf, "conversations"))
+    rows = overlap.bleu(pairs, ["conv_id", "turn"], "output", "instruction")
+    return rows.withColumn("bleu", r6(F.col("bleu")))
+
+
+@query(
+    GRAMS_SQL
+    + """, lcs as (
+           select conv_id, turn, a, b, 0 as i, list_transform(b, lambda z: 0) as dp from w
+           union all
+           select conv_id, turn, a, b, i + 1, list_transform(range(1, len(up) + 1), lambda j: list_max(up[1 : j])) from (
+             select *, list_transform(range(1, len(b) + 1), lambda j: case when b[j] = a[i + 1] then coalesce(case when j > 1 then dp[j - 1] end, 0) + 1 else dp[j] end) as up
+             from lcs where i < len(a))),
+         e as (select conv_id, turn, coalesce(list_max(dp), 0) as lcs, len(a) + len(b) as n from lcs where i = len(a))
+       select conv_id, turn, round(case when m1 > 0 then 2 * m1 / (c1 + r1) else 0 end, 6) as rouge_1, round(case when m2 > 0 then 2 * m2 / (c2 + r2) else 0 end, 6) as rouge_2,
+              round(case when lcs > 0 then 2 * lcs / n else 0 end, 6) as rouge_l from x join e using (conv_id, turn)"""
+)
+def rouge_scores(spark, sf):
+    pairs = layout.turn_pairs(load(spark, sf, "conversations"))
+    grams = overlap.rouge(pairs, ["conv_id", "turn"], "output", "instruction")
+    longest = pairs.select("conv_id", "turn", overlap.rouge_l(F.col("output"), F.col("instruction")).alias("rouge_l"))
+    rows = grams.join(longest, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", *[r6(F.col(c)).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import SPACE_SQL, load, norm_sql, query, r6, strip_sql, words_sql
+from millrace.functions import privacy
 from millrace.functions import text as tx
 from millrace.functions.code import compiles, parse_state, syntax_facts
 from millrace.operators.code_metrics import code_quality
@@ -101,6 +102,23 @@ def test_case_rows(spark, sf):
     return parsed.where("p is not null").select("p_partkey", "place", "p.input", "p.expected")
 
 
+def _mask_sql(c: str) -> str:
+    for pattern, mark in privacy.MASKS.items():
+        c = f"regexp_replace({c}, '{pattern}', '{mark}', 'g')"
+    return c
+
+
+@query(f"select doc_id, {_mask_sql('text')} as masked, {_mask_sql('text')} <> text as changed from documents")
+def masked_texts(spark, sf):
+    masked = load(spark, sf, "documents").select("doc_id", "text", privacy.mask(F.col("text")).alias("masked"))
+    return masked.select("doc_id", "masked", (F.col("masked") != F.col("text")).alias("changed"))
+
+
+@query("select event_id, substr(sha256('pepper:' || user_id), 1, 16) as who from events")
+def event_pseudonyms(spark, sf):
+    return load(spark, sf, "events").select("event_id", privacy.pseudonym(F.col("user_id"), "pepper").alias("who"))
+
+
 @query(
     f"""select doc_id, {strip_sql("substr(text, length(lang || source) + 1)")} as rest from documents"""
 )

@@ -165,3 +165,10 @@ def framed(
     copied = rows.withColumn(_HOME, home).withColumn(_BLOCK, F.explode(blocks))
     made = copied.withColumns(make(Window.partitionBy(*keys, _BLOCK).orderBy(_RN)))
     return made.where(F.col(_BLOCK) == F.col(_HOME)).drop(_RN, _BLOCK, _HOME)
+
+
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first `k` rows of each key. `order` must be total. Each task keeps k rows a key before
+    the shuffle, so a crowded key is no burden."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(_RN, place).where(F.col(_RN) <= k).drop(_RN)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.code import compiles
 from millrace.functions.text import strip, stripped_length
+from millrace.operators.joins import attach
 
 ACCEPTED = "accepted"
 REASONS = (ACCEPTED, "failed", "too_short", "too_long", "syntax")
@@ -74,3 +75,13 @@ def with_code_check(
     cheap = df.withColumn(column, reject_reason(F.col(text), low, high, success))
     parsed = compiles(F.when((F.col(column) == ACCEPTED) & is_code, strip(F.col(text))))
     return cheap.withColumn(column, F.when(~parsed, F.lit("syntax")).otherwise(F.col(column)))
+
+
+def score_at_least(df: DataFrame, scores: DataFrame, key: str, score: str, least: float, unscored: bool = False) -> DataFrame:
+    """Keep the rows whose score, looked up by `key`, is at least `least`.
+
+    `scores` holds one row per key. A row without a score, or with a null one, stays if `unscored` says so.
+    """
+    known = scores.select(key, F.col(score).alias("__score"))
+    rows = attach(df, known, [key])
+    return rows.where(F.coalesce(F.col("__score") >= least, F.lit(unscored))).drop("__score")

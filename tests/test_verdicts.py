@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import layout, verdicts as vd
+from millrace.functions import privacy
+from millrace.operators import overlap, rules
+from millrace.operators.ordered import top_per_key
 
 
 def test_problem_verdicts(spark):
@@ -49,3 +52,47 @@ def test_turn_pairs(spark, limit):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {tuple(r) for r in layout.turn_pairs(df, limit=limit).collect()}
     assert got == {(1, 0, "q", "a"), (1, 3, "s", "t")}
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_bleu_and_rouge(spark):
+    texts = [("the cat sat on the mat", "the cat is on the mat"), ("a b c d e", "a b c d e"), ("A b", "a B c d"), ("the the the", "the"), ("", "x"), (None, "x"), ("x", None), ("b a c a", "a b a c x a")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, c string, r string")
+    bleu = {x["id"]: x["bleu"] for x in overlap.bleu(df, ["id"], "c", "r").collect()}
+    assert bleu[1] == pytest.approx(1) and all(bleu[i] == 0 for i in (0, 2, 3, 4, 5, 6, 7))
+    two = {x["id"]: x["bleu"] for x in overlap.bleu(df, ["id"], "c", "r", 2).collect()}
+    assert two[0] == pytest.approx((5 / 6 * 3 / 5) ** 0.5) and two[2] == pytest.approx(2.718281828459045 ** (1 - 4 / 2))
+    rouge = {x["id"]: (x["rouge_1"], x["rouge_2"]) for x in overlap.rouge(df, ["id"], "c", "r").collect()}
+    assert rouge[0] == (pytest.approx(10 / 12), pytest.approx(6 / 10)) and rouge[3] == (0.5, 0.0) and rouge[5] == (0.0, 0.0)
+    for x in df.select("id", overlap.rouge_l(F.col("c"), F.col("r")).alias("v")).collect():
+        c, r = ((t or "").lower().split() for t in texts[x["id"]])
+        n = lcs(c, r)
+        assert x["v"] == pytest.approx(2 * n / (len(c) + len(r)) if n else 0)
+
+
+def test_score_threshold_masks_and_pseudonyms(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "id long, t string")
+    known = spark.createDataFrame([(1, 0.4), (2, 0.5), (None, 0.9)], "id long, s double")
+    keep = lambda u: sorted(str(r["id"]) for r in rules.score_at_least(df, known, "id", "s", 0.5, u).collect())
+    assert keep(False) == ["2", "None"] and keep(True) == ["2", "3", "None"]
+    texts = ["write to a.b+c@mail.example.org.", "from 10.0.0.255 and 1234 5678-90123456", "key " + "0a" * 20, None, "plain 1.2.3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(privacy.mask(F.col("t"))).collect()]
+    assert got == ["write to [EMAIL].", "from [ADDRESS] and [CARD]", "key [SECRET]", None, "plain 1.2.3"]
+    names = [r[0] for r in spark.createDataFrame([("x",), ("x",), ("y",), (None,)], "v string").select(privacy.pseudonym(F.col("v"), "s")).collect()]
+    assert names[0] == names[1] != names[2] and len(names[0]) == 16 and names[3] is None
+
+
+def test_top_per_key(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), (None, 5), (None, 4), ("b", 9)], "k string, v int")
+    got = sorted((str(r["k"]), r["v"]) for r in top_per_key(df, ["k"], [F.col("v")], 2).collect())
+    assert got == [("None", 4), ("None", 5), ("a", 1), ("a", 2), ("b", 9)]
