@@ -76,7 +76,7 @@ class Weights:
     def score(self, part: Part) -> float:
         if part.words:
             return part.words * self.of.get(part.kind, 1.0)
-        return self.of.get(part.kind, -3.0) if part.kind else 0.0
+        return self.of.get(part.kind, -1.0) if part.kind else 0.0
 
 
 def _walled(name: str, attributes: str) -> bool:
@@ -189,7 +189,7 @@ def tallies(page: str) -> Counter:
 
 
 def learn(df: DataFrame, page_id: str = "page_id", html: str = "html", pages: int = SAMPLE_PAGES) -> Weights:
-    """Weights from the pages that label their own article, at most `pages` of them. Without any, words weigh 1 and tags -3."""
+    """Weights from the pages that label their own article, at most `pages` of them. Without any, words weigh 1 and tags -1."""
     labelled = df.where(F.lower(F.coalesce(html, F.lit(""))).contains("<article")).select(F.col(page_id).alias("id"), F.col(html).alias("html"))
     total = labelled.count()
     if total > pages:
