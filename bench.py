@@ -18,7 +18,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from millrace.catalog import QUERIES
 from millrace.session import build_session
 
-HEAP_STATE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 HEADLINE = [
     "curated", "reject_reasons", "copies_dropped", "unseen_texts", "outcome_rates", "completion_report", "code_checked",
     "quota_sample", "quota_shortfall", "template_texts", "exact_split_rows", "usage_totals", "usage_by_user", "dataset_totals",
@@ -41,8 +40,6 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.driver.memory": "12g",
-            # the streams' state is small here, so it may stay on the heap
-            "spark.sql.streaming.stateStore.providerClass": HEAP_STATE,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -32,13 +32,13 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session, where driver and executors share one disk, may fall
+    Only a local session, where driver and executors are one process, may fall
     back to a temporary folder.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
     if not sc.getCheckpointDir():
