@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from millrace.catalog.allocation import SPLIT_SQL
 from millrace.catalog.accounts import USAGE, usage_totals
-from millrace.catalog.curation import with_reasons
+from millrace.catalog.curation import COUNTS_SQL, with_reasons
 from millrace.catalog.registry import load, query, r6
 from millrace.catalog.verdicts import REPORT_SQL, SCORES_SQL, STAMP, samples, score_table
 from millrace.operators import dedup
@@ -60,7 +60,8 @@ def csv_files(spark, sf):
 
 @query(
     SCORES_SQL
-    + """select replace(replace(replace('Base (' || model || ')', ' ', '_'), '(', ''), ')', '') as model_key, benchmark, round(pass_at_1, 6) as pass_at_1 from c"""
+    + """select replace(replace(replace('Base (' || model || ')', ' ', '_'), '(', ''), ')', '') as model_key, 'Base (' || model || ')' as model, benchmark, round(pass_at_1, 6) as pass_at_1,
+              solved_problems, total_problems from c"""
 )
 def results_by_model_files(spark, sf):
     folder = fresh_folder(spark, "results")
@@ -68,7 +69,7 @@ def results_by_model_files(spark, sf):
     out.write_by_model(named, folder)
     schema = "model string, benchmark string, pass_at_1 double, solved_problems long, total_problems long, model_key string"
     back = spark.read.schema(schema).json(folder)
-    return back.select("model_key", "benchmark", r6(F.col("pass_at_1")).alias("pass_at_1"))
+    return back.withColumn("pass_at_1", r6(F.col("pass_at_1")))
 
 
 @query(f"select {USAGE} from events")
@@ -80,8 +81,9 @@ def statistics_file(spark, sf):
 
 
 @query(
-    """select 'documents' as name, '42' as seed, (select count(*) from events) as total_requests, (select count(distinct md5(lower(trim(text, chr(32)||chr(10)||chr(9)||chr(13))))) from documents) as total_generated,
-              '2024-01-31 00:00:00' as "timestamp\""""
+    COUNTS_SQL
+    + f""", u as (select {USAGE} from events)
+        select 'documents' as name, '42' as seed, u.*, c.*, '{STAMP}' as "timestamp" from u, c"""
 )
 def manifest_file(spark, sf):
     folder = fresh_folder(spark, "manifest")
@@ -92,7 +94,7 @@ def manifest_file(spark, sf):
     back = spark.read.schema(row.schema).json(folder)
     return back.select(
         F.col("settings")["name"].alias("name"), F.col("settings")["seed"].alias("seed"),
-        "usage.total_requests", "quality.total_generated", "timestamp",
+        "usage.*", "quality.*", "timestamp",
     )
 
 

@@ -251,8 +251,10 @@ def code_validity(spark, sf):
 
 
 @query(
-    """with c as (select p_partkey, p_size, case when p_partkey % 7 = 0 then 'bad' when p_partkey % 5 = 0 then 'flat' else 'good' end as k from part)
+    """with c as (select p_partkey, p_name, p_size, length(p_partkey::varchar) as z, case when p_partkey % 7 = 0 then 'bad' when p_partkey % 5 = 0 then 'flat' else 'good' end as k from part)
        select p_partkey,
+         case k when 'good' then 59 + z + length(p_name) + 32 * (p_size % 4) + case p_size % 2 when 0 then 14 else 0 end when 'flat' then 9 else 22 + z end::bigint as length,
+         case k when 'good' then 6 + 2 * (p_size % 4) + (p_size % 2 = 0)::int when 'flat' then 2 else 3 end::bigint as lines, k <> 'bad' as parse_ok,
          case k when 'good' then 1 + p_size % 4 when 'flat' then 0 end::double as complexity,
          case k when 'good' then (p_size % 2 = 0)::int when 'flat' then 0 end::double as docstrings,
          case k when 'good' then round(1.0 / (6 + 2 * (p_size % 4) + (p_size % 2 = 0)::int), 6)::double when 'flat' then 0.0::double end as readability
@@ -261,7 +263,8 @@ def code_validity(spark, sf):
 def code_facts(spark, sf):
     rows = code_quality(part_code(spark, sf), "code")
     return rows.select(
-        "p_partkey", "complexity", F.col("docstrings").cast("double").alias("docstrings"), r6(F.col("readability")).alias("readability")
+        "p_partkey", F.col("length").cast("long").alias("length"), F.col("lines").cast("long").alias("lines"), "parse_ok",
+        "complexity", F.col("docstrings").cast("double").alias("docstrings"), r6(F.col("readability")).alias("readability")
     )
 
 
