@@ -5,12 +5,13 @@ none of them reads a label, the language, the source or the id. A linear model f
 
     p * mean_P loss(f)  +  max(0, mean_U loss(-f) - p * mean_P loss(-f))  +  ridge
 
-over the trusted positives P and the unlabelled texts U, where p is the class prior (Kiryo et
-al., 2017). With the logistic loss the sum without max is convex, so Newton steps are used
+over the trusted positives P and the texts U, where p is the class prior (Kiryo et al., 2017).
+U are all texts, whatever is known of them, as the risk asks for a sample of the whole: with the
+labelled ones left out it would hold too few positives for the prior. With the logistic loss the sum without max is convex, so Newton steps are used
 while the second term is positive; where it falls below zero, the step goes against its
 gradient, as the non-negative estimator asks for. Every step is one pass over the written
 features: sums are made in tasks, added up by Spark, and only one small matrix comes back.
-All positives and all unlabelled texts take part.
+All positives and all texts take part.
 
 The prior is the share of positives among the training labels when these hold both classes,
 and otherwise the estimate of Elkan and Noto: the mean over U of a positive-versus-unlabelled
@@ -169,11 +170,11 @@ def fit(rows: DataFrame, prior: float | None = None, steps: int = 12, ridge: flo
             a = place(x)
             f = a @ w
             s = 1 / (1 + np.exp(-np.clip(f, -35, 35)))
-            p, u = a[known], a[~known]
+            p = a[known]
             loss = np.logaddexp(0, f)
-            head = [len(p), len(u), loss[known].sum(), loss[~known].sum()]
-            spread = (u * (s[~known] * (1 - s[~known]))[:, None]).T @ u
-            return np.concatenate([head, p.sum(0), (p * s[known][:, None]).sum(0), (u * s[~known][:, None]).sum(0), spread.ravel()])
+            head = [len(p), len(a), loss[known].sum(), loss.sum()]
+            spread = (a * (s * (1 - s))[:, None]).T @ a
+            return np.concatenate([head, p.sum(0), (p * s[known][:, None]).sum(0), (a * s[:, None]).sum(0), spread.ravel()])
 
         return _totals(rows, make)
 
@@ -185,15 +186,15 @@ def fit(rows: DataFrame, prior: float | None = None, steps: int = 12, ridge: flo
 
             def against(w):
                 t = gathered(w)
-                n = t[0] + t[1]
-                g = (t[4 + size : 4 + 2 * size] - t[4 : 4 + size] + t[4 + 2 * size : 4 + 3 * size]) / n + penalty * w
+                n = t[1]
+                g = (t[4 + 2 * size : 4 + 3 * size] - t[4 : 4 + size]) / n + penalty * w
                 return np.linalg.solve(t[4 + 3 * size :].reshape(size, size) / n + np.diag(penalty + 1e-4), g)
 
             w = newton(against, np.zeros(size), steps)
 
             def means(x, known):
                 s = 1 / (1 + np.exp(-np.clip(place(x) @ w, -35, 35)))
-                return np.array([known.sum(), (~known).sum(), s[known].sum(), s[~known].sum()])
+                return np.array([known.sum(), len(x), s[known].sum(), s.sum()])
 
             t = _totals(rows, means)
             prior = float(np.clip((t[3] / max(t[1], 1)) / max(t[2] / t[0], 1e-9), 0.05, 0.95))
