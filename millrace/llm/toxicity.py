@@ -33,6 +33,18 @@ EDGES = ".,;:!?\"'()[]{}<>*_#%&$|-~`^+=/\\"
 """Characters that are stripped from the ends of words."""
 
 
+def _among(known: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Whether each feature is one of the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(features), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, features), len(known) - 1)] == features
+
+
+def _places(known: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Where the features that are known stand among the known ones."""
+    return np.searchsorted(known, features[_among(known, features)])
+
+
 @dataclass
 class Model:
     keys: np.ndarray
@@ -41,11 +53,11 @@ class Model:
 
     def margins(self, features: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The sum of the weights of each text's distinct features, plus the bias."""
-        at = np.minimum(np.searchsorted(self.keys, features), max(len(self.keys) - 1, 0))
-        hit = np.flatnonzero(self.keys[at] == features) if len(self.keys) else np.zeros(0, dtype=np.int64)
-        doc = np.searchsorted(ends[1:], hit, side="right")
-        found = np.unique(np.stack([doc, at[hit]]), axis=1) if len(hit) else np.zeros((2, 0), dtype=np.int64)
-        return self.bias + np.bincount(found[0], weights=self.weights[found[1]], minlength=len(ends) - 1)
+        hit = np.flatnonzero(_among(self.keys, features))
+        doc, at = np.searchsorted(ends[1:], hit, side="right"), np.searchsorted(self.keys, features[hit])
+        found = np.unique(doc * max(len(self.keys), 1) + at)
+        doc, at = np.divmod(found, max(len(self.keys), 1))
+        return self.bias + np.bincount(doc, weights=self.weights[at], minlength=len(ends) - 1)
 
 
 def _narrow(hashes: np.ndarray) -> np.ndarray:
@@ -62,7 +74,7 @@ def features_of(texts: pa.Array, gaps: tuple = ((), (1,), (2,), (3,)), within: n
     bare = pc.utf8_trim(words.distinct, characters=EDGES)
     h = word_hashes(bare)[words.codes]
     doc = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
-    known = np.isin(_narrow(gram_hashes(h, ())), within) if within is not None else np.ones(len(h), dtype=bool)
+    known = _among(within, _narrow(gram_hashes(h, ()))) if within is not None else np.ones(len(h), dtype=bool)
     grams, owners = [], []
     for gap in gaps:
         reach = max(gap, default=0)
@@ -116,7 +128,7 @@ def fit(
         for batch, texts in text_slices(batches):
             flat, ends = features_of(texts)
             rows = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            places = [np.searchsorted(known, f[np.isin(f, known, assume_unique=True)]) for f in rows]
+            places = [_places(known, f) for f in rows]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in places])])
             flat = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
