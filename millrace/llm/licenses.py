@@ -1,8 +1,10 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
 A text block is a line of a document; its set is its distinct words. A block meets a template
-if it holds at least `num / den` of the template's distinct words. The join finds every such
-block:
+if it holds at least `num / den` of the template's distinct words. Notices are often wrapped
+over several lines, so the windows of a paragraph are blocks too: WINDOW times as many words as
+the template has, in a row, across line ends. A paragraph ends at a line without words; one
+whose lines hold a single word each is a list and has no windows. The join finds every such block:
 
 * the words of all templates are ordered by their frequency over all blocks, rarest first
   (counted over the whole table, map-side; the list is as short as the templates);
@@ -10,7 +12,8 @@ block:
 * length filter: a block of fewer than k distinct words can't;
 * positional filter: if a block's first template word stands at place i (from 0), at most
   m - i words of the template are in it;
-* survivors are verified by counting.
+* survivors are verified by counting;
+* windows are only made in a document that holds k words of a template in all its lines together.
 
 Blocks are filtered and verified where they are read: the templates are a small literal, so
 nothing is shuffled but word counts, and a common line or a hot source costs no more than any
@@ -42,6 +45,10 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 ]
 NUM, DEN = 8, 10
+WINDOW = 2
+"""Words of a window for each word of a template."""
+GAP = "\n[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\n"
+TWO_WORDS = f"{WORD}[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+{WORD}"
 
 
 def words(text: Column) -> Column:
@@ -65,6 +72,18 @@ def blocks_of(text: Column, vocabulary: list[str]) -> Column:
     return F.filter(known, lambda b: F.size(b["held"]) > 0)
 
 
+def paragraphs_of(lower: Column) -> Column:
+    """The words of each paragraph of several lines, if a line of it holds two words."""
+    wrapped = F.filter(F.split(lower, GAP), lambda p: F.contains(p, F.lit("\n")) & F.rlike(p, F.lit(TWO_WORDS)))
+    return F.transform(wrapped, lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0)))
+
+
+def most_in_window(w: Column, ws: list[str], span: int) -> Column:
+    """The most distinct words of `ws` that `span` words in a row hold."""
+    starts = F.array_compact(F.transform(w, lambda x, i: F.when(F.array_contains(_texts(ws), x), i + 1)))
+    return F.coalesce(F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(_texts(ws), F.slice(w, i, span))))), F.lit(0))
+
+
 def word_order(df: DataFrame, vocabulary: list[str], text: str = "text") -> list[str]:
     """The template words by how many blocks of the whole table hold them, rarest first."""
     held = df.select(F.explode(blocks_of(F.col(text), vocabulary)).alias("b")).select(F.explode("b.held").alias("w"))
@@ -89,7 +108,9 @@ def scan(
     words. Repeated rows are scanned each; other columns aren't read.
     """
     phrases = PHRASES if phrases is None else phrases
-    sets = template_words(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    sets = template_words(templates)
+    spans = [WINDOW * len(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     order = {w: i for i, w in enumerate(word_order(df, vocabulary, text))}
     ranked = sorted(vocabulary, key=order.__getitem__)
@@ -108,6 +129,17 @@ def scan(
             out.append(F.when(near & (m - first + 1 >= k) & (F.size(common) >= k), share))
         return F.array_compact(F.array(*out)) if out else F.array().cast("array<struct<label:string,share:double>>")
 
+    def enough(w: Column, ws: list[str], k: int) -> Column:
+        return F.size(F.array_intersect(_texts(ws), w)) >= k
+
+    def met_in(w: Column) -> Column:
+        """(label, share) of each template that a window of these words meets."""
+        out = []
+        for (label, ws, k), span in zip(ranked_sets, spans, strict=True):
+            most = F.when(enough(w, ws, k), most_in_window(w, ws, span)).otherwise(0)
+            out.append(F.struct(F.lit(label).alias("label"), (most / F.lit(len(ws))).alias("share"), (most >= k).alias("met")))
+        return F.transform(F.filter(F.array(*out), lambda x: x["met"]), lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share")))
+
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lower = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     last_words = sorted({p.split()[-1] for p in phrases})
@@ -116,7 +148,7 @@ def scan(
     for w in last_words:
         suspect = suspect | F.contains("lower", F.lit(w))
     w = F.when(suspect, F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)))
-    rows = marked.select("doc_id", "text", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"), w.alias("w"))
+    rows = marked.select("doc_id", "text", "lower", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"), w.alias("w"))
 
     def places_of(phrase: str, label: str) -> Column:
         def place(_, i: Column) -> Column:
@@ -129,9 +161,16 @@ def scan(
 
     none = F.array().cast("array<struct<at:bigint,label:string>>")
     found = F.coalesce(F.concat(none, *(places_of(p, label) for p, label in phrases.items())), none)
-    blocks = F.filter(blocks_of(F.col("text"), ranked), lambda b: F.arrays_overlap(b["held"], _texts(prefixes)))
-    based = rows.select("doc_id", "n_words", found.alias("found"), blocks.alias("blocks"))
-    met = F.flatten(F.transform("blocks", met_by))
+    based = rows.select("doc_id", "n_words", "lower", found.alias("found"), blocks_of(F.col("text"), ranked).alias("blocks"))
+    met = F.flatten(F.transform(F.filter("blocks", lambda b: F.arrays_overlap(b["held"], _texts(prefixes))), met_by))
+    if sets:
+        held = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["held"])))
+        based = based.select("doc_id", "n_words", "lower", "found", "blocks", F.when(F.size("blocks") > 1, held).alias("held"))
+        likely = F.lit(False)
+        for _, ws, k in ranked_sets:
+            likely = likely | enough(F.col("held"), ws, k)
+        wrapped = F.when(likely, F.flatten(F.transform(paragraphs_of(F.col("lower")), met_in)))
+        met = F.concat(met, F.coalesce(wrapped, F.array().cast("array<struct<label:string,share:double>>")))
     rows = based.select("doc_id", "n_words", "found", met.alias("met"))
     labels_of = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"])))
     starts = F.transform("found", lambda x: x["at"])

@@ -31,6 +31,19 @@ def test_templates_by_containment(spark):
     assert got[1].score == pytest.approx(need / len(kept)) and all(x.base_labels == "" for x in got.values())
 
 
+def test_wrapped_notices(spark):
+    """Notices with line ends, as they stand in files; words that are strewn over paragraphs or far apart are none."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal"
+    apache = " * you may not use this file except in compliance with the License.\r\n * You may obtain a copy of the License at\r\n *\r\n *     http://"
+    short = "This text is released\nunder the\nMIT\nlicense"
+    strewn = bsd.replace("\n", "\n//\n")
+    far = "\n".join(x + " other words" * 40 for x in bsd.split("\n"))
+    got = scan(spark, [f"A head\n\n{bsd}\n\nEnd", f"#!/bin/sh\n{mit}\n", apache, short, strewn, far, f"{'word ' * 5_000}\n{bsd}\n{'word ' * 5_000}"], phrases={})
+    assert [x.labels for _, x in sorted(got.items())] == ["bsd", "mit", "apache", "mit", "", "", "bsd"]
+    assert [x.score for _, x in sorted(got.items())] == [1, 1, 1, 1, 0, 0, 1]
+
+
 def test_every_filter_is_exact(spark):
     """Against plain counting, with a template of every size and blocks around the threshold."""
     templates = [(f"t{m}", " ".join(f"k{j}" for j in range(m))) for m in range(1, 9)]
