@@ -6,13 +6,15 @@ over several lines, so the windows of a paragraph are blocks too: WINDOW times a
 the template has, in a row, across line ends. A paragraph ends at a line without words; one
 whose lines hold a single word each is a list and has no windows. The join finds every such block:
 
-* the words of all templates are ordered by their frequency over all blocks, rarest first
+* the words of all templates are ordered by how many documents hold them, rarest first
   (counted over the whole table, map-side; the list is as short as the templates);
-* prefix filter: to hold k of m words, a block must hold one of the m - k + 1 rarest;
+* prefix filter: to hold k of m words, a block must hold one of the m - k + 1 rarest, so a
+  document without any of these has no such block and isn't cut into blocks;
 * length filter: a block of fewer than k distinct words can't;
 * positional filter: if a block's first template word stands at place i (from 0), at most
   m - i words of the template are in it;
-* survivors are verified by counting;
+* survivors are verified by counting in their windows, so words that are strewn over a long line are
+  no notice, and by name: a template with one of NAMES in it is only met where that word stands too;
 * windows are only made in a document that holds k words of a template in all its lines together.
 
 Blocks are filtered and verified where they are read: the templates are a small literal, so
@@ -45,15 +47,21 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 ]
 NUM, DEN = 8, 10
+NAMES = ["mit", "apache", "bsd", "general", "public", "nc"]
+"""Words that tell one license from another."""
 WINDOW = 2
 """Words of a window for each word of a template."""
 GAP = "\n[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\n"
 TWO_WORDS = f"{WORD}[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+{WORD}"
 
 
+def words_of(lower: Column) -> Column:
+    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return words_of(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
 
 
 def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
@@ -64,29 +72,36 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def blocks_of(text: Column, vocabulary: list[str]) -> Column:
-    """For every line that holds a template word: its template words and how many distinct words it has."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    own = F.transform(lines, lambda line: F.array_distinct(words(line)))
-    known = F.transform(own, lambda w: F.struct(F.array_intersect(_texts(vocabulary), w).alias("held"), F.size(w).alias("size")))
+def blocks_of(lower: Column, vocabulary: list[str]) -> Column:
+    """For every line of a lower-cased text that holds a template word: its template words, how many distinct words it has, and the line."""
+    own = F.transform(F.split(lower, "\n"), lambda line: F.struct(line.alias("line"), F.array_distinct(words_of(line)).alias("w")))
+    known = F.transform(own, lambda b: F.struct(F.array_intersect(_texts(vocabulary), b["w"]).alias("held"), F.size(b["w"]).alias("size"), b["line"].alias("line")))
     return F.filter(known, lambda b: F.size(b["held"]) > 0)
 
 
 def paragraphs_of(lower: Column) -> Column:
     """The words of each paragraph of several lines, if a line of it holds two words."""
     wrapped = F.filter(F.split(lower, GAP), lambda p: F.contains(p, F.lit("\n")) & F.rlike(p, F.lit(TWO_WORDS)))
-    return F.transform(wrapped, lambda p: F.regexp_extract_all(p, F.lit(WORD), F.lit(0)))
+    return F.transform(wrapped, words_of)
+
+
+def _with(sets: Column, name: str) -> Column:
+    return F.filter(sets, lambda s: F.array_contains(s, name))
 
 
 def most_in_window(w: Column, ws: list[str], span: int) -> Column:
-    """The most distinct words of `ws` that `span` words in a row hold."""
+    """The most distinct words of `ws` that `span` words in a row hold, among them all names of `ws`."""
     starts = F.array_compact(F.transform(w, lambda x, i: F.when(F.array_contains(_texts(ws), x), i + 1)))
-    return F.coalesce(F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(_texts(ws), F.slice(w, i, span))))), F.lit(0))
+    held = F.transform(starts, lambda i: F.array_intersect(_texts(ws), F.slice(w, i, span)))
+    for name in NAMES:
+        if name in ws:
+            held = _with(held, name)
+    return F.coalesce(F.array_max(F.transform(held, F.size)), F.lit(0))
 
 
 def word_order(df: DataFrame, vocabulary: list[str], text: str = "text") -> list[str]:
-    """The template words by how many blocks of the whole table hold them, rarest first."""
-    held = df.select(F.explode(blocks_of(F.col(text), vocabulary)).alias("b")).select(F.explode("b.held").alias("w"))
+    """The template words by how many documents of the whole table hold them, rarest first."""
+    held = df.select(F.explode(F.array_intersect(_texts(vocabulary), words(F.col(text)))).alias("w"))
     counts = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a template word
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -104,7 +119,7 @@ def scan(
     `n_base` counts all places of all phrases, `first_word` and `last_word` are the smallest and
     largest start (null without one). `labels` adds those of met templates; both lists are
     distinct, sorted and comma-joined, '' if empty. `score` is the largest share of a met
-    template's words in one block, 1 where a phrase stands, else 0. A null or empty text has no
+    template's words in one window of a block, 1 where a phrase stands, else 0. A null or empty text has no
     words. Repeated rows are scanned each; other columns aren't read.
     """
     phrases = PHRASES if phrases is None else phrases
@@ -118,16 +133,22 @@ def scan(
     ranked_sets = [(label, sorted(ws, key=order.__getitem__), needed(len(ws), num, den)) for label, ws in sets]
     prefixes = sorted({w for _, ws, k in ranked_sets for w in ws[: len(ws) - k + 1]})
 
+    none_met = F.array().cast("array<struct<label:string,share:double>>")
+
+    def only_met(shares: list[Column]) -> Column:
+        met = F.filter(F.array(*shares), lambda x: x["met"])
+        return F.transform(met, lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share")))
+
     def met_by(block: Column) -> Column:
         """(label, share) of each template that the block meets."""
         out = []
-        for label, ws, k in ranked_sets:
+        for (label, ws, k), span in zip(ranked_sets, spans, strict=True):
             m, common = len(ws), F.array_intersect(_texts(ws), block["held"])
             first = F.array_position(_texts(ws), F.element_at(common, 1)).cast("int")
             near = (block["size"] >= k) & F.arrays_overlap(block["held"], _texts(ws[: m - k + 1]))
-            share = F.struct(F.lit(label).alias("label"), (F.size(common) / F.lit(m)).alias("share"))
-            out.append(F.when(near & (m - first + 1 >= k) & (F.size(common) >= k), share))
-        return F.array_compact(F.array(*out)) if out else F.array().cast("array<struct<label:string,share:double>>")
+            most = F.when(near & (m - first + 1 >= k) & (F.size(common) >= k), most_in_window(words_of(block["line"]), ws, span)).otherwise(0)
+            out.append(F.struct(F.lit(label).alias("label"), (most / F.lit(m)).alias("share"), (most >= k).alias("met")))
+        return only_met(out) if out else none_met
 
     def enough(w: Column, ws: list[str], k: int) -> Column:
         return F.size(F.array_intersect(_texts(ws), w)) >= k
@@ -138,17 +159,16 @@ def scan(
         for (label, ws, k), span in zip(ranked_sets, spans, strict=True):
             most = F.when(enough(w, ws, k), most_in_window(w, ws, span)).otherwise(0)
             out.append(F.struct(F.lit(label).alias("label"), (most / F.lit(len(ws))).alias("share"), (most >= k).alias("met")))
-        return F.transform(F.filter(F.array(*out), lambda x: x["met"]), lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share")))
+        return only_met(out)
 
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     lower = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     last_words = sorted({p.split()[-1] for p in phrases})
-    marked = docs.select("doc_id", "text", lower.alias("lower"))
+    marked = docs.select("doc_id", lower.alias("lower"))
     suspect = F.lit(False)
     for w in last_words:
         suspect = suspect | F.contains("lower", F.lit(w))
-    w = F.when(suspect, F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)))
-    rows = marked.select("doc_id", "text", "lower", F.regexp_count("lower", F.lit(WORD)).cast("long").alias("n_words"), w.alias("w"))
+    rows = marked.select("doc_id", "lower", suspect.alias("suspect"), words_of(F.col("lower")).alias("w"))
 
     def places_of(phrase: str, label: str) -> Column:
         def place(_, i: Column) -> Column:
@@ -160,21 +180,18 @@ def scan(
         return F.array_compact(F.transform("w", place))
 
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    found = F.coalesce(F.concat(none, *(places_of(p, label) for p, label in phrases.items())), none)
-    based = rows.select("doc_id", "n_words", "lower", found.alias("found"), blocks_of(F.col("text"), ranked).alias("blocks"))
-    met = F.flatten(F.transform(F.filter("blocks", lambda b: F.arrays_overlap(b["held"], _texts(prefixes))), met_by))
-    if sets:
-        held = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["held"])))
-        based = based.select("doc_id", "n_words", "lower", "found", "blocks", F.when(F.size("blocks") > 1, held).alias("held"))
-        likely = F.lit(False)
-        for _, ws, k in ranked_sets:
-            likely = likely | enough(F.col("held"), ws, k)
-        wrapped = F.when(likely, F.flatten(F.transform(paragraphs_of(F.col("lower")), met_in)))
-        met = F.concat(met, F.coalesce(wrapped, F.array().cast("array<struct<label:string,share:double>>")))
-    rows = based.select("doc_id", "n_words", "found", met.alias("met"))
+    found = F.coalesce(F.when(F.col("suspect"), F.concat(none, *(places_of(p, label) for p, label in phrases.items()))), none)
+    near = F.arrays_overlap("w", _texts(prefixes))
+    blocks = F.filter(blocks_of(F.col("lower"), ranked), lambda b: F.arrays_overlap(b["held"], _texts(prefixes)))
+    likely = F.lit(False)
+    for _, ws, k in ranked_sets:
+        likely = likely | enough(F.col("w"), ws, k)
+    wrapped = F.when(near & likely, F.flatten(F.transform(paragraphs_of(F.col("lower")), met_in)))
+    met = F.concat(F.coalesce(F.when(near, F.flatten(F.transform(blocks, met_by))), none_met), F.coalesce(wrapped, none_met)) if sets else none_met
+    based = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found"), met.alias("met"))
     labels_of = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda x: x["label"])))
     starts = F.transform("found", lambda x: x["at"])
-    return rows.select(
+    return based.select(
         "doc_id", "n_words", F.size("found").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(labels_of("found"), ",").alias("base_labels"),

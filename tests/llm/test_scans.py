@@ -44,6 +44,17 @@ def test_wrapped_notices(spark):
     assert [x.score for _, x in sorted(got.items())] == [1, 1, 1, 1, 0, 0, 1]
 
 
+def test_other_licenses_meet_no_template(spark):
+    """A template is met where its own name stands, and within a window of a line."""
+    others = ["Released under the BSD License", "released under\nthe BSD license", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0",
+              "Licensed under the Mozilla Public License, Version 2.0", "This work is licensed under the GNU Free Documentation License, version 1.3"]
+    own = ["Released under the MIT License", "released under MIT license", "Licensed under CC BY-NC 4.0", "Licensed under the Apache License, Version 2.0"]
+    strewn = [(" x" * 500).join(MIT_TEXT.split()), f"{'x ' * 500}{MIT_TEXT}{' x' * 500}"]
+    got = scan(spark, [*others, *own, *strewn], phrases={})
+    assert [x.labels for _, x in sorted(got.items())] == [*[""] * 6, "mit", "mit", "cc-by-nc", "apache", "", "mit"]
+    assert scan(spark, ["Released under the Apache License"])[0].labels == "apache"
+
+
 def test_every_filter_is_exact(spark):
     """Against plain counting, with a template of every size and blocks around the threshold."""
     templates = [(f"t{m}", " ".join(f"k{j}" for j in range(m))) for m in range(1, 9)]
