@@ -9,8 +9,9 @@ place, and so finds the contiguous region of the greatest sum (Pasternack and Ro
 
 Elements that hold no content by their own meaning (scripts, styles, forms, navigation,
 footers, asides, hidden parts) and those whose class, id or role says so (adverts, notices,
-comments, sidebars) are walls: their words do not score, their tags still count a quarter, and
-their text is never part of the result.
+comments, sidebars) are walls: neither their words nor their tags score or are learned from, and
+their text is never part of the result. So a kind that stands outside articles in walls alone, or
+that no labelled page holds, tells of no border and is a word or the slightest tag.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from millrace.llm.common import beside_text
 
 SAMPLE_PAGES = 2_000
 """Labelled pages to learn from, at most, taken by a digest of their ids."""
+SLIGHT = -0.1
+"""The slightest weight of a tag."""
 
 # Fixed values of HTML: elements without an end tag, elements that break a line, and elements whose text is not content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,7 +79,7 @@ class Weights:
     def score(self, part: Part) -> float:
         if part.words:
             return part.words * self.of.get(part.kind, 1.0)
-        return self.of.get(part.kind, -1.0) if part.kind else 0.0
+        return self.of.get(part.kind, SLIGHT if self.of else -1.0) if part.kind else 0.0
 
 
 def _walled(name: str, attributes: str) -> bool:
@@ -147,9 +150,7 @@ def region(parts: list[Part], weights: Weights) -> tuple[int, int]:
     """Begin and end of the run of parts with the greatest sum; ties to the earlier and longer. (0, 0) without words."""
     best, span, total, begin = 0.0, (0, 0), 0.0, 0
     for i, part in enumerate(parts):
-        value = weights.score(part)
-        if part.wall:  # no words there, and its tags are a lower bar
-            value = min(0.0, value) / 4
+        value = 0.0 if part.wall else weights.score(part)
         if total <= 0:
             total, begin = 0.0, i
         total += value
@@ -178,13 +179,18 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def tallies(page: str) -> Counter:
-    """How often each kind stands inside and outside the article, if the page has exactly one; else nothing."""
+    """How often each kind stands inside and outside the article, if the page has exactly one; else nothing.
+
+    Parts in walls count as 0, but their words are outside words of kind ''.
+    """
     parts = parse(page)
     if sum(p.kind == "article" for p in parts) != 1:
         return Counter()
     out: Counter = Counter()
     for p in parts:
-        out[p.kind, p.inside and not p.wall] += p.words or not p.kind.startswith("w")
+        out[p.kind, p.inside and not p.wall] += 0 if p.wall else p.words or not p.kind.startswith("w")
+        if p.wall:
+            out["", False] += p.words
     return out
 
 
@@ -207,11 +213,14 @@ def learn(df: DataFrame, page_id: str = "page_id", html: str = "html", pages: in
     rows = labelled.select("html").mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
     counts = {(r["kind"], r["inside"]): r["n"] for r in rows.orderBy(F.desc("n"), "kind").limit(10_000).collect()}
     inner = sum(n for (k, i), n in counts.items() if i and k.startswith("w")) or 1
-    outer = sum(n for (k, i), n in counts.items() if not i and k.startswith("w")) or 1
+    outer = sum(n for (k, i), n in counts.items() if not i and (not k or k.startswith("w"))) or 1
     weights = Weights()
-    for kind in {k for k, _ in counts}:
+    for kind in {k for k, _ in counts if k}:
+        if not counts.get((kind, False)):
+            weights.of[kind] = 1.0 if kind.startswith("w") else SLIGHT
+            continue
         odds = log((counts.get((kind, True), 0) + 1) / inner) - log((counts.get((kind, False), 0) + 1) / outer)
-        weights.of[kind] = min(2.0, max(0.2, 1 + odds / 4)) if kind.startswith("w") else max(-6.0, min(-0.1, -2 + odds / 2))
+        weights.of[kind] = min(2.0, max(0.2, 1 + odds / 4)) if kind.startswith("w") else max(-6.0, min(SLIGHT, -2 + odds / 2))
     return weights
 
 

@@ -97,6 +97,25 @@ def test_extraction(spark):
     assert unlabelled.of == {} and extract(PAGE, unlabelled) == TEXT
 
 
+def test_nothing_of_an_article_is_dropped(spark):
+    """With the weights of the given pages, where lists and links stand in walls only."""
+    weights = extraction.learn(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    intro = "<h1>A head</h1><p>Short first paragraph.</p>"
+    body = "<p>" + "and many more words of the text " * 8 + "</p>"
+    box = '<nav><ul>' + '<li><a href="/x">Elsewhere on this site</a></li>' * 20 + "</ul></nav>"
+    inside = [
+        intro + body + "<ul><li>one</li><li>two</li></ul>",
+        intro + body + "<table><tr><td>1</td><td>2</td></tr></table>",
+        intro + '<p><a href="/a">Link</a></p>' * 30 + "<p>End.</p>",
+        intro + box + body,
+        intro + box.replace("nav>", "div>").replace("<div>", '<div class="related">') + body + "<p>End.</p>",
+    ]
+    for html in inside:
+        page = f"<!DOCTYPE html><html><head><title>T</title></head><body>{box}<article>{html}</article><footer>{box}&copy; all</footer></body></html>"
+        parts = extraction.parse(page)
+        assert extract(page, weights) == extraction.blocks_text([p for p in parts if p.inside]), html
+
+
 def test_region_is_the_best_run():
     """The scan against all runs."""
     import random
