@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import beside_text, gram_hashes, one_label, text_slices, word_hashes, words_of
 from millrace.session import cut
 
-MAX_ROWS = 16_000
-"""Labelled rows to learn from, at most. Their known features take about 30 MB."""
+MAX_ROWS = 24_000
+"""Labelled rows to learn from, at most. Their known features take about 40 MB."""
 EDGES = ".,;:!?\"'()[]{}<>*_#%&$|-~`^+=/\\"
 """Characters that are stripped from the ends of words."""
 

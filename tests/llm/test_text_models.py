@@ -55,6 +55,12 @@ def test_toxicity_bound_and_no_labels(spark, data):
     assert toxicity.score(docs.limit(0), empty).count() == 0
 
 
+def test_toxicity_learns_from_all_of_20000_labels(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "'kara lo' as text")
+    labels = docs.selectExpr("doc_id", "0 as toxic")
+    assert toxicity._sample(docs, labels, "doc_id", "text", "toxic", toxicity.MAX_ROWS).count() == 20_000
+
+
 def test_quality_on_held_out_rows(spark, data):
     docs, labels, truth, n = data
     rows, model = quality.train(quality.described(docs, keep=["doc_id"]), labels.where("doc_id % 3 <> 0 or doc_id is null"))
