@@ -75,11 +75,17 @@ def _keys(points: np.ndarray, table: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def homes_and_probes(unit: np.ndarray, table: int, probes: int = PROBES, step: float = STEP, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's home (n) and probed points (n, probes), as 64-bit digests."""
+def homes_and_probes(
+    unit: np.ndarray, table: int, probes: int = PROBES, step: float = STEP, seed: int = SEED, length: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's home (n) and probed points (n, probes), as 64-bit digests.
+
+    `length`: of the longest vector of the table, which all rows are projected as; by default that of these rows.
+    """
+    length = length or unit.shape[1]
     draw = np.random.RandomState(seed + 1000 * table)
-    basis, _ = np.linalg.qr(draw.standard_normal((max(unit.shape[1], 8), 8)))
-    x = unit @ basis[: unit.shape[1]] * (np.sqrt(unit.shape[1] / 8) / step) + draw.uniform(-1, 1, 8)
+    basis, _ = np.linalg.qr(draw.standard_normal((max(length, 8), 8)))
+    x = unit @ basis[: unit.shape[1]] * (np.sqrt(length / 8) / step) + draw.uniform(-1, 1, 8)
     home = decode(x)
     nearest = np.argsort(-((x - home) @ NEAR.T), axis=1, kind="stable")[:, :probes]
     return _keys(home, table), _keys(home[:, None, :] + NEAR[nearest], table)
@@ -105,7 +111,7 @@ def _local_roots(linked: np.ndarray) -> np.ndarray:
 
 
 def matched(unit: np.ndarray, weight: np.ndarray, at_home: np.ndarray, block: np.ndarray, rank: np.ndarray, table: int, threshold: float,
-            probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+            probes: int = PROBES, length: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the weights of each row's partners that are counted here, local root) in one cell."""
     close = np.triu(unit @ unit.T >= threshold, 1)
     close &= at_home[:, None] | at_home[None, :]
@@ -117,7 +123,7 @@ def matched(unit: np.ndarray, weight: np.ndarray, at_home: np.ndarray, block: np
     first = np.ones(len(i), dtype=bool)
     if len(i):
         for t in range(table + 1):
-            home, probe = homes_and_probes(unit, t, probes)
+            home, probe = homes_and_probes(unit, t, probes, length=length)
             same = home[i] == home[j]
             small_finds = (probe[i] == home[j][:, None]).any(1)
             if t < table:
@@ -153,6 +159,7 @@ def similar_vectors(
         marked.where("sound").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.any_value("vec").alias("vec"), F.any_value("label").alias("label"))
     )
     kind = dict(classes.dtypes)["rep"]
+    length = classes.agg(F.max(F.size("vec")).alias("n")).first()["n"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +167,7 @@ def similar_vectors(
                 continue
             unit = _units(batch.column(2))
             for t in range(tables):
-                home, probe = homes_and_probes(unit, t, probes)
+                home, probe = homes_and_probes(unit, t, probes, length=length)
                 every = np.concatenate([home, probe.ravel()])
                 at = np.concatenate([np.arange(len(unit)), np.repeat(np.arange(len(unit)), probes)])
                 yield pa.RecordBatch.from_arrays(
@@ -179,7 +186,7 @@ def similar_vectors(
     def verify(table: pa.Table) -> pa.Table:
         ids = table["rep"].combine_chunks()
         arrays = (table[c].to_numpy() for c in ("weight", "home", "block", "rank"))
-        links, root = matched(_units(table["vec"].combine_chunks()), *arrays, table["tab"][0].as_py(), threshold, probes)
+        links, root = matched(_units(table["vec"].combine_chunks()), *arrays, table["tab"][0].as_py(), threshold, probes, length)
         some = np.flatnonzero(links)
         return pa.table({"a": ids.take(pa.array(some)), "b": ids.take(pa.array(root[some])), "links": pa.array(links[some])})
 

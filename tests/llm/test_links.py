@@ -146,3 +146,20 @@ def test_top_k_of_numbers_beyond_doubles():
     items = np.array([[2**31 - 1, 0], [2**31 - 1, 1], [2**31 - 1, 2]], dtype=np.int64)
     _, score, item = topk.best_of_tile(q, np.array([99]), items, np.array([1, 2, 3]), 2)
     assert sorted(zip(score.tolist(), item.tolist(), strict=True)) == [((2**31 - 1) ** 2 + 1, 2), ((2**31 - 1) ** 2 + 2, 3)]
+
+
+def test_vectors_of_other_length_share_a_lattice(spark):
+    """A vector and its copy with a small tail meet, though they come in batches of their own."""
+    r = np.random.RandomState(4)
+    rows = []
+    for i in range(20):
+        v = r.standard_normal(64)
+        rows += [(2 * i, [float(x) for x in v], 1), (2 * i + 1, [float(x) for x in v] + [0.001] * (1 + i), 1)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1")
+    try:
+        got = {x.vec_id: (x.n_links, x.component_id) for x in lattice.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert got == {i: (1, i - i % 2) for i in range(40)}
