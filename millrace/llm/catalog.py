@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, counts, extraction, jaccard, lattice, licenses, packing, quality, topk, toxicity
+from millrace.llm import alignment, bpe, counts, extraction, jaccard, lattice, licenses, packing, pieces, quality, spelling, topk, toxicity
 from millrace.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,21 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf}/labels.parquet").where(fold("doc_id", 4) != 2)
     scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op11_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of their decoded text."""
+    return pieces.encoding_digests(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the documents, some of them misspelled on purpose, with its near words and its form."""
+    return spelling.spelling_variants(documents(spark, sf), change_every=31)
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's groups of byte-level and SentencePiece tokens, and how usual its links are."""
+    return alignment.link_counts(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
