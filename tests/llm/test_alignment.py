@@ -36,8 +36,8 @@ def tokens(rows):
     values = {c: b for b, c in back.items()}
     for i, t in rows:
         want = (" " + (t or "")).encode()
-        a, b = ta.encode(" " + (t or ""), add_special_tokens=False), tb.encode(t or "")
-        raw_a = [bytes(values[c] for c in x) for x in a.tokens]
+        found, b = ta.encode(" " + (t or ""), add_special_tokens=False), tb.encode(t or "")
+        a, raw_a = found.ids, [bytes(values[c] for c in x) for x in found.tokens]
         raw_b = [bytes([int(p[3:5], 16)]) if tb.is_byte(k) else p.replace("▁", " ").encode() for k, p in zip(b, map(tb.id_to_piece, b), strict=True)]
         if not t or b"".join(raw_a) != want or b"".join(raw_b) != want:
             yield i, [], [], []
@@ -51,9 +51,9 @@ def tokens(rows):
             ends.append(own)
         groups, x, y = [], 0, 0
         for e in sorted(ends[0].keys() & ends[1].keys()):
-            groups.append((a.ids[x : ends[0][e]], b[y : ends[1][e]]))
+            groups.append((a[x : ends[0][e]], b[y : ends[1][e]]))
             x, y = ends[0][e], ends[1][e]
-        yield i, a.ids, b, groups
+        yield i, a, b, groups
 
 
 def expected(rows):
