@@ -21,7 +21,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ LONG_CHUNK = 64
 BLOCK_CHUNKS = 200_000
 """Chunks of a text that are looked up at a time."""
 UNKNOWN = " ⁇ "
-Entry = tuple[int, str, str]
-"""How many ids a chunk has, the ids as text, and the chunk as it is decoded."""
+Entry = tuple[int, str, str, list[int]]
+"""How many ids a chunk has, the ids as text, the chunk as it is decoded, and the ids."""
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -86,6 +86,7 @@ class PieceBpe:
             if len(p) == 1:
                 self.char_ids[ord(p)] = i
         self.texts = [None if i in self.byte_value else self.shown([i]) for i in every]
+        self.numbers = [str(i) for i in every]
         self.table: dict[str, Entry] = {}
 
     def segment(self, chunk: str) -> list[int]:
@@ -241,7 +242,7 @@ class PieceBpe:
                     shown = "".join([self.texts[i] for i in own])
                 except TypeError:  # bytes among them
                     shown = self.shown(own)
-                found[c] = len(own), ",".join(map(str, own)), shown
+                found[c] = len(own), ",".join(map(self.numbers.__getitem__, own)), shown, own
         self.table.update((c, found[c]) for c in short)
         return found
 
@@ -275,14 +276,14 @@ class PieceBpe:
         """The ids of each text."""
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         for k, _, own in self.entries(texts):
-            parts[k].append(np.array(",".join([e[1] for e in own]).split(","), dtype=np.int32))
+            parts[k].append(np.array(list(chain.from_iterable([e[3] for e in own])), dtype=np.int32))
         return [np.concatenate(p) if p else np.zeros(0, dtype=np.int32) for p in parts]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """How many ids each text has, the digest of the ids as comma-joined decimals, and that of the decoded text."""
         counts, ids, decoded = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
         for k, begins, own in self.entries(texts):
-            n, shown, pieces = zip(*own, strict=True)
+            n, shown, pieces, _ = zip(*own, strict=True)
             counts[k] += sum(n)
             ids[k].update((("" if begins else ",") + ",".join(shown)).encode())
             decoded[k].update("".join(pieces)[begins:].encode())

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -104,8 +105,21 @@ def test_group_ends_against_sets():
         if r.random() < 0.3:
             b = a[:]
         both = sorted(set(a) & set(b))
-        assert alignment.group_ends(a, b) == ([a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both])
-    assert alignment.group_ends([], []) == ([], [])
+        got = alignment.group_ends(np.array(a), np.array(b))
+        assert [x.tolist() for x in got] == [[a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both]]
+    assert [len(x) for x in alignment.group_ends(np.zeros(0, dtype=int), np.zeros(0, dtype=int))] == [0, 0]
+
+
+def test_both_encoders_of_the_byte_level_side_agree():
+    """On every code point beside letters, digits and blanks, on long words, and where the quick one isn't used."""
+    own = alignment.Aligner(A, B)
+    assert own.quick is not None
+    for c in [*range(0xD800), *range(0xE000, 0x110000)]:
+        if c < 0x3400 or 0xA000 <= c < 0x20000 and not 0xAC00 < c < 0xD7A0 or c % 97 == 0:
+            t = f"a{chr(c)}1 {chr(c)}{chr(c)} {chr(c)}!"
+            assert own.quick.encode_ordinary(t) == own.a.encode(t, add_special_tokens=False).ids, hex(c)
+    for t in ("x" * 20_000, "é" * 20_000, " " * 499 + "y", "<|endoftext|>", " " * 5000, "\n" * 600 + "z"):
+        assert own.encode_a([t])[0].tolist() == own.a.encode(" " + t, add_special_tokens=False).ids
 
 
 def test_long_texts_are_cut_where_tokens_do_not_cross(monkeypatch):
