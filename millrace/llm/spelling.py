@@ -12,7 +12,7 @@ like this:
   signs alone, so an edit changes only grams that hold its place.
 * Bound: for each word the most grams that a single edit can affect. Near words share at least as
   many grams as either keeps unaffected. With 7 signs or more and grams of at most 4 that is at
-  least one: the first and the last gram never hold the same place.
+  least one: the first and the last four signs never hold the same place.
 * Lists: a word is entered in the inverted lists of its rarest grams only, one more than can be
   affected; near words meet in one of them. Long lists are dealt into cells. In a cell the lists
   of all grams are merged, pairs with fewer common grams than their bounds are dropped, the others verified.
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.blocks import paired_cells
 from millrace.llm.common import text_slices
 from millrace.session import cut
 
@@ -42,7 +42,9 @@ SHORTEST, LONGEST = 2, 4
 MOST_FREQUENT = 20_000
 """Frequent grams of a length, at most: those with more than 1 / MOST_FREQUENT of all places, and more than FEW words."""
 FEW = 32
-LIST_ROWS = 256
+COUNTERS = 1 << 20
+"""Slots in which grams are counted. Grams that share one count together, which only makes an order coarser or a list's cells smaller."""
+LIST_ROWS = 128
 """Words of a list that stay together; a longer list is dealt into cells."""
 BUCKET_ROWS = 8_192
 """Entries that are merged in one call, about."""
@@ -112,20 +114,23 @@ def decompose(word: str, frequent: frozenset[str]) -> list[tuple[int, str]]:
 
 
 def affected(length: int, grams: list[tuple[int, str]]) -> int:
-    """The most grams that one inserted, deleted or replaced sign can touch in a word of `length` signs without its ends."""
-    held = [0] * (length + 3)
+    """The most grams that one inserted, deleted or replaced sign can touch in a word of `length` signs without its ends.
+
+    An insertion touches the grams that hold the signs on both its sides, hence no more than an edit
+    of one of these signs does; at least one of them is a sign of the word.
+    """
+    held = [0] * (length + 2)
     for i, g in grams:
         for p in range(i, i + len(g)):
             held[p] += 1
-    between = [0] * (length + 3)
-    for i, g in grams:
-        for p in range(i + 1, i + len(g)):
-            between[p] += 1
-    return max(max(held[1 : length + 1], default=0), max(between[1 : length + 2], default=0))
+    return max(held[1 : length + 1], default=0)
 
 
 def numbered(grams: list[tuple[int, str]]) -> list[str]:
     """The grams of a word as distinct names: a repeated gram also says which one of its kind it is."""
+    out = [g for _, g in grams]
+    if len(set(out)) == len(out):
+        return out
     seen: Counter = Counter()
     out = []
     for _, g in grams:
@@ -134,18 +139,91 @@ def numbered(grams: list[tuple[int, str]]) -> list[str]:
     return out
 
 
-def decomposed(words: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """Add `grams` (names), and `touched`, the most of them that one edit can affect."""
+def _hashes(names: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(g.encode()) % COUNTERS for g in names), dtype=np.int64, count=len(names))
+
+
+def _counters(rows: DataFrame) -> np.ndarray:
+    """Sums of (slot, n) rows for all COUNTERS slots."""
+    table = rows.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most one row a slot
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[np.asarray(table.column("slot"))] = np.asarray(table.column("n"))
+    return out
+
+
+def _slots_of(batch_names: list[list[str]]) -> pa.RecordBatch:
+    """(slot, n): how many of the words hold a gram of each slot."""
+    slots, n = np.unique(_hashes([g for names in batch_names for g in names]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n)], ["slot", "n"])
+
+
+def gram_counts(words: DataFrame, frequent: frozenset[str]) -> np.ndarray:
+    """How many words hold a gram of each slot."""
     held = words.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(w, decompose(w, held.value)) for w in batch.column(0).to_pylist()]
-            grams = pa.array([numbered(g) for _, g in own], type=pa.list_(pa.string()))
-            touched = pa.array([affected(len(w), g) for w, g in own], type=pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, grams, touched], ["word", "n", "grams", "touched"])
+            yield _slots_of([numbered(decompose(w, held.value)) for w in batch.column(0).to_pylist()])
+
+    return _counters(words.select("word").mapInArrow(run, "slot long, n long"))
+
+
+def listed(words: DataFrame, frequent: frozenset[str], counts: np.ndarray) -> DataFrame:
+    """(word, n, grams): the names of each word's rarest grams, one more than an edit can affect, without those of no other word."""
+    held = words.sparkSession.sparkContext.broadcast((frequent, counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = held.value
+        for batch in batches:
+            rare = []
+            for w in batch.column(0).to_pylist():
+                own = decompose(w, frequent)
+                names = numbered(own)
+                sizes = counts[_hashes(names)].tolist()
+                first = sorted(zip(sizes, names, strict=True))[: affected(len(w), own) + 1]
+                rare.append([g for n, g in first if n > 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare, type=pa.list_(pa.string()))], ["word", "n", "grams"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, grams array<string>, touched int")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, grams array<string>")
+
+
+def in_cells(lists: DataFrame, rows: int) -> DataFrame:
+    """(word, n, gram, cell_a, cell_b, block): every entry in every cell of its list.
+
+    A list of n words (as its slot is counted, so at least as many as it has) is dealt by the digest
+    of the words into blocks of about max(rows, 3 * sqrt(n)); the cell (a, a) holds block a, the cell (a, b) both.
+    """
+    spark = lists.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _slots_of(batch.column(0).to_pylist())
+
+    held = spark.sparkContext.broadcast(_counters(lists.select("grams").mapInArrow(count, "slot long, n long")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = held.value
+        for batch in batches:
+            flat = batch.column(2).flatten()
+            owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(2)), dtype=np.int64))
+            size = sizes[_hashes(flat.to_pylist())]
+            some = np.flatnonzero(size > 1)
+            owner, size = owner[some], size[some]
+            blocks = np.ceil(size / np.maximum(rows, np.ceil(3 * np.sqrt(size)))).astype(np.int64)
+            digest = np.fromiter((zlib.crc32(w.encode(), 1) for w in batch.column(0).to_pylist()), dtype=np.int64, count=batch.num_rows)
+            block = digest[owner] % blocks
+            each = np.repeat(np.arange(len(some)), blocks)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own = block[each]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(owner[each])), batch.column(1).take(pa.array(owner[each])), flat.take(pa.array(some[each])),
+                    *(pa.array(x.astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), own)),
+                ],
+                ["word", "n", "gram", "cell_a", "cell_b", "block"],
+            )
+
+    return lists.mapInArrow(run, "word string, n long, gram string, cell_a int, cell_b int, block int")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -161,59 +239,58 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def merge_cell(words: list[str], grams: list[list[str]], keep: list[int], block: list[int], two: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of near words of a cell, by merging its inverted lists. `keep`: grams each word has unaffected. With `two` blocks only pairs across."""
+    """Pairs of near words of a cell, by merging its inverted lists. `keep`: grams each word has unaffected. With `two` blocks only pairs across.
+
+    All lists of the cell are merged at once: the product of the table of words and grams with
+    itself says how many grams each two words have in common.
+    """
     names: dict[str, int] = {}
-    ids = [np.array([names.setdefault(g, len(names)) for g in own], dtype=np.int64) for own in grams]
-    owner = np.repeat(np.arange(len(words)), [len(x) for x in ids])
-    flat = np.concatenate(ids)
-    order = np.argsort(flat, kind="stable")
-    lists = np.split(owner[order], np.cumsum(np.bincount(flat, minlength=len(names)))[:-1])
+    owner = np.repeat(np.arange(len(words)), [len(x) for x in grams])
+    ids = np.array([names.setdefault(g, len(names)) for own in grams for g in own], dtype=np.int64)
+    shared_by = np.bincount(ids)
+    place = np.cumsum(shared_by > 1) - 1
+    met = shared_by[ids] > 1
+    held = np.zeros((len(words), int(place[-1]) + 1), dtype=np.float32)
+    held[owner[met], place[ids[met]]] = 1
     bound, size, side = np.array(keep), np.array([len(w) for w in words]), np.array(block)
-    for k, own in enumerate(ids):
-        shared = np.bincount(np.concatenate([lists[g] for g in own.tolist()]), minlength=len(words))
-        near = (shared >= np.maximum(bound, bound[k])) & (np.abs(size - size[k]) <= 1)
-        near[: k + 1] = False
-        if two:
-            near &= side != side[k]
-        for j in np.flatnonzero(near).tolist():
-            if one_edit(words[k], words[j]):
-                yield k, j
+    near = (held @ held.T >= np.maximum(bound, bound[:, None])) & (np.abs(size - size[:, None]) <= 1)
+    if two:
+        near &= side != side[:, None]
+    for k, j in np.argwhere(np.triu(near, 1)).tolist():
+        if one_edit(words[k], words[j]):
+            yield k, j
 
 
 def near_pairs(words: DataFrame, most: int = MOST_FREQUENT, few: int = FEW, rows: int = LIST_ROWS) -> DataFrame:
     """(a, n_a, b, n_b), a < b: every pair of near words of the table (word, n) of distinct words of 7 code points or more.
 
-    Shorter words are refused, as the bound would not hold; no words give no rows.
+    Shorter words are refused, as the bound would not hold; no words give no rows. Entries of a list
+    are shuffled once, without the grams of their words, which are cut again in the cell.
     """
-    own = cut(decomposed(words, frequent_grams(words, most, few)))
-    if own.where(F.char_length("word") < 7).limit(1).count():
+    if words.where(F.char_length("word") < 7).limit(1).count():
         raise ValueError("near_pairs takes words of 7 code points or more")
-    each = own.select("word", F.explode("grams").alias("gram"))
-    sizes = each.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    ordered = each.join(sizes, "gram").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("ordered"))
-    rare = own.join(ordered, "word").withColumn("gram", F.explode(F.slice("ordered", 1, F.col("touched") + 1))).select(
-        "word", "n", "grams", (F.size("grams") - F.col("touched")).alias("keep"), "gram.gram", "gram.held")
-    listed = cut(rare.where("held > 1").drop("held"))
-    cells = paired_cells(listed, ["gram"], "word", rows)
-    buckets = max(1, listed.count() // BUCKET_ROWS)
-    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("gram", "cell_a", "cell_b"), F.lit(buckets)))
+    frequent = frequent_grams(words, most, few)
+    lists = cut(listed(words, frequent, gram_counts(words, frequent)))
+    buckets = max(1, (lists.agg(F.sum(F.size("grams"))).first()[0] or 0) // BUCKET_ROWS)
+    cells = in_cells(lists, rows).withColumn("bucket", F.pmod(F.xxhash64("gram", "cell_a", "cell_b"), F.lit(buckets)))
+    held = words.sparkSession.sparkContext.broadcast(frequent)
     names = ["a", "n_a", "b", "n_b"]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("gram", "ascending"), ("cell_a", "ascending"), ("cell_b", "ascending"), ("word", "ascending")])
+        table = table.sort_by([("gram", "ascending"), ("cell_a", "ascending"), ("cell_b", "ascending")])
         columns = {c: table.column(c).to_pylist() for c in table.column_names}
         keys = list(zip(columns["gram"], columns["cell_a"], columns["cell_b"], strict=True))
         cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-        found: set[tuple[int, int]] = set()
-        seen: dict[str, int] = {}
-        first = [seen.setdefault(w, k) for k, w in enumerate(columns["word"])]
+        w, n = columns["word"], columns["n"]
+        found: set[tuple[str, int, str, int]] = set()
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
-                part = merge_cell(*(columns[c][a:b] for c in ("word", "grams", "keep", "block")), two=keys[a][1] != keys[a][2])
-                found.update((first[a + k], first[a + j]) for k, j in part)
-        w, n = columns["word"], columns["n"]
-        pairs = [(w[k], n[k], w[j], n[j]) if w[k] < w[j] else (w[j], n[j], w[k], n[k]) for k, j in found]
-        arrays = [pa.array([p[k] for p in pairs], type=t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))]
+                own = [decompose(x, held.value) for x in w[a:b]]
+                keep = [len(g) - affected(len(x), g) for x, g in zip(w[a:b], own, strict=True)]
+                for k, j in merge_cell(w[a:b], list(map(numbered, own)), keep, columns["block"][a:b], two=keys[a][1] != keys[a][2]):
+                    one, other = (w[a + k], n[a + k]), (w[a + j], n[a + j])
+                    found.add((*min(one, other), *max(one, other)))
+        arrays = [pa.array([p[k] for p in found], type=t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))]
         return pa.Table.from_arrays(arrays, names)
 
     merged = cells.groupBy("bucket").applyInArrow(run, "a string, n_a long, b string, n_b long")
