@@ -34,6 +34,8 @@ from millrace.session import cut
 
 SYMBOLS = "[^\\p{L}\\p{N}\\p{M}.,;:'\"?()-]"
 FEATURES = 24
+SLICE_BYTES = 2 << 20
+"""Text that a task describes at a time."""
 
 
 @dataclass
@@ -104,7 +106,7 @@ def described(df: DataFrame, text: str = "text", keep: list[str] | None = None)
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             x = features_of(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, type=pa.int32()), pa.array(x.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), lists], [*keep, "x"])
@@ -233,7 +235,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             found = _probability(features_of(texts).astype(np.float32).astype(np.float64), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found)], [*keep, out])
 

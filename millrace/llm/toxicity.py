@@ -4,7 +4,7 @@ Features are the distinct 40-bit hashes of a text's words, word pairs and pairs
 with one or two words between them. Learning (McMahan et al., 2013): every coordinate has
 its own rate, and L1 keeps the weights sparse, so the model that goes to the executors is
 two short arrays. It is fitted on at most `max_rows` labelled rows, taken by a digest of
-their ids; coordinates that fewer than `min_rows` of them hold are left out, which is the
+their ids, and at most MAX_CHARACTERS of them; coordinates that fewer than `min_rows` of them hold are left out, which is the
 usual inclusion rule and bounds the model (words are counted first, as a pair can't be more
 frequent than its words). The sample may be dealt into `shards`; each round
 trains every shard from the shared state in a task of its own and the states are averaged.
@@ -28,7 +28,13 @@ from millrace.llm.common import beside_text, gram_hashes, one_label, text_slices
 from millrace.session import cut
 
 MAX_ROWS = 24_000
-"""Labelled rows to learn from, at most. Their known features take about 40 MB."""
+"""Labelled rows to learn from, at most."""
+MAX_CHARACTERS = 128 << 20
+"""Characters of them, at most, on the whole; their known features take no more than four times as many bytes while learning."""
+MAX_LEARNED = 2 << 20
+"""A longer text is not learned from."""
+SLICE_BYTES = 2 << 20
+"""Text whose features a task holds at a time; they take some forty times as much."""
 EDGES = ".,;:!?\"'()[]{}<>*_#%&$|-~`^+=/\\"
 """Characters that are stripped from the ends of words."""
 
@@ -88,13 +94,18 @@ def features_of(texts: pa.Array, gaps: tuple = ((), (1,), (2,), (3,)), within: n
 
 
 def _sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """(id, label, text) of at most about `max_rows` labelled documents."""
+    """(id, label, text) of at most about `max_rows` labelled documents and MAX_CHARACTERS."""
     known = one_label(labels, doc_id, label)
     total = known.count()
+    draw = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
     if total > max_rows:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    texts = df.select(df[doc_id].alias("__id"), df[text].alias("__text"))
-    return texts.join(F.broadcast(known), "__id").select("__id", "__label", "__text")  # at most max_rows ids and labels
+        known = known.where(draw < int(1_000_000 * max_rows / total))
+    texts = df.select(df[doc_id].alias("__id"), df[text].alias("__text")).where(F.char_length(F.coalesce("__text", F.lit(""))) <= MAX_LEARNED)
+    sample = texts.join(F.broadcast(known), "__id").select("__id", "__label", "__text")  # at most max_rows ids and labels
+    length = sample.agg(F.sum(F.char_length("__text"))).first()[0] or 0
+    if length > MAX_CHARACTERS:
+        sample = sample.where(draw < int(1_000_000 * min(1.0, max_rows / total) * MAX_CHARACTERS / length))
+    return sample
 
 
 def _frequent(sample: DataFrame, min_rows: int, gaps: tuple, within: np.ndarray | None = None) -> np.ndarray:
@@ -102,7 +113,7 @@ def _frequent(sample: DataFrame, min_rows: int, gaps: tuple, within: np.ndarray
     shared = sample.sparkSession.sparkContext.broadcast(within)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_slices(batches):
+        for _, texts in text_slices(batches, SLICE_BYTES):
             flat, ends = features_of(texts, gaps, shared.value)
             own, n = np.unique(np.concatenate([np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int32))], ["key", "n"])
@@ -125,41 +136,59 @@ def fit(
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             flat, ends = features_of(texts)
             rows = [np.unique(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            places = [_places(known, f) for f in rows]
+            places = [np.append(_places(known, f), len(known)) for f in rows]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in places])])
             flat = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "label", "places"])
+            # in the order of an unsigned digest, whatever the partitions
+            turns = pa.array([xxhash.xxh3_64_intdigest(str(i)) - (1 << 63) for i in batch.column(0).to_pylist()], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([turns, batch.column(1), lists], ["turn", "label", "places"])
 
-    pruned = sample.mapInArrow(prune, f"id {dict(sample.dtypes)['__id']}, label int, places array<int>")
-    dealt = pruned.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    pruned = cut(sample.mapInArrow(prune, "turn long, label int, places array<int>"))
+    dealt = pruned.withColumn("shard", F.pmod("turn", F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "turn")
     state = (np.zeros(len(keys) + 1), np.zeros(len(keys) + 1))  # the last coordinate is the bias
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
     def trainer(start):
-        def train(table: pa.Table) -> pa.Table:
+        def train(labels: list[int], places: list[np.ndarray]) -> pa.RecordBatch:
             z, n = (x.copy() for x in start.value)
-            order = np.argsort([xxhash.xxh3_64_intdigest(str(i)) for i in table["id"].to_pylist()])
-            places, labels = [np.asarray(p.values) for p in table["places"]], table["label"].to_numpy()
-            rows = [(np.append(places[i], len(z) - 1), labels[i]) for i in order]
             for _ in range(epochs):
-                for at, y in rows:
+                for y, at in zip(labels, places, strict=True):
                     w = weights(z[at], n[at])
                     g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
                     z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
                     n[at] += g * g
             moved = np.flatnonzero((z != start.value[0]) | (n != start.value[1]))
-            return pa.table({"at": pa.array(moved), "z": z[moved] - start.value[0][moved], "n": n[moved] - start.value[1][moved]})
-
-        return train
+            columns = moved, z[moved] - start.value[0][moved], n[moved] - start.value[1][moved]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["at", "z", "n"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Train each shard of a partition as its last row has come; what is held is one shard's places, as 32-bit numbers."""
+            shard, labels, places = None, [], []
+            for batch in batches:
+                lists, own = batch.column(2), batch.column(1).to_pylist()
+                ends = np.asarray(lists.offsets, dtype=np.int64) - lists.offsets[0].as_py()
+                flat = np.array(lists.flatten(), dtype=np.int32)
+                for k, s in enumerate(batch.column(0).to_pylist()):
+                    if s != shard and labels:
+                        yield train(labels, places)
+                        labels, places = [], []
+                    shard = s
+                    labels.append(own[k])
+                    places.append(flat[ends[k] : ends[k + 1]])
+            if labels:
+                yield train(labels, places)
+
+        return run
 
     for _ in range(rounds):
-        steps = dealt.groupBy("shard").applyInArrow(trainer(session.sparkContext.broadcast(state)), "at long, z double, n double")
+        steps = dealt.select("shard", "label", "places").mapInArrow(trainer(session.sparkContext.broadcast(state)), "at long, z double, n double")
         total = steps.groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toArrow()
         at = total["at"].to_numpy()
         state = tuple(x.copy() for x in state)
@@ -177,7 +206,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, SLICE_BYTES):
             m = shared.value.margins(*features_of(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(m, -35, 35))))], [*keep, out])
 

@@ -5,6 +5,7 @@ import random
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -89,6 +90,20 @@ def test_stages(spark, folder):
     assert back == {i: lib.encode(t, add_special_tokens=False).ids for i, t in kept.items()}
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    """And repeated rows, null ids and texts, columns of any type and name."""
+    p = " ".join(f"word{i}" for i in range(30))
+    q, r = p.replace("word", "other"), p.replace("word", "third")
+    rows = [(1, p, {"a": 1}), (1, q, {"b": 2}), (2, r, None), (2, r, {"c": 3}), (3, p, None), (4, q + " more", None), (0, r + " end", None),
+            (None, p, None), (None, p, None), (7, None, None), (7, None, None), (7, "", None), (-5, "short text", None), (5, "short text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key map<string,int>").withColumn("score", F.lit(1)).withColumn("same", F.lit(2)).repartition(4)
+    got = corpus_pipeline.near_copies_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    found = sorted(((x.doc_id, x.text or "") for x in got.collect()), key=str)
+    assert found == sorted([(1, p), (1, q), (0, r + " end"), (None, p), (None, p), (7, ""), (-5, "short text")], key=str)
+    assert corpus_pipeline.near_copies_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_run_does_all_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder[0])
     assert corpus_pipeline.ORACLE_SQL is None and got.select("sequence_id").distinct().count() == got.count() > 0
@@ -118,6 +133,8 @@ def test_query_against_sql(spark, name):
         ("op8_bpe", "documents", "decoded_sha256 doc_id ids_sha256 n_tokens"),
         ("op9_packing", "documents", "bucket doc_id doc_tokens ids_crc32 length offset sequence_id start"),
         ("op10_toxicity", "documents", "doc_id held_out predicted score"),
+        ("op11_pieces", "documents", "decoded_sha256 doc_id ids_sha256 n_tokens"),
+        ("op13_alignment", "documents", "count_sum doc_id groups_sha256 n_a n_b n_best n_groups n_links"),
     ],
 )
 def test_query_covers_its_table(spark, name, table, columns):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,41 @@ def test_nothing_but_the_text_is_read(data):
     docs, labels, _, _ = data
     plan = quality.described(docs, keep=["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "score#" not in plan.split("MapInArrow")[1].split("\n")[1]
+
+
+def test_training_against_plain_rows(spark):
+    """The weights of one shard against a loop over texts with sets of words, and the same for any partitioning."""
+    import math
+
+    import xxhash
+
+    r = random.Random(9)
+    names = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(r.sample(names, r.randint(1, 6)) + (["bad"] if i % 4 == 0 else [])), int(i % 4 == 0 or r.random() < 0.05)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(900, 0), (901, None)], "doc_id long, toxic int")
+    models = [toxicity.fit(docs.repartition(k), labels.repartition(k), min_rows=3, l1=0.5, epochs=2) for k in (1, 5)]
+    assert (models[0].keys == models[1].keys).all() and np.allclose(models[0].weights, models[1].weights)
+    own = {}
+    for i, t, y in [*rows, (900, "", 0)]:
+        w = t.split()
+        grams = {(x,) for x in w} | {(d, x, y2) for d in (1, 2, 3) for x, y2 in zip(w, w[d:], strict=False)}
+        own[i] = (grams, y)
+    n_rows = {}
+    for grams, _ in own.values():
+        for g in grams:
+            n_rows[g] = n_rows.get(g, 0) + 1
+    z, n = {}, {}
+    weight = lambda k: 0.0 if abs(z.get(k, 0)) <= 0.5 else (math.copysign(0.5, z[k]) - z[k]) / ((1 + math.sqrt(n[k])) / 0.6 + 0.1)
+    for _ in range(2):
+        for i in sorted(own, key=lambda i: xxhash.xxh3_64_intdigest(str(i))):
+            keys = [g for g in own[i][0] if n_rows[g] >= 3] + ["bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - own[i][1]
+            for k in keys:
+                z[k] = z.get(k, 0) + g - (math.sqrt(n.get(k, 0) + g * g) - math.sqrt(n.get(k, 0))) / 0.6 * w[k]
+                n[k] = n.get(k, 0) + g * g
+    want = sorted(v for k in z if k != "bias" and (v := weight(k)))
+    assert np.allclose(sorted(models[0].weights), want) and abs(models[0].bias - weight("bias")) < 1e-9
+    score = {x.doc_id: x.score for x in toxicity.score(docs, models[0]).collect()}
+    assert all(abs(score[i] - 1 / (1 + math.exp(-sum(weight(k) for k in own[i][0] if n_rows[k] >= 3 and k in z) - weight("bias")))) < 1e-9 for i in own)
