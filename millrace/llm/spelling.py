@@ -238,6 +238,24 @@ def one_edit(a: str, b: str) -> bool:
     return a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k + 1 :]
 
 
+def sign_masks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The length of each word, and its signs as a set of 64 bits."""
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    starts = np.cumsum(size) - size
+    return size, np.bitwise_or.reduceat(np.uint64(1) << (codes & np.uint64(63)), starts) if len(words) else np.zeros(0, dtype=np.uint64)
+
+
+def may_be_near(size: np.ndarray, signs: np.ndarray, block: np.ndarray, two: bool) -> np.ndarray:
+    """Which words of a cell need merging: one edit changes the length by one at most and two bits of the signs at most."""
+    fits = (np.bitwise_count(signs[:, None] ^ signs) <= 2) & (np.abs(size[:, None] - size) <= 1)
+    if two:
+        fits &= block[:, None] != block
+    else:
+        np.fill_diagonal(fits, False)
+    return fits.any(axis=0)
+
+
 def merge_cell(words: list[str], grams: list[list[str]], keep: list[int], block: list[int], two: bool) -> Iterator[tuple[int, int]]:
     """Pairs of near words of a cell, by merging its inverted lists. `keep`: grams each word has unaffected. With `two` blocks only pairs across.
 
@@ -283,12 +301,19 @@ def near_pairs(words: DataFrame, most: int = MOST_FREQUENT, few: int = FEW, rows
         cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
         w, n = columns["word"], columns["n"]
         found: set[tuple[str, int, str, int]] = set()
+        size, signs = sign_masks(w)
+        block = np.array(columns["block"])
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
-                own = [decompose(x, held.value) for x in w[a:b]]
-                keep = [len(g) - affected(len(x), g) for x, g in zip(w[a:b], own, strict=True)]
-                for k, j in merge_cell(w[a:b], list(map(numbered, own)), keep, columns["block"][a:b], two=keys[a][1] != keys[a][2]):
-                    one, other = (w[a + k], n[a + k]), (w[a + j], n[a + j])
+                two = keys[a][1] != keys[a][2]
+                some = (a + np.flatnonzero(may_be_near(size[a:b], signs[a:b], block[a:b], two))).tolist()
+                if not some:
+                    continue
+                words = [w[k] for k in some]
+                own = [decompose(x, held.value) for x in words]
+                keep = [len(g) - affected(len(x), g) for x, g in zip(words, own, strict=True)]
+                for k, j in merge_cell(words, list(map(numbered, own)), keep, block[some].tolist(), two):
+                    one, other = (words[k], n[some[k]]), (words[j], n[some[j]])
                     found.add((*min(one, other), *max(one, other)))
         arrays = [pa.array([p[k] for p in found], type=t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))]
         return pa.Table.from_arrays(arrays, names)

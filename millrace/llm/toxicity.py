@@ -33,7 +33,7 @@ MAX_CHARACTERS = 128 << 20
 """Characters of them, at most, on the whole; their known features take no more than four times as many bytes while learning."""
 MAX_LEARNED = 2 << 20
 """A longer text is not learned from."""
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 """Text whose features a task holds at a time; they take some forty times as much."""
 EDGES = ".,;:!?\"'()[]{}<>*_#%&$|-~`^+=/\\"
 """Characters that are stripped from the ends of words."""
