@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog.registry import load, query, r6
 from millrace.operators import ledger
-from millrace.operators.lookups import overlay, share_table
+from millrace.operators.lookups import overlay, overlay_maps, share_table
 from millrace.operators.rolling import divergence, weighted_mean
 
 USAGE = """count(*) as total_requests, count(*) filter (where event_type = 'error') as failed_requests,
@@ -131,6 +131,32 @@ def weighted_means(spark, sf):
     return rows.withColumn("weighted_mean", r6(F.col("weighted_mean")))
 
 
+@query(
+    """select user_id, round(sum(value) / count(*), 6) as weighted_mean, count(*) as rows_used from events
+       where event_type is null or event_type = 'click' or event_type <> 'error' group by 1"""
+)
+def means_with_null_mask(spark, sf):
+    """As above with a mask that is null for clicks, which are used, and no weights."""
+    events = load(spark, sf, "events")
+    mask = F.when(F.col("event_type") != "click", F.col("event_type") == "error")
+    rows = weighted_mean(events, ["user_id"], F.col("value"), F.lit(False), mask)
+    return rows.withColumn("weighted_mean", r6(F.col("weighted_mean")))
+
+
+@query(
+    """select event_id, case when event_id % 3 = 0 then 'own' else event_type end as kind, case when event_id % 2 = 0 then user_id else -1 end as user_id
+       from events"""
+)
+def overlaid_event_maps(spark, sf):
+    """Map columns of the events as one; a third has only the first map, half a null in place of the user's."""
+    text = lambda c: F.col(c).cast("string")
+    base = F.create_map(F.lit("kind"), F.when(F.col("event_id") % 3 == 0, F.lit("own")).otherwise(F.lit("?")))
+    over = F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("kind"), "event_type"))
+    user = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("user"), text("user_id")))
+    both = load(spark, sf, "events").select("event_id", overlay_maps(overlay_maps(base, over), user).alias("m"))
+    return both.select("event_id", F.col("m")["kind"].alias("kind"), F.coalesce(F.col("m")["user"].cast("long"), F.lit(-1).cast("long")).alias("user_id"))
+
+
 @query(
     """with n as (select lang, count(*) as n from documents group by 1), t as (select sum(n) as t from n),
             q as (select unnest(['en', 'fr', 'de']) as lang, unnest([50, 30, 20]) as pct),

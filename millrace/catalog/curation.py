@@ -66,6 +66,16 @@ def good_or_unscored(spark, sf):
     return rules.score_at_least(docs, load(spark, sf, "labels"), "doc_id", "quality", 1, unscored=True)
 
 
+@query(
+    """with scores as (select o_custkey as c_custkey, o_totalprice as price from orders)
+       select c_custkey from customer left join (select c_custkey, max(price) as price from scores group by 1) using (c_custkey) where price >= 300000"""
+)
+def large_customers(spark, sf):
+    """Customers with an order of 300,000 or more; a customer has many orders, hence many scores."""
+    orders = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return rules.score_at_least(load(spark, sf, "customer").select("c_custkey"), orders, "c_custkey", "o_totalprice", 300_000)
+
+
 @query(f"select lang, {REASON_SQL} as reason, count(*) as n from documents group by all")
 def reason_counts(spark, sf):
     return with_reasons(spark, sf).groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -89,6 +99,12 @@ def copies_dropped(spark, sf):
     return dedup.drop_copies(load(spark, sf, "documents"), "text", "doc_id").select("doc_id", "lang")
 
 
+@query(f"select d.doc_id, d.lang from documents d join ({FIRSTS_SQL}) f using (doc_id)")
+def copies_dropped_by_filter(spark, sf):
+    """The same by the way that tables with very many repeated texts take."""
+    return dedup.drop_copies(load(spark, sf, "documents"), "text", "doc_id", small=0).select("doc_id", "lang")
+
+
 @query(FIRSTS_SQL)
 def first_ids(spark, sf):
     return dedup.first_ids(load(spark, sf, "documents"), "text", "doc_id").select("key", "doc_id", "copies")

@@ -11,6 +11,10 @@ from millrace.operators.rules import REASONS, reason_code
 from millrace.session import cut
 
 
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+"""Bounds of a membership filter, which is broadcast: 128 KB and 32 MB. A fuller one only lets more rows be looked up."""
+
+
 def _key(text: str) -> Column:
     """Digest of a text; all missing texts are one text."""
     return F.coalesce(text_key(F.col(text)), F.lit(""))
@@ -30,13 +34,39 @@ def first_ids(df: DataFrame, text: str, row_id: str, **facts: Column) -> DataFra
     return folded.select("key", "first.*", "copies")
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of a membership filter: eight a key, a power of two, within the bounds."""
+    bits = LEAST_BITS
+    while bits < min(8 * keys, MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def slot_of(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
+def membership(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """(__bucket, __bits): one bit for the slot of each key, in buckets of 4 KB; the bits are set and merged map-side."""
+    slots = keys.select(slot_of(F.col(key), bits).alias("__slot"))
+    return slots.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+
+
+def bit_set(bits: Column, slot: Column) -> Column:
+    """Whether the slot's bit is set in its bucket; null without a bucket."""
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, at.bitwiseAND(7)) == 1
+
+
 def keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small: int = BROADCAST_ROWS) -> DataFrame:
     """Keep the rows that `firsts(key, id, copies, seen)`, a written table, names and that
     are not seen.
 
     Only texts that are seen or have copies need a look-up. While those are few, however
-    many copies each has, they are sent to every task and no text is shuffled; beyond
-    that the surviving ids, unique on both sides, are joined back.
+    many copies each has, they are sent to every task and no text is shuffled. Beyond that a
+    filter of fixed size goes to the tasks: a row that it doesn't hold has an unrepeated text and
+    stays where it is, and only possible repeats meet the surviving ids, unique on both sides.
     """
     first = F.when(~F.col("seen"), F.col(row_id)).alias("__first")
     special = firsts.where("seen or copies > 1").select(F.col("key").alias("__key"), first, F.lit(True).alias("__special"))
@@ -45,7 +75,16 @@ def keep_first(df: DataFrame, text: str, row_id: str, firsts: DataFrame, small:
         rows = df.withColumn("__key", _key(text)).join(F.broadcast(special), "__key", "left")
         keep = F.col("__special").isNull() | F.coalesce(F.col("__first") == F.col(row_id), F.lit(False))
         return rows.where(keep).drop("__key", "__first", "__special")
-    return df.join(firsts.where("not seen").select(row_id), row_id, "left_semi")
+    bits = filter_bits(special.count())
+    held = F.broadcast(membership(special.select("__key"), "__key", bits))
+    slot = slot_of(_key(text), bits)
+    rows = df.withColumn("__slot", slot).withColumn("__bucket", F.bitmap_bucket_number("__slot")).join(held, "__bucket", "left")
+    possible = F.coalesce(bit_set(F.col("__bits"), F.col("__slot")), F.lit(False))
+    alone = rows.where(~possible).select(df.columns)
+    again = rows.where(possible).select(df.columns)
+    left = firsts.where("not seen").withColumn("__slot", slot_of(F.col("key"), bits)).withColumn("__bucket", F.bitmap_bucket_number("__slot"))
+    left = left.join(held, "__bucket").where(possible).select(row_id)
+    return alone.union(again.join(left, row_id, "left_semi").select(df.columns))
 
 
 def drop_copies(df: DataFrame, text: str, row_id: str, small: int = BROADCAST_ROWS) -> DataFrame:

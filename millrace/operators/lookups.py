@@ -73,6 +73,6 @@ def overlay(base: DataFrame, over: DataFrame, key: str = "key", value: str = "va
 
 
 def overlay_maps(base: Column, over: Column) -> Column:
-    """Map columns as one; where a key is in both, `over` wins."""
+    """Map columns as one; where a key is in both, `over` wins. A null map counts as empty; two null maps give null."""
     kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k))
-    return F.map_concat(kept, over)
+    return F.when(base.isNull(), over).when(over.isNull(), base).otherwise(F.map_concat(kept, over))

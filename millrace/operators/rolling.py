@@ -70,8 +70,8 @@ def scale_to_norm(df: DataFrame, keys: Sequence[str], value: str, row_id: str, b
 def weighted_mean(
     df: DataFrame, keys: Sequence[str], value: Column, important: Column, ignored: Column, weight: float = 2.0
 ) -> DataFrame:
-    """Sum of weighted values over the number of rows used (not the sum of weights)."""
-    used = df.where(~ignored)
+    """Sum of weighted values over the number of rows used (not the sum of weights). A row whose mask is null is used."""
+    used = df.where(~F.coalesce(ignored, F.lit(False)))
     w = F.when(important, F.lit(weight)).otherwise(F.lit(1.0))
     return used.groupBy(*keys).agg(
         (F.sum(w * value) / F.count(F.lit(1))).alias("weighted_mean"), F.count(F.lit(1)).alias("rows_used")

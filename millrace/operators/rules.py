@@ -80,8 +80,8 @@ def with_code_check(
 def score_at_least(df: DataFrame, scores: DataFrame, key: str, score: str, least: float, unscored: bool = False) -> DataFrame:
     """Keep the rows whose score, looked up by `key`, is at least `least`.
 
-    `scores` holds one row per key. A row without a score, or with a null one, stays if `unscored` says so.
+    A key with several scores counts with its largest, so no row is doubled. A row without a score, or with null ones, stays if `unscored` says so.
     """
-    known = scores.select(key, F.col(score).alias("__score"))
+    known = scores.groupBy(key).agg(F.max(score).alias("__score"))
     rows = attach(df, known, [key])
     return rows.where(F.coalesce(F.col("__score") >= least, F.lit(unscored))).drop("__score")

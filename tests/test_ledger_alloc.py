@@ -159,6 +159,18 @@ def test_scale_to_norm(spark):
     assert got == {1: pytest.approx(0.6), 2: pytest.approx(0.8), 3: 0.5, 4: 0.0}
 
 
+def test_a_null_mask_ignores_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, "c"), ("a", 9.0, "x")], "k string, v double, c string")
+    r = rolling.weighted_mean(df, ["k"], F.col("v"), F.col("c") == "i", F.col("c") == "x").first()
+    assert (r["weighted_mean"], r["rows_used"]) == (2.0, 2)
+
+
+def test_a_null_map_counts_as_empty(spark):
+    df = spark.createDataFrame([({"x": 1}, None), (None, {"y": 2}), (None, None), ({}, {"z": 3})], "a map<string,int>, b map<string,int>")
+    got = [r[0] for r in df.select(lookups.overlay_maps(F.col("a"), F.col("b"))).collect()]
+    assert got == [{"x": 1}, {"y": 2}, None, {"z": 3}]
+
+
 def test_weighted_mean_divides_by_rows(spark):
     df = spark.createDataFrame([(1.0, "i"), (2.0, "n"), (9.0, "x")], "v double, c string").withColumn("k", F.lit(1))
     c = F.col("c")

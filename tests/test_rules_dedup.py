@@ -26,6 +26,23 @@ def test_a_third_of_all_rows_are_one_text(spark, small):
     assert kept.count() == 2001 and kept.where("text = 'same'").first()["id"] == 0
 
 
+@pytest.mark.parametrize("least,most", [(1 << 20, 1 << 28), (1 << 6, 1 << 6), (1 << 15, 1 << 16)])
+def test_membership_filter_of_any_size_gives_the_same_rows(spark, monkeypatch, least, most):
+    """Also a full one; and the plan takes no unrepeated text through a shuffle."""
+    monkeypatch.setattr(dedup, "LEAST_BITS", least)
+    monkeypatch.setattr(dedup, "MOST_BITS", most)
+    df = spark.range(4000).withColumn("text", F.concat(F.lit("t"), F.when(F.col("id") % 4 == 0, F.col("id") % 100).otherwise(F.col("id")), F.col("id") % 4))
+    want = {r["id"] for r in dedup.drop_copies(df, "text", "id").collect()}
+    kept = dedup.drop_copies(df, "text", "id", small=0)
+    assert {r["id"] for r in kept.collect()} == want and kept.count() == len(want) == 3025
+    keys = df.where("id % 7 = 0").select("text")
+    held = dedup.membership(keys, "text", dedup.filter_bits(keys.count()))
+    slot = dedup.slot_of(F.col("text"), dedup.filter_bits(keys.count()))
+    met = df.withColumn("s", slot).join(held, F.bitmap_bucket_number("s") == F.col("__bucket"), "left").where(F.coalesce(dedup.bit_set(F.col("__bits"), F.col("s")), F.lit(False)))
+    assert keys.join(met, "text", "left_anti").count() == 0
+    assert least < 1 << 20 or met.count() < 2000
+
+
 def test_null_texts_are_one_group(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, "x")], "id long, text string")
     assert dedup.first_ids(df, "text", "id").count() == 2

@@ -84,6 +84,9 @@ def test_score_threshold_masks_and_pseudonyms(spark):
     known = spark.createDataFrame([(1, 0.4), (2, 0.5), (None, 0.9)], "id long, s double")
     keep = lambda u: sorted(str(r["id"]) for r in rules.score_at_least(df, known, "id", "s", 0.5, u).collect())
     assert keep(False) == ["2", "None"] and keep(True) == ["2", "3", "None"]
+    twice = known.union(spark.createDataFrame([(1, 0.6), (2, 0.1), (2, 0.5), (3, None)], known.schema))
+    again = rules.score_at_least(df, twice, "id", "s", 0.5)
+    assert sorted(str(r["id"]) for r in again.collect()) == ["1", "2", "None"]
     texts = ["write to a.b+c@mail.example.org.", "from 10.0.0.255 and 1234 5678-90123456", "key " + "0a" * 20, None, "plain 1.2.3"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in rows.select(privacy.mask(F.col("t"))).collect()]
