@@ -102,15 +102,19 @@ def parse(page: str) -> list[Part]:
     """Tags and texts of a page in order, each with what it stands in. Broken markup is read leniently."""
     parts: list[Part] = []
     stack: list[tuple[str, bool]] = []
+    opened: Counter = Counter()  # names on the stack
     walls = articles = at = 0
 
     def close(name: str) -> None:
         nonlocal walls, articles
+        if not opened[name]:
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] == name:
                 for other, wall in stack[depth:]:
                     walls -= wall
                     articles -= other == "article"
+                    opened[other] -= 1
                 del stack[depth:]
                 return
 
@@ -132,7 +136,7 @@ def parse(page: str) -> list[Part]:
             if name not in VOID:
                 close(name)
             continue
-        if name in ENDS_P and any(open_ == "p" for open_, _ in stack):
+        if name in ENDS_P and opened["p"]:
             close("p")
         wall = _walled(name, attributes)
         parts.append(Part(name, 0, "", walls > 0 or wall, block, articles > 0))
@@ -141,6 +145,7 @@ def parse(page: str) -> list[Part]:
             at = end.start() if end else len(page)
         if name not in VOID:
             stack.append((name, wall))
+            opened[name] += 1
             walls += wall
             articles += name == "article"
     return parts

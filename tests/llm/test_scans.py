@@ -127,3 +127,11 @@ def test_region_is_the_best_run():
         sums = [sum(w.score(p) for p in parts[a:b]) for a in range(len(parts)) for b in range(a, len(parts) + 1)]
         a, b = extraction.region(parts, w)
         assert sum(w.score(p) for p in parts[a:b]) == max([0.0, *sums])
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    begin = time.process_time()
+    parts = extraction.parse("<div>" * 16_000 + "text" + "</span></div>" * 16_000)
+    assert time.process_time() - begin < 2 and sum(p.words for p in parts) == 1
