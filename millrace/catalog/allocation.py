@@ -88,7 +88,9 @@ def quota_sample(spark, sf):
          from q left join s using (lang) group by q.lang, q.quota"""
 )
 def quota_shortfall(spark, sf):
-    return allocate.shortfall(quota_sample(spark, sf), ["lang"], lang_quotas(spark, sf))
+    quotas = cut(lang_quotas(spark, sf))
+    docs = load(spark, sf, "documents").select("doc_id", "lang")
+    return allocate.shortfall(take_quota(docs, ["lang"], quotas, "doc_id"), ["lang"], quotas)
 
 
 @query(

@@ -200,3 +200,29 @@ def rouge_scores(spark, sf):
     longest = pairs.select("conv_id", "turn", overlap.rouge_l(F.col("output"), F.col("instruction")).alias("rouge_l"))
     rows = grams.join(longest, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", *[r6(F.col(c)).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])
+
+
+@query(
+    f"""with l as (select doc_id, lang, string_split(text, chr(10)) as ls from documents),
+             p as (select doc_id, lang, ls[len(ls)] as c, unnest(range(1, len(ls))) as side, unnest(ls[1 : len(ls) - 1]) as r from l where len(ls) > 1),
+             s as (select doc_id, lang, side, {words_sql(norm_sql('r'))} as w from p
+                   union all select doc_id, lang, 0, {words_sql(norm_sql('c'))} from (select distinct doc_id, lang, c from p)),
+             g as (select doc_id, lang, side, n, array_to_string(w[i : i + n - 1], ' ') as g
+                   from (select *, unnest(range(1, len(w) - n + 2)) as i from (select *, unnest([1, 2, 3, 4]) as n from s))),
+             k as (select doc_id, lang, n, g, side, count(*) as c from g group by all),
+             m as (select doc_id, lang, n, g, max(c) filter (where side = 0) as c, coalesce(max(c) filter (where side > 0), 0) as r from k group by all),
+             t as (select lang, n, sum(least(c, r))::double as m, sum(c)::double as c from m where c is not null group by all),
+             o as (select doc_id, len(w) as c from s where side = 0),
+             e as (select doc_id, lang, any_value(o.c) as c, min(abs(len(w) - o.c) * 1000000 + len(w)) % 1000000 as r from s join o using (doc_id) where side > 0 group by all),
+             z as (select lang, sum(c)::bigint as candidates, sum(r)::bigint as "references" from e group by all),
+             x as (select lang, count(*) filter (where m > 0) as hits, avg(ln(m / c)) filter (where m > 0) as mean from t where n between 1 and 4 group by all)
+        select lang, candidates, "references", round(case when hits = 4 then (case when candidates > "references" then 1 else exp(1 - "references" / candidates) end) * exp(mean) else 0 end, 6) as bleu
+        from z left join x using (lang)"""
+)
+def corpus_bleu_by_lang(spark, sf):
+    """How much the last lines of a language's documents repeat of the lines before them."""
+    lines = F.split("text", "\n", -1)
+    pairs = load(spark, sf, "documents").select("doc_id", "lang", lines.alias("ls")).where(F.size("ls") > 1)
+    pairs = pairs.select("doc_id", "lang", F.element_at("ls", -1).alias("c"), F.slice("ls", F.lit(1), F.size("ls") - 1).alias("rs"))
+    rows = overlap.corpus_bleu(pairs, ["doc_id"], ["lang"], "c", "rs")
+    return rows.withColumn("bleu", r6(F.col("bleu")))

@@ -51,3 +51,14 @@ def stream_sliding_totals(spark, sf):
 def stream_first_seen(spark, sf):
     firsts = jobs.first_seen(stream(spark, sf), "ts", ["event_type", "user_id"], "40 days").select("event_type", "user_id")
     return spark.read.schema(firsts.schema).parquet(jobs.run_to_folder(firsts, "first-seen"))
+
+
+@query("select epoch_us(ts) // 86400000000 * 86400000000 as start_us, event_type, count(*) as n from events group by 1, 2")
+def stream_window_counts(spark, sf):
+    """Counts per day and kind of event in update mode, over files that arrive one after another."""
+    root = fresh_folder(spark, "arrivals")
+    events = load(spark, sf, "events").select("event_id", "ts", "event_type")
+    events.repartitionByRange(3, "ts").write.parquet(f"{root}/in")
+    rows = jobs.event_stream(spark, f"{root}/in", events.schema, per_trigger=1)
+    jobs.window_counts(rows, "ts", ["event_type"], f"{root}/out", f"{root}/progress", "1 day", "60 days")
+    return jobs.latest_counts(spark, f"{root}/out", ["event_type"], "event_type string")

@@ -166,3 +166,15 @@ def contains_any(c: Column, patterns: Sequence[str]) -> Column:
     for p in patterns:
         hit = hit | F.contains(low, F.lit(p.lower()))
     return hit
+
+
+def in_one_line(c: Column) -> Column:
+    """A text without line breaks, which `in_lines` turns back: backslashes doubled, breaks written as a backslash and a letter."""
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def in_lines(c: Column) -> Column:
+    """What `in_one_line` was given. What stands between doubled backslashes holds none but those of breaks."""
+    broken = lambda part: F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    undone = F.array_join(F.transform(F.split(c, r"\\\\", -1), broken), "\\")
+    return F.when(F.contains(c, F.lit("\\")), undone).otherwise(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,42 @@ def bleu(pairs: DataFrame, keys: Sequence[str], candidate: str, reference: str,
     return wide.select(*keys, F.when(every, brevity * F.exp(total / longest)).otherwise(0.0).alias("bleu"))
 
 
+def corpus_bleu(pairs: DataFrame, keys: Sequence[str], by: Sequence[str], candidate: str, references: str, longest: int = 4) -> DataFrame:
+    """(by, candidates, references, bleu) of whole groups of pairs, with any number of references each.
+
+    `keys` must be unique, `references` is an array of texts. A gram of a candidate counts as often as
+    the reference that holds it most often does; matches and lengths are added up over the group before
+    the geometric mean. A candidate's reference length is that nearest to its own, the smaller of two. `candidates`
+    and `references` are these sums of words. A null text is an empty one; a pair with no references (a null or empty array)
+    takes no part. Null `by` values are a group; without pairs there are no rows, or one of zeros if `by` is empty.
+    """
+    named = list(dict.fromkeys([*keys, *by]))
+    none = F.array().cast("array<string>")
+    split = lambda c: F.coalesce(words(normalise(c)), none)
+    texts = pairs.where(F.size(references) > 0).select(*named, split(F.col(candidate)).alias("__c"), F.transform(references, split).alias("__r"))
+    size = F.size("__c")
+    nearest = F.array_min(F.transform("__r", lambda r: F.struct(F.abs(F.size(r) - size).alias("off"), F.size(r).alias("n"))))["n"]
+    lengths = texts.groupBy(*by).agg(F.sum(size).alias("candidates"), F.sum(nearest).alias("matched"))
+    sides = texts.select(*named, F.posexplode(F.concat(F.array("__c"), "__r")).alias("side", "w"))
+    sized = sides.select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("w") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
+    grams = sized.select(*named, "n", "side", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("gram"))
+    own = F.col("side") == 0
+    most = grams.groupBy(*named, "n", "gram", "side").agg(F.count(F.lit(1)).alias("times"))
+    most = most.groupBy(*named, "n", "gram").agg(F.max(F.when(own, F.col("times"))).alias("c"), F.max(F.when(~own, F.col("times"))).alias("r"))
+    met = most.where("c is not null").groupBy(*by, "n").agg(F.sum("c").alias("candidates"), F.sum(F.least("c", F.coalesce("r", F.lit(0)))).alias("matched"))
+    both = met.select(*by, "n", "candidates", "matched").union(lengths.select(*by, F.lit(0), "candidates", "matched"))
+    value = lambda n, c: F.coalesce(_of(n, c), F.lit(0))
+    every, total = F.lit(True), F.lit(0.0)
+    for n in range(1, longest + 1):
+        every = every & (value(n, "matched") > 0)
+        total = total + F.log(value(n, "matched") / value(n, "candidates"))
+    words_c, words_r = value(0, "candidates"), value(0, "matched")
+    brevity = F.when(words_c > words_r, F.lit(1.0)).otherwise(F.exp(1 - words_r / F.nullif(words_c, F.lit(0))))
+    score = F.when(every, brevity * F.exp(total / longest)).otherwise(0.0)
+    return both.groupBy(*by).agg(words_c.alias("candidates"), words_r.alias("references"), score.alias("bleu"))
+
+
 def f_score(matched: Column, candidates: Column, references: Column) -> Column:
     """Harmonic mean of precision and recall; zero without a match."""
     return F.when(matched > 0, 2 * matched / (candidates + references)).otherwise(0.0)
@@ -65,28 +102,50 @@ def rouge(pairs: DataFrame, keys: Sequence[str], candidate: str, reference: str)
     return scored.groupBy(*keys).agg(_of(1, "score").alias("rouge_1"), _of(2, "score").alias("rouge_2"))
 
 
-def _bound(value: Column, use) -> Column:
-    """`use(value)`, with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
+BLOCK = 1 << 14
+"""Places of the second list that one set of bits holds; a longer list is worked on block by block."""
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: a fold that keeps one row of the
-    table. Its cost is the product of the lengths times the second, so it is for turns, not books."""
+def shared_in_order(a: list, b: list, block: int = BLOCK) -> int:
+    """Length of the longest common subsequence, a place of `b` being one bit.
+
+    The bits of `b` that are still set are those where the table of lengths doesn't rise. An entry
+    of `a` changes all of them by one addition, whose carries run over the places (Hyyrö, 2004).
+    Of each entry only its carry goes from one block of `b` to the next, so memory is bounded by
+    the lists and a block's masks. None equals nothing.
+    """
+    carries = bytearray(len(a))
+    found = 0
+    for begin in range(0, len(b), block):
+        part = b[begin : begin + block]
+        masks: dict = {}
+        for k, entry in enumerate(part):
+            masks[entry] = masks.get(entry, 0) | 1 << k
+        masks.pop(None, None)
+        size, flat = len(part), (1 << len(part)) - 1
+        full = flat
+        for k, entry in enumerate(a):
+            mask = masks.get(entry, 0)
+            if mask or carries[k]:
+                met = flat & mask
+                moved = flat + met + carries[k]
+                carries[k] = moved >> size
+                flat = (moved & full) | (flat ^ met)
+        found += size - flat.bit_count()
+    return found
 
-    def fold(both: Column) -> Column:
-        a, b = both["a"], both["b"]
 
-        def row(before: Column, word: Column) -> Column:
-            def raise_(x: Column, j: Column) -> Column:
-                return F.when(x == word, F.when(j > 0, F.get(before, j - 1)).otherwise(0) + 1).otherwise(F.get(before, j))
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays; 0 for a null array, and a null entry equals nothing.
 
-            return _bound(F.transform(b, raise_), lambda up: F.transform(up, lambda _, j: F.array_max(F.slice(up, 1, j + 1))))
+    No built-in function keeps such a table; rows go over in Arrow batches and each takes about len(a) * len(b) / 64 steps.
+    """
 
-        last = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b)), row)
-        return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_max(last)).otherwise(0)
+    def lengths(left: pa.Array, right: pa.Array) -> pa.Array:
+        found = (shared_in_order(x.as_py() or [], y.as_py() or []) for x, y in zip(left, right, strict=True))
+        return pa.array(found, type=pa.int32())
 
-    return _bound(F.struct(a.alias("a"), b.alias("b")), fold)
+    return F.arrow_udf(lengths, "int")(a, b)
 
 
 def rouge_l(candidate: Column, reference: Column) -> Column:

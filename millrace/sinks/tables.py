@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import file_key
+from millrace.functions.text import file_key, in_one_line
 from millrace.sources.tables import NULL_TEXT
 
 
@@ -18,12 +18,22 @@ def write_parquet_splits(df: DataFrame, folder: str, mode: str = "error") -> Non
     df.write.mode(mode).partitionBy("split").parquet(folder)
 
 
-def write_csv(df: DataFrame, folder: str, mode: str = "error") -> None:
-    """CSV with a header; nested columns become JSON text, nulls a marker of their own."""
+def write_csv(df: DataFrame, folder: str, mode: str = "error", file_rows: int = 0) -> None:
+    """CSV with a header; nested columns become JSON text, nulls a marker of their own.
+
+    A line break inside a text is written as `\\n` or `\\r` and a backslash doubled, so a row is a line and
+    a file can be read by many tasks. A file takes at most `file_rows` rows, if that is positive.
+    """
     nested = (T.StructType, T.MapType, T.ArrayType)
-    flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema]
+
+    def flat(f: T.StructField) -> Column:
+        name = "`" + f.name.replace("`", "``") + "`"
+        if isinstance(f.dataType, nested):
+            return in_one_line(F.to_json(name)).alias(f.name)
+        return in_one_line(F.col(name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(name)
+
     (
-        df.select(*flat).write.mode(mode).option("header", True).option("quoteAll", True)
+        df.select(*map(flat, df.schema)).write.mode(mode).option("maxRecordsPerFile", file_rows).option("header", True).option("quoteAll", True)
         .option("quote", '"').option("escape", '"').option("nullValue", NULL_TEXT)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.functions.text import in_lines
+
 CORRUPT = "_corrupt_record"
 NULL_TEXT = "\\N"
 """How a null is written in CSV, where it must differ from an empty text."""
@@ -77,9 +79,11 @@ def read_splits(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
 
 
 def read_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """CSV as `write_csv` leaves it: quoted, with line breaks inside fields."""
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
+    """CSV as `write_csv` leaves it: quoted, a row a line, line breaks in texts undone. Large files are read by several tasks."""
+    rows = (
+        spark.read.schema(schema).option("header", True)
         .option("quote", '"').option("escape", '"').option("nullValue", NULL_TEXT).option("emptyValue", "")
         .option("lineSep", "\n").csv(folder)
     )
+    names = {f.name: "`" + f.name.replace("`", "``") + "`" for f in schema}
+    return rows.select(*[(in_lines(F.col(names[f.name])) if isinstance(f.dataType, T.StringType) else F.col(names[f.name])).alias(f.name) for f in schema])

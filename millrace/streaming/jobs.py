@@ -67,11 +67,21 @@ def sliding_totals(stream: DataFrame, ts: str, keys: list[str], tokens: Column,
     return _windows(stream.withWatermark(ts, late), ts, keys, tokens, size, step)
 
 
-def open_windows(rows: DataFrame, given_out: DataFrame, ts: str, keys: list[str], tokens: Column, size: str = "60 seconds", step: str = "10 seconds") -> DataFrame:
+def open_windows(
+    rows: DataFrame, given_out: DataFrame, ts: str, keys: list[str], tokens: Column, size: str = "60 seconds", step: str = "10 seconds", late: str = "60 seconds"
+) -> DataFrame:
     """The windows of a batch of events that a finished stream hasn't given out, as they were
-    still open when it ended. Null keys count."""
-    given = given_out.select("start_us", *keys)
-    return meet(_windows(rows, ts, keys, tokens, size, step), given, ["start_us", *keys], "left_anti")
+    still open when it ended: those that end after the last time less `late`. Null keys count.
+
+    One column is read for the last time; beyond that only events that such a window can hold.
+    """
+    ended = F.date_trunc("millisecond", F.max(ts)) - F.expr(f"interval {late}")
+    first = rows.agg(F.unix_micros(ended - F.expr(f"interval {size}")).alias("us")).first()["us"]
+    if first is None:
+        return _windows(rows, ts, keys, tokens, size, step)
+    young = rows.where(F.col(ts) > F.timestamp_micros(F.lit(first)))
+    given = given_out.where(F.col("start_us") > first).select("start_us", *keys)
+    return meet(_windows(young, ts, keys, tokens, size, step).where(F.col("start_us") > first), given, ["start_us", *keys], "left_anti")
 
 
 def _windows(rows: DataFrame, ts: str, keys: list[str], tokens: Column, size: str, step: str) -> DataFrame:
@@ -82,6 +92,28 @@ def _windows(rows: DataFrame, ts: str, keys: list[str], tokens: Column, size: st
     )
 
 
+def window_counts(stream: DataFrame, ts: str, keys: list[str], out: str, progress: str, size: str = "1 hour", late: str = "1 hour") -> None:
+    """Counts per key and event-time window while rows arrive: each batch writes the windows it changed, with their new counts.
+
+    A row that comes late corrects the count given out before, unless its window is older than the
+    watermark, which also bounds the state. A batch that is run again replaces its own folder.
+    """
+    counts = stream.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count(F.lit(1)).alias("n"))
+    changed = counts.select(F.unix_micros("window.start").alias("start_us"), *keys, "n")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def latest_counts(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
+    """The newest count of each key and window of `window_counts`. `schema`: of the keys."""
+    rows = spark.read.schema(f"start_us long, {schema}, n long, batch long").parquet(out)
+    return rows.groupBy("start_us", *keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def first_seen(stream: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """One row per key within the watermark; older keys are forgotten."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)

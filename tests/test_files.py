@@ -91,3 +91,20 @@ def test_report_file_keeps_order(spark):
 def test_first_rows(spark):
     df = spark.range(50).withColumn("x", -F.col("id"))
     assert [r["id"] for r in src.first_rows(df, "x", 3).collect()] == [49, 48, 47]
+
+
+def test_large_csv_files_are_read_by_several_tasks(spark):
+    texts = ["\n", "\r", "\\", "\\n", "\\\\n\n", "a\\\r\nb", '"', '",\n"', "\\N", "", None, "x" * 3000, "\\\n\\"]
+    df = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(6000)], "id long, `a.b` string")
+    folder = fresh_folder(spark, "csv")
+    out.write_csv(df.coalesce(1), folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        back = src.read_csv(spark, folder, df.schema)
+        assert len(back.inputFiles()) == 1 and back.rdd.getNumPartitions() > 1
+        assert sorted((r[0], r[1]) for r in back.collect()) == [(i, texts[i % len(texts)]) for i in range(6000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    out.write_csv(df.coalesce(1), f"{folder}-cut", file_rows=1000)
+    assert len(src.read_csv(spark, f"{folder}-cut", df.schema).inputFiles()) == 6

@@ -63,3 +63,31 @@ def test_first_seen_over_several_batches(spark):
     put(spark, f"{root}/in", [(4, 60, "a", 1), (5, 61, "c", 1)])
     firsts = jobs.first_seen(open_stream(spark, f"{root}/in"), "ts", ["key"]).select("key")
     assert sorted(r["key"] for r in spark.read.parquet(jobs.run_to_folder(firsts, "d")).collect()) == ["a", "b", "c"]
+
+
+def test_window_counts_are_corrected_and_replayable(spark):
+    root = fresh_folder(spark, "u")
+    for k, seconds in enumerate([[0, 10, 4000], [20, 4100], [30, 4200, 90_000]]):
+        put(spark, f"{root}/in", [(10 * k + i, s, "ab"[s % 20 == 10], 1) for i, s in enumerate(seconds)])
+        jobs.window_counts(open_stream(spark, f"{root}/in"), "ts", ["key"], f"{root}/out", f"{root}/progress", late="2 hours")
+    want = {tuple(r) for r in spark.read.parquet(f"{root}/in").groupBy(F.unix_micros(F.window("ts", "1 hour")["start"]), "key").count().collect()}
+    latest = lambda: {tuple(r) for r in jobs.latest_counts(spark, f"{root}/out", ["key"], "key string").collect()}
+    assert latest() == want
+    put(spark, f"{root}/in", [(99, 5, "a", 1), (98, 90_001, "a", 1)])  # too late, and in time
+    jobs.window_counts(open_stream(spark, f"{root}/in"), "ts", ["key"], f"{root}/out", f"{root}/progress", late="2 hours")
+    hour = int(BASE.replace(tzinfo=dt.timezone.utc).timestamp() + 90_000) // 3600 * 3_600_000_000
+    assert latest() == {(s, k, n + (s == hour and k == "a")) for s, k, n in want}
+    last = spark.read.schema("start_us long, key string, n long, batch long").parquet(f"{root}/out")
+    top = last.agg(F.max("batch")).first()[0]
+    again = last.where(F.col("batch") == top).drop("batch").collect()
+    spark.createDataFrame(again, "start_us long, key string, n long").write.mode("overwrite").parquet(f"{root}/out/batch={top}")
+    assert latest() == {(s, k, n + (s == hour and k == "a")) for s, k, n in want}
+
+
+def test_first_seen_forgets_what_is_older_than_the_watermark(spark):
+    root = fresh_folder(spark, "f")
+    for k, rows in enumerate([[("a", 0)], [("b", 10_000)], [("c", 10_001)], [("a", 10_002), ("b", 10_003)]]):
+        put(spark, f"{root}/in", [(10 * k + i, s, key, 1) for i, (key, s) in enumerate(rows)])
+        firsts = jobs.first_seen(open_stream(spark, f"{root}/in"), "ts", ["key"], "1 hour").select("id", "key")
+        jobs.append_to(firsts, f"{root}/out", f"{root}/progress")
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").collect()) == [(0, "a"), (10, "b"), (20, "c"), (30, "a")]

@@ -1,3 +1,6 @@
+import random
+import time
+
 from math import comb
 
 import pytest
@@ -99,3 +102,32 @@ def test_top_per_key(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), (None, 5), (None, 4), ("b", 9)], "k string, v int")
     got = sorted((str(r["k"]), r["v"]) for r in top_per_key(df, ["k"], [F.col("v")], 2).collect())
     assert got == [("None", 4), ("None", 5), ("a", 1), ("a", 2), ("b", 9)]
+
+
+def test_longest_common_subsequence_by_bits():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(40))] for _ in range(2))
+        assert overlap.shared_in_order(a, b, rng.choice([1, 3, 8, 64])) == lcs(a, b)
+    assert overlap.shared_in_order([None, "a"], [None, "a"]) == 1
+    a, b = ([rng.randrange(500) for _ in range(4000)] for _ in range(2))
+    begin = time.perf_counter()
+    n = overlap.shared_in_order(a, b)
+    assert time.perf_counter() - begin < 1 and n == overlap.shared_in_order(b, a, 1000)
+
+
+def test_corpus_bleu(spark):
+    rows = [
+        (1, "x", "the the the cat", ["the cat", "the the dog"]),
+        (2, "x", "a b c d e", ["a b c d", "z", "a b c d e f"]),
+        (3, None, "a b", None),
+        (4, None, None, ["a", None]),
+        (5, "y", "a b", []),
+    ]
+    df = spark.createDataFrame(rows, "id int, g string, c string, rs array<string>")
+    got = {r["g"]: tuple(r)[1:] for r in overlap.corpus_bleu(df, ["id"], ["g"], "c", "rs", 2).collect()}
+    # words: 3 of 4 and 5 of 5 match; pairs: 2 of 3 and 4 of 4; lengths 9 against 3 + 4
+    assert got["x"] == (9, 7, pytest.approx((8 / 9 * 6 / 7) ** 0.5))
+    assert got[None] == (0, 0, 0.0) and set(got) == {"x", None}
+    one = overlap.corpus_bleu(df.where("id = 2").withColumn("rs", F.array(F.lit("a b c d e f"))), ["id"], [], "c", "rs").first()
+    assert one["bleu"] == pytest.approx(2.718281828459045 ** (1 - 6 / 5))
