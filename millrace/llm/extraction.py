@@ -45,6 +45,7 @@ WALL = frozenset(
     "script style noscript template head title form button select option textarea input label fieldset nav footer header aside menu iframe object "
     "svg math canvas audio video dialog".split()
 )
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 ENDS_P = BLOCK | frozenset("form nav footer header aside menu fieldset".split())
 MARKED = re.compile(
@@ -54,8 +55,11 @@ MARKED = re.compile(
     re.I,
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|[^<]+|<", re.S
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|[^<]+|<",
+    re.S,
 )
+"""A comment, a declaration, a tag, a tag with a quote that is never closed (it ends at the next `>`), or text."""
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACES = re.compile(r"\s+")
 
@@ -82,8 +86,10 @@ class Weights:
         return self.of.get(part.kind, SLIGHT if self.of else -1.0) if part.kind else 0.0
 
 
-def _walled(name: str, attributes: str) -> bool:
-    if name in WALL:
+def _walled(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element holds no content. Inside an article a header holds its title, and a text element
+    like a paragraph is only believed to be an advert or the like if one of its classes is just that word."""
+    if name in WALL and not (inside and name == "header"):
         return True
     if not attributes.strip():
         return False
@@ -93,7 +99,10 @@ def _walled(name: str, attributes: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "main", "article") and MARKED.search(value):
+        if inside and name in TEXTUAL:
+            if key == "class" and any(MARKED.fullmatch(c) for c in value.split()):
+                return True
+        elif key in ("class", "id", "role") and name not in ("html", "body", "main", "article") and MARKED.search(value):
             return True
     return False
 
@@ -120,7 +129,7 @@ def parse(page: str) -> list[Part]:
 
     while found := TOKEN.match(page, at):
         at = found.end()
-        closing, name, attributes = found.groups()
+        closing, name, attributes = found.groups()[:3] if found[2] else found.groups()[3:]
         if name is None:
             token = found[0]
             if token[:2] in ("<!", "<?") and len(token) > 1:
@@ -138,7 +147,7 @@ def parse(page: str) -> list[Part]:
             continue
         if name in ENDS_P and opened["p"]:
             close("p")
-        wall = _walled(name, attributes)
+        wall = _walled(name, attributes, articles > 0)
         parts.append(Part(name, 0, "", walls > 0 or wall, block, articles > 0))
         if name in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)

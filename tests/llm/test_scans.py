@@ -135,3 +135,18 @@ def test_deep_pages_take_time_in_proportion():
     begin = time.process_time()
     parts = extraction.parse("<div>" * 16_000 + "text" + "</span></div>" * 16_000)
     assert time.process_time() - begin < 2 and sum(p.words for p in parts) == 1
+
+
+def test_article_text_under_names_that_sound_like_something_else():
+    page = (
+        "<body><header><h1>Site</h1></header><p class='market-share'>Site chart.</p><article><header><h1>A title</h1></header>"
+        "<p class='market-share'>Shares rose.</p><p class='ad'>Buy now!</p><h2 id='search'>How to search</h2><div class='ad-box'>Buy more!</div></article></body>"
+    )
+    assert extraction.blocks_text(extraction.parse(page)) == "A title\nShares rose.\nHow to search"
+
+
+def test_quotes_that_are_never_closed():
+    text = lambda page: extraction.blocks_text(extraction.parse(page))
+    assert text('<p>a <a href="x>text</a> b</p>') == "a text b"
+    assert text("<p>it's <i>d</i> \"e\"</p><p class='q>f</p>") == 'it\'s d "e"\nf'
+    assert text("<p>1 < 2 <b>c</b><a href='x") == "1 < 2 c"
