@@ -59,10 +59,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, tile_rows: int = TILE_RO
 
     A candidate with the query's own id is left out. Rows whose id or vector is null take no
     part. A shorter vector counts as filled up with zeros. Scores must fit 64 bits. Repeated
-    query rows give one list; repeated candidate rows are candidates of their own. Fewer than
+    query rows give one list, that of the smallest vector if one id has several; repeated candidate rows are candidates of their own. Fewer than
     k candidates give all there are; an empty side gives no rows.
     """
-    queries = queries.where("id is not null and vec is not null").dropDuplicates(["id"]).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    queries = queries.where("id is not null and vec is not null").groupBy(F.col("id").alias("qid")).agg(F.min("vec").alias("qvec"))
     items = items.where("id is not null and vec is not null").select("id", "vec")
     tiles, shards = (max(1, -(-side.count() // rows)) for side, rows in ((queries, tile_rows), (items, shard_rows)))
     left = queries.withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(tiles))).withColumn("shard", _each(shards))

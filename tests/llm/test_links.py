@@ -163,3 +163,10 @@ def test_vectors_of_other_length_share_a_lattice(spark):
     finally:
         spark.conf.set(batch, before)
     assert got == {i: (1, i - i % 2) for i in range(40)}
+
+
+def test_repeated_query_ids_take_the_smallest_vector(spark):
+    df = spark.createDataFrame([(1, [2, 0]), (1, [0, 3]), (1, [2, 0]), (2, [5, 1]), (3, [1, 5])], "id long, vec array<long>")
+    for n in (1, 4):
+        got = topk.top_k(df.where("id = 1").repartition(n), df, 2).collect()
+        assert sorted(map(tuple, got)) == [(1, 1, 3, 15), (1, 2, 2, 3)]
