@@ -12,6 +12,7 @@ from millrace.catalog.registry import load, query, r6
 from millrace.catalog.verdicts import REPORT_SQL, SCORES_SQL, STAMP, samples, score_table
 from millrace.operators import dedup
 from millrace.operators.cuts import exact_split
+from millrace.operators.ordered import numbered
 from millrace.operators.verdicts import report_lines
 from millrace.plans.comparison import write_comparison
 from millrace.session import fresh_folder
@@ -98,25 +99,45 @@ def manifest_file(spark, sf):
     )
 
 
+REPORT_LINES_SQL = REPORT_SQL.replace("select section, \"group\", line_no, line from l", """select string_agg(line, chr(10) order by section, "group", line_no) as report from l""")
+NUMBERED_SQL = f"""select unnest(range(1, len(p) + 1)) as no, unnest(p) as value from (select string_split(report, chr(10)) as p from ({REPORT_LINES_SQL}))"""
+
+
+def numbered_lines(spark, folder):
+    """The lines of a report's files with their place in it."""
+    name = F.regexp_extract(F.input_file_name(), "[^/]+$", 0)
+    lines = spark.read.text(folder, wholetext=True).select(name.alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "value"))
+    return numbered(lines, [], [F.col("file"), F.col("at")], "no").select(F.col("no").cast("long"), "value")
+
+
 @query(
     SCORES_SQL
-    + """select benchmark || '_pass_at_1' as metric, model, round(pass_at_1, 6) as value,
-                row_number() over (partition by benchmark order by pass_at_1 desc, model) as position from c"""
+    + f"""select 'summary' as part, benchmark || '_pass_at_1' as name, model, round(pass_at_1, 6) as value,
+                row_number() over (partition by benchmark order by pass_at_1 desc, model) as position, null as line from c
+         union all select 'results', benchmark, model, round(pass_at_1, 6), total_problems, null from c
+         union all select 'report', null, null, null, no, value from ({NUMBERED_SQL})"""
 )
 def comparison_files(spark, sf):
-    """Results per model, summary and report, written together; the summary read back."""
+    """Results per model, summary and report, written together; all three read back."""
     folder = fresh_folder(spark, "comparison")
     write_comparison(samples(spark, sf), folder, "Scores", STAMP)
-    back = spark.read.schema("metric string, model string, value double, position long").json(f"{folder}/summary")
-    return back.withColumn("value", r6(F.col("value")))
+    none = F.lit(None).cast("string")
+    summary = spark.read.schema("metric string, model string, value double, position long").json(f"{folder}/summary")
+    results = spark.read.schema("model string, benchmark string, pass_at_1 double, total_problems long, model_key string").json(f"{folder}/results")
+    parts = [
+        summary.select(F.lit("summary").alias("part"), F.col("metric").alias("name"), "model", r6(F.col("value")).alias("value"), "position", none.alias("line")),
+        results.select(F.lit("results"), "benchmark", "model", r6(F.col("pass_at_1")), "total_problems", none),
+        numbered_lines(spark, f"{folder}/report").select(F.lit("report"), none, none, F.lit(None).cast("double"), "no", "value"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
-@query(REPORT_SQL.replace("select section, \"group\", line_no, line from l", "select unnest(string_split(line, chr(10))) as value from l"))
+@query(NUMBERED_SQL)
 def report_file(spark, sf):
-    """The report as text files; read back as lines."""
+    """The report as text files; read back as lines in their order."""
     folder = fresh_folder(spark, "report")
     out.write_report(report_lines(score_table(spark, sf), "Scores", STAMP), folder)
-    return spark.read.text(folder)
+    return numbered_lines(spark, folder)
 
 
 @query("select item_id, text from benchmark")

@@ -44,7 +44,7 @@ def adaptive_clips(spark, sf):
     return rows.select("event_id", r6(F.col("threshold")).alias("threshold"), "is_clipped", r6(F.col("clipped")).alias("clipped"))
 
 
-def _audit_sql(key: str, seconds: int, requests: int, tokens: int) -> str:
+def audit_sql(key: str, seconds: int, requests: int, tokens: int) -> str:
     part = f"partition by {key}" if key else ""
     span = seconds * 1_000_000
     return f"""
@@ -61,13 +61,13 @@ def _audit(events, keys, seconds, requests, tokens):
     return rows.select("event_id", "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", r6(F.col("wait_s")).alias("wait_s"), "no_history")
 
 
-@query(_audit_sql("user_id", 86_400, 3, 100))
+@query(audit_sql("user_id", 86_400, 3, 100))
 def rate_audit(spark, sf):
     """A day-long window, so that users do reach their limits."""
     return _audit(series(spark, sf), ["user_id"], 86_400, 3, 100)
 
 
-@query(_audit_sql("", 3_600, 15, 400))
+@query(audit_sql("", 3_600, 15, 400))
 def rate_audit_one_limiter(spark, sf):
     """One limiter for all events."""
     return _audit(series(spark, sf), [], 3_600, 15, 400)

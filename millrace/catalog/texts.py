@@ -8,6 +8,7 @@ from millrace.catalog.registry import SPACE_SQL, load, norm_sql, query, r6, stri
 from millrace.functions import privacy
 from millrace.functions import text as tx
 from millrace.functions.code import compiles, parse_state, syntax_facts
+from millrace.operators import spans
 from millrace.operators.code_metrics import code_quality
 from millrace.operators.ledger import option_or, token_cost
 from millrace.operators.rolling import age_weights as age_decay
@@ -119,6 +120,58 @@ def event_pseudonyms(spark, sf):
     return load(spark, sf, "events").select("event_id", privacy.pseudonym(F.col("user_id"), "pepper").alias("who"))
 
 
+ANY_MASK = "|".join(f"(?:{pattern})" for pattern in privacy.MASKS)
+DOUBLED = "case when k % 2 = 0 then substr(d, k, 1)::int * 2 - case when substr(d, k, 1)::int > 4 then 9 else 0 end else substr(d, k, 1)::int end"
+KIND = " ".join(f"when regexp_full_match(hit, '{pattern}') then " + (f"case when card then '{mark}' end" if mark == privacy.CHECKED else f"'{mark}'") for pattern, mark in privacy.MASKS.items())
+HITS_SQL = f"""
+    with p as (select doc_id, string_split_regex(text, '{ANY_MASK}') as g, regexp_extract_all(text, '{ANY_MASK}') as h from documents where text is not null),
+         e as (select doc_id, unnest(range(1, len(g) + 1)) as i, g, h from p),
+         s as (select doc_id, i, g[i] as gap, h[i] as hit, length(array_to_string(g[1:i], '')) + length(array_to_string(h[1:i - 1], '')) as pos,
+                      reverse(regexp_replace(coalesce(h[i], ''), '[^0-9]', '', 'g')) as d from e),
+         c as (select *, coalesce(list_sum(list_transform(range(1, length(d) + 1), lambda k: {DOUBLED})) % 10 = 0, false) as card from s),
+         m as (select *, case {KIND} end as mark from c)"""
+
+
+@query(HITS_SQL + " select doc_id, mark, pos::bigint as start, length(hit) as length from m where mark is not null")
+def personal_spans(spark, sf):
+    return spans.personal_spans(load(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query(HITS_SQL + " select doc_id, string_agg(gap || coalesce(mark, hit, ''), '' order by i) as masked from m group by 1")
+def masked_texts_checked(spark, sf):
+    """Masks as `masked_texts` puts them, but card numbers only with a right check digit."""
+    docs = load(spark, sf, "documents").where("text is not null")
+    return docs.select("doc_id", privacy.mask_checked(F.col("text")).alias("masked"))
+
+
+CARDS = "lpad((1000 + l_orderkey % 9000)::varchar, 4, '0') || ' ' || lpad((l_partkey % 10000)::varchar, 4, '0') || ' ' || lpad((l_suppkey % 10000)::varchar, 4, '0') || ' ' || lpad((l_linenumber * 7 + l_orderkey % 10)::varchar, 4, '0')"
+
+
+@query(
+    f"""with c as (select {CARDS} as card from lineitem), n as (select card, reverse(replace(card, ' ', '')) as d from c)
+        select count(*) as cards, count(*) filter (list_sum(list_transform(range(1, 17), lambda k: {DOUBLED})) % 10 = 0) as valid from n"""
+)
+def card_checks(spark, sf):
+    """Sixteen digits made of each line item's keys, and how many of them have a right check digit."""
+    four = lambda e: F.lpad(F.expr(e).cast("string"), 4, "0")
+    card = F.concat_ws(" ", four("1000 + l_orderkey % 9000"), four("l_partkey % 10000"), four("l_suppkey % 10000"), four("l_linenumber * 7 + l_orderkey % 10"))
+    rows = load(spark, sf, "lineitem").select(privacy.check_digit_ok(card).alias("ok"))
+    return rows.agg(F.count(F.lit(1)).alias("cards"), F.count_if("ok").alias("valid"))
+
+
+@query(
+    """with k as (select text as k from benchmark order by item_id limit 1),
+            b as (select rpad(case when octet_length(encode(k)) > 64 then sha256(k) else hex(encode(k)) end, 128, '0') as b from k),
+            p as (select unhex(array_to_string(list_transform(range(64), lambda i: printf('%02x', xor(('0x' || substr(b, 2 * i::int + 1, 2))::int, 54))), '')) as i,
+                         unhex(array_to_string(list_transform(range(64), lambda i: printf('%02x', xor(('0x' || substr(b, 2 * i::int + 1, 2))::int, 92))), '')) as o from b)
+       select event_id, substr(sha256(p.o || unhex(sha256(p.i || encode(user_id::varchar)))), 1, 32) as who from events, p"""
+)
+def event_keyed_names(spark, sf):
+    """Names that only the holder of a key can make again; the key is read from a table (here the first benchmark text)."""
+    keys = load(spark, sf, "benchmark").orderBy("item_id").limit(1)
+    return load(spark, sf, "events").select("event_id", privacy.keyed_digest(F.col("user_id"), privacy.key_pads(keys, "text"), 32).alias("who"))
+
+
 @query(
     f"""select doc_id, {strip_sql("substr(text, length(lang || source) + 1)")} as rest from documents"""
 )

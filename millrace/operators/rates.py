@@ -58,6 +58,11 @@ def rate_audit(
         extent=(3 * widest, 3 * total),
     ).where(F.col(s + "phase") == 1)
     summed = summed.select(*keys, row_id, s + "row.*", "in_window", "tokens_in_window", "__oldest")
+    return verdicts(summed, span, max_requests, max_tokens).select(*df.columns, "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history")
+
+
+def verdicts(summed: DataFrame, span: int, max_requests: int, max_tokens: int) -> DataFrame:
+    """Add rpm_hit, tpm_hit, wait_s and no_history to requests (__t, __tok) with their windows' content and oldest time."""
     oldest = F.when(F.col("in_window") > 0, F.col("__oldest"))
     rpm = F.col("in_window") >= max_requests
     tpm = F.col("tokens_in_window") + F.col("__tok") > max_tokens
@@ -69,4 +74,4 @@ def rate_audit(
             "wait_s": F.when(rpm | tpm, wait),
             "no_history": tpm & (F.col("in_window") == 0),
         }
-    ).select(*df.columns, "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history")
+    )

@@ -3,7 +3,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from millrace.session import fresh_folder
+from millrace.operators.rates import rate_audit
 from millrace.streaming import jobs
+from millrace.streaming.audits import rate_audit_stream
 
 SCHEMA = "id long, ts timestamp, key string, tok long"
 BASE = dt.datetime(2024, 1, 1)
@@ -91,3 +93,24 @@ def test_first_seen_forgets_what_is_older_than_the_watermark(spark):
         firsts = jobs.first_seen(open_stream(spark, f"{root}/in"), "ts", ["key"], "1 hour").select("id", "key")
         jobs.append_to(firsts, f"{root}/out", f"{root}/progress")
     assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").collect()) == [(0, "a"), (10, "b"), (20, "c"), (30, "a")]
+
+
+def test_stream_audit_equals_the_batch_audit_after_a_restart(spark):
+    root = fresh_folder(spark, "a")
+    rows = [(i, (i * 37) % 400, ("a", "b", None)[i % 3], i % 5) for i in range(120)] + [(200, 400, "a", None), (201, 400, "a", 3)]
+
+    def run():
+        audit = rate_audit_stream(open_stream(spark, f"{root}/in"), ["key"], "ts", "id", F.col("tok"), 60, 3, 9, "500 seconds")
+        jobs.append_to(audit, f"{root}/out", f"{root}/progress")
+        return audit.schema
+
+    put(spark, f"{root}/in", rows[:50])
+    put(spark, f"{root}/in", rows[50:80])
+    run()
+    put(spark, f"{root}/in", rows[80:])
+    run()
+    put(spark, f"{root}/in", [(None, 4000, None, None)])  # closes what is open
+    schema = run()
+    want = rate_audit(spark.createDataFrame([(i, BASE + dt.timedelta(seconds=s), k, t or 0) for i, s, k, t in rows], SCHEMA), ["key"], "ts", "id", F.col("tok"), 60, 3, 9)
+    table = lambda df: sorted((str(tuple(r)) for r in df.select("id", "key", "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history").collect()))
+    assert table(spark.read.schema(schema).parquet(f"{root}/out")) == table(want)
