@@ -104,6 +104,10 @@ class Aligner:
 
     def encode_a(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of A of each text, with a space before it."""
+        return self._encode_a(texts)[0]
+
+    def _encode_a(self, texts: list[str]) -> tuple[list[np.ndarray], set[int]]:
+        """Ids of A of each text, with a space before it, and which texts the quick encoder didn't do alone."""
         parts: list[str] = []
         owner: list[int] = []
         for k, text in enumerate(texts):
@@ -118,19 +122,29 @@ class Aligner:
             parts.append(text[at:])
             owner.append(k)
         ids: list[list[np.ndarray]] = [[] for _ in texts]
+        others: set[int] = set()
         for k, part in zip(owner, parts, strict=True):
             plain = self.quick and not BLANKS.search(part)
-            found = self.quick.encode_ordinary(part) if plain else self.a.encode(part, add_special_tokens=False).ids
-            ids[k].append(np.array(found, dtype=np.int64))
-        return [np.concatenate(x) for x in ids]
+            if not plain:
+                others.add(k)
+            found = self.quick.encode_to_numpy(part, disallowed_special=()) if plain else self.a.encode(part, add_special_tokens=False).ids
+            ids[k].append(np.asarray(found, dtype=np.int64))
+        return [np.concatenate(x) for x in ids], others
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of A and of B of each text; none where their bytes aren't those of the text with a space before it."""
+        """Ids of A and of B of each text; none where their bytes aren't those of the text with a space before it.
+
+        B's chunks are spelled out piece by piece or byte by byte, so its bytes can only differ by a marker
+        that stands in the text itself. The quick encoder splits every text without a gap into bytes that it merges. For
+        both the number of bytes is compared; the bytes themselves where A's other encoder may be at work.
+        """
         none = np.zeros(0, dtype=np.int64)
-        ids_a, ids_b = self.encode_a(texts), [x.astype(np.int64) for x in self.b.encode(texts)]
+        (ids_a, others), ids_b = self._encode_a(texts), [x.astype(np.int64) for x in self.b.encode(texts)]
         for k, text in enumerate(texts):
             want = (" " + text).encode()
-            same = text and all(b"".join(map(of.__getitem__, ids[k].tolist())) == want for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
+            same = text and MARK not in text and len(want) == self.size_a[ids_a[k]].sum() == self.size_b[ids_b[k]].sum()
+            if same and k in others:
+                same = b"".join(map(self.bytes_a.__getitem__, ids_a[k].tolist())) == want
             if not same:
                 ids_a[k] = ids_b[k] = none
         return ids_a, ids_b
