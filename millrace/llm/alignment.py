@@ -20,6 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import in_turn, text_slices
-from millrace.llm.pieces import MARK, load_pieces
+from millrace.llm.pieces import BLOCK_CHUNKS, KEPT_CHUNKS, LONG_CHUNK, MARK, PieceBpe
 from millrace.session import cut
 
 SLICE_BYTES = 1 << 20
@@ -81,6 +82,67 @@ def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return in_turn(first_a, sizes), in_turn(first_b, sizes)
 
 
+class ChunkIds(PieceBpe):
+    """Ids alone by distinct chunks: a chunk is known by its number, and the ids of all stand in one array."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Segment new distinct chunks and number them."""
+        short, long = [c for c in chunks if len(c) <= LONG_CHUNK], [c for c in chunks if len(c) > LONG_CHUNK]
+        found = [*self.segment_all(short), *map(self.segment, long)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.number.update(zip(short + long, range(len(self.number), len(self.number) + len(found)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def of_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, and how many each has. At most KEPT_CHUNKS numbers and 16 ids for each are kept for the next call."""
+        numbers = list(map(self.number.get, chunks))
+        if None in numbers:
+            if len(self.number) > KEPT_CHUNKS or len(self.flat) > 16 * KEPT_CHUNKS:
+                self.forget()
+            self.learn([c for c in dict.fromkeys(chunks) if c not in self.number])
+            numbers = list(map(self.number.__getitem__, chunks))
+        numbers = np.array(numbers, dtype=np.int64)
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        return self.flat[in_turn(self.starts[numbers], sizes)].astype(np.int64), sizes
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a long text is worked through in blocks."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[str] = []
+        owners: list[tuple[int, int]] = []  # text, and how many chunks are held with its own
+
+        def settle() -> None:
+            if held:
+                ids, sizes = self.of_chunks(held)
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                begin = 0
+                for k, end in owners:
+                    parts[k].append(ids[upto[begin] : upto[end]])
+                    begin = end
+            held.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            for chunks in self._chunks(MARK + text.replace(" ", MARK)):
+                held += chunks
+                owners.append((k, len(held)))
+                if len(held) > BLOCK_CHUNKS:
+                    settle()
+        settle()
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts]
+
+
 class Aligner:
     """Two vocabularies: byte-level BPE (A) and SentencePiece BPE (B)."""
 
@@ -91,7 +153,7 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.quick = _quick(path_a)
-        self.b = load_pieces(path_b)
+        self.b = ChunkIds(path_b)
         back = _byte_values()
         vocab = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (1 + max(vocab.values()))
@@ -139,7 +201,7 @@ class Aligner:
         both the number of bytes is compared; the bytes themselves where A's other encoder may be at work.
         """
         none = np.zeros(0, dtype=np.int64)
-        (ids_a, others), ids_b = self._encode_a(texts), [x.astype(np.int64) for x in self.b.encode(texts)]
+        (ids_a, others), ids_b = self._encode_a(texts), self.b.encode(texts)
         for k, text in enumerate(texts):
             want = (" " + text).encode()
             same = text and MARK not in text and len(want) == self.size_a[ids_a[k]].sum() == self.size_b[ids_b[k]].sum()
