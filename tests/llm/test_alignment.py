@@ -11,6 +11,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from millrace.llm import alignment
+from millrace.llm.pieces import load_pieces
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SIGNS = ["a", "aa", "b", "the", "ing", "É", "é", " ", "  ", "\n", "\t", "\x00", "▁", "\xa0", "　", "中", "文字", "😀", "<s>", "<|endoftext|>", "1", "2024",
@@ -128,3 +129,16 @@ def test_long_texts_are_cut_where_tokens_do_not_cross(monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 500)
     cut = alignment.Aligner(A, B).encode([text, "", text[:100]])
     assert all((x == y).all() for s, t in zip(whole, cut, strict=True) for x, y in zip(s, t, strict=True))
+
+
+def test_numbered_chunks_give_the_ids_of_the_chunk_table(monkeypatch):
+    """Also where the numbers are forgotten between calls, blocks are short and chunks long."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, plain = alignment.ChunkIds(path), load_pieces(path)
+    texts = ["one two two", "", "three  é▁x 𝒳", "x" * 300 + " one", "ab" * 100 + " " + "no spaces" * 40, " ", "two one " * 50]
+    want = [x.tolist() for x in plain.encode(texts)]
+    assert [x.tolist() for x in own.encode(texts)] == want == [x.tolist() for x in own.encode(texts)]
+    monkeypatch.setattr(alignment, "KEPT_CHUNKS", 2)
+    monkeypatch.setattr(alignment, "BLOCK_CHUNKS", 3)
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert [own.encode([t])[0].tolist() for t in reversed(texts)] == want[::-1] and own.encode([]) == []
