@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.privacy import MASKS, any_of, mark_of
 from millrace.operators.ordered import GROUP_ROWS, running
+from millrace.session import cut
 
 
 def personal_spans(df: DataFrame, row_id: str, text: str, masks: Mapping[str, str] = MASKS, limit: int = GROUP_ROWS) -> DataFrame:
@@ -22,6 +23,6 @@ def personal_spans(df: DataFrame, row_id: str, text: str, masks: Mapping[str, st
     steps = F.transform(
         hits, lambda hit, i: F.struct(i.alias("at"), F.length(F.get(pieces, i)).alias("gap"), F.length(hit).alias("length"), mark_of(hit, masks).alias("mark"))
     )
-    line = df.select(row_id, F.explode(steps).alias("s")).select(row_id, "s.*")
+    line = cut(df.select(row_id, F.explode(steps).alias("s")).select(row_id, "s.*"))  # the patterns are matched once
     ended = running(line, [row_id], [F.col("at")], sums={"end": F.col("gap") + F.col("length")}, limit=limit)
     return ended.where(F.col("mark").isNotNull()).select(row_id, "mark", (F.col("end") - F.col("length")).alias("start"), F.col("length").cast("long").alias("length"))
