@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from millrace.operators.rates import verdicts
+from millrace.session import ROCKSDB
 
 
 class _Content(StatefulProcessor):
@@ -63,7 +64,11 @@ def rate_audit_stream(
     move the watermark: a source sends one to close what is open. Rows with an id but without a time
     are not given out; a null key is a key like any other, missing tokens count as none. Returns the
     keys, the id, and what `rate_audit` adds.
+
+    State with timers needs the RocksDB store, so the session is set to it for the queries it starts
+    from now on; a query started again from its folder keeps the store it began with.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     span = window_seconds * 1_000_000
     block = (block_seconds or window_seconds) * 1_000_000
     at = F.unix_micros(ts)

@@ -114,3 +114,21 @@ def test_stream_audit_equals_the_batch_audit_after_a_restart(spark):
     want = rate_audit(spark.createDataFrame([(i, BASE + dt.timedelta(seconds=s), k, t or 0) for i, s, k, t in rows], SCHEMA), ["key"], "ts", "id", F.col("tok"), 60, 3, 9)
     table = lambda df: sorted((str(tuple(r)) for r in df.select("id", "key", "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history").collect()))
     assert table(spark.read.schema(schema).parquet(f"{root}/out")) == table(want)
+
+
+def test_stream_audit_runs_in_a_session_with_the_default_state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    given = spark.conf.get(key)
+    root = fresh_folder(spark, "h")
+    rows = [(i, i * 20, "ab"[i % 2], 2) for i in range(12)]
+    put(spark, f"{root}/in", rows)
+    put(spark, f"{root}/in", [(None, 4000, None, None)])
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        audit = rate_audit_stream(open_stream(spark, f"{root}/in"), ["key"], "ts", "id", F.col("tok"), 60, 3, 9, "500 seconds")
+        got = spark.read.schema(audit.schema).parquet(jobs.run_to_folder(audit, "h"))
+    finally:
+        spark.conf.set(key, given)
+    want = rate_audit(spark.createDataFrame([(i, BASE + dt.timedelta(seconds=s), k, t) for i, s, k, t in rows], SCHEMA), ["key"], "ts", "id", F.col("tok"), 60, 3, 9)
+    table = lambda df: sorted(str(tuple(r)) for r in df.select("id", "key", "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history").collect())
+    assert table(got) == table(want) and len(table(got)) == 12
