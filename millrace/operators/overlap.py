@@ -53,6 +53,23 @@ def bleu(pairs: DataFrame, keys: Sequence[str], candidate: str, reference: str,
     return wide.select(*keys, F.when(every, brevity * F.exp(total / longest)).otherwise(0.0).alias("bleu"))
 
 
+def held_grams(texts: DataFrame, named: Sequence[str], longest: int) -> DataFrame:
+    """(named, n, side, gram) from rows of (named, __c, __r): every gram of 1 to `longest` words of the
+    candidate `__c` (side 0) and those of each reference in `__r` (side 1 on) that the candidate holds too.
+
+    A reference gram that its candidate lacks matches nothing, so it never leaves its row.
+    """
+    none = F.array().cast("array<string>")
+    of = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    size = F.size("__c")
+    held = F.array_distinct(F.flatten(F.array(*[F.when(size >= n, of(F.col("__c"), n)).otherwise(none) for n in range(1, longest + 1)])))
+    sides = texts.select(*named, held.alias("__g"), F.posexplode(F.concat(F.array("__c"), "__r")).alias("side", "w"))
+    sized = sides.select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("w") >= F.col("n"))
+    listed = sized.select(*named, "n", "side", of(F.col("w"), F.col("n")).alias("__a"), "__g")
+    shared = listed.select(*named, "n", "side", "__a", F.when(F.col("side") == 0, F.col("__a")).otherwise(F.array_intersect("__a", "__g")).alias("__s"))
+    return shared.select(*named, "n", "side", F.explode(F.filter("__a", lambda g: F.array_contains("__s", g))).alias("gram"))
+
+
 def corpus_bleu(pairs: DataFrame, keys: Sequence[str], by: Sequence[str], candidate: str, references: str, longest: int = 4) -> DataFrame:
     """(by, candidates, references, bleu) of whole groups of pairs, with any number of references each.
 
@@ -69,10 +86,7 @@ def corpus_bleu(pairs: DataFrame, keys: Sequence[str], by: Sequence[str], candid
     size = F.size("__c")
     nearest = F.array_min(F.transform("__r", lambda r: F.struct(F.abs(F.size(r) - size).alias("off"), F.size(r).alias("n"))))["n"]
     lengths = texts.groupBy(*by).agg(F.sum(size).alias("candidates"), F.sum(nearest).alias("matched"))
-    sides = texts.select(*named, F.posexplode(F.concat(F.array("__c"), "__r")).alias("side", "w"))
-    sized = sides.select("*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("w") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
-    grams = sized.select(*named, "n", "side", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("gram"))
+    grams = held_grams(texts, named, longest)
     own = F.col("side") == 0
     most = grams.groupBy(*named, "n", "gram", "side").agg(F.count(F.lit(1)).alias("times"))
     most = most.groupBy(*named, "n", "gram").agg(F.max(F.when(own, F.col("times"))).alias("c"), F.max(F.when(~own, F.col("times"))).alias("r"))

@@ -131,3 +131,9 @@ def test_corpus_bleu(spark):
     assert got[None] == (0, 0, 0.0) and set(got) == {"x", None}
     one = overlap.corpus_bleu(df.where("id = 2").withColumn("rs", F.array(F.lit("a b c d e f"))), ["id"], [], "c", "rs").first()
     assert one["bleu"] == pytest.approx(2.718281828459045 ** (1 - 6 / 5))
+
+
+def test_corpus_bleu_leaves_out_reference_grams_its_candidate_lacks(spark):
+    texts = spark.createDataFrame([(1, ["a", "b"], [["a", "b", "x", "y", "a"], ["z"]])], "id long, __c array<string>, __r array<array<string>>")
+    got = sorted((r["n"], r["side"], r["gram"]) for r in overlap.held_grams(texts, ["id"], 2).collect())
+    assert got == [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (1, 1, "a"), (1, 1, "b"), (2, 0, "a b"), (2, 1, "a b")]
