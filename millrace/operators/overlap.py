@@ -14,20 +14,25 @@ from millrace.functions.text import normalise, words
 def gram_matches(pairs: DataFrame, keys: Sequence[str], candidate: str, reference: str, longest: int) -> DataFrame:
     """(keys, n, matched, candidates, references) for n-grams of 1 to `longest` words.
 
-    `keys` must be unique. A gram counts as often as both texts hold it. Grams are counted by
-    aggregation with map-side combine, so a long text is spread like any other rows. A pair
+    `keys` must be unique. A gram counts as often as both texts hold it. The totals of grams follow
+    from the numbers of words; only grams that both texts hold leave their row, and those are counted
+    by aggregation with map-side combine, so a long text is spread like any other rows. A pair
     without words, or with a null text, has zeros.
     """
-    side = lambda c, own: F.struct(F.lit(own).alias("own"), F.coalesce(words(normalise(F.col(c))), F.array().cast("array<string>")).alias("w"))
-    sides = pairs.select(*keys, F.explode(F.array(side(candidate, True), side(reference, False))).alias("s"))
-    sized = sides.select(*keys, "s.*", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"))
-    starts = F.when(F.size("w") >= F.col("n"), F.sequence(F.lit(1), F.size("w") - F.col("n") + 1))
-    grams = sized.select(*keys, "own", "n", F.explode_outer(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("gram"))
-    own, known = F.col("own"), F.col("gram").isNotNull()
-    counted = grams.groupBy(*keys, "n", "gram").agg(F.count_if(own & known).alias("c"), F.count_if(~own & known).alias("r"))
-    return counted.groupBy(*keys, "n").agg(
-        F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("candidates"), F.sum("r").alias("references")
-    )
+    none = F.array().cast("array<string>")
+    split = lambda c: F.coalesce(words(normalise(F.col(c))), none)
+    of = lambda w: F.when(F.size(w) >= F.col("n"), F.transform(F.sequence(F.lit(1), F.size(w) - F.col("n") + 1), lambda i: F.array_join(F.slice(w, i, F.col("n")), " "))).otherwise(none)
+    texts = pairs.select(*keys, split(candidate).alias("__a"), split(reference).alias("__b"), F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"))
+    listed = texts.select(*keys, "n", of(F.col("__a")).alias("__a"), of(F.col("__b")).alias("__b")).select("*", F.array_intersect("__a", "__b").alias("__s"))
+    sizes = listed.select(*keys, "n", F.size("__a").cast("long").alias("candidates"), F.size("__b").cast("long").alias("references"))
+    held = lambda c: F.filter(c, lambda g: F.array_contains("__s", g))
+    sides = listed.select(*keys, "n", F.explode(F.array(F.struct(F.lit(True).alias("own"), held("__a").alias("g")), F.struct(F.lit(False).alias("own"), held("__b").alias("g")))).alias("s"))
+    grams = sides.select(*keys, "n", "s.own", F.explode("s.g").alias("gram"))
+    own = F.col("own")
+    counted = grams.groupBy(*keys, "n", "gram").agg(F.count_if(own).alias("c"), F.count_if(~own).alias("r"))
+    met = counted.select(*keys, "n", F.least("c", "r").alias("matched"), F.lit(0).cast("long").alias("candidates"), F.lit(0).cast("long").alias("references"))
+    both = sizes.select(*keys, "n", F.lit(0).cast("long").alias("matched"), "candidates", "references").unionByName(met)
+    return both.groupBy(*keys, "n").agg(*[F.sum(c).alias(c) for c in ("matched", "candidates", "references")])
 
 
 def _of(n: int, name: str) -> Column:

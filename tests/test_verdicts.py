@@ -137,3 +137,11 @@ def test_corpus_bleu_leaves_out_reference_grams_its_candidate_lacks(spark):
     texts = spark.createDataFrame([(1, ["a", "b"], [["a", "b", "x", "y", "a"], ["z"]])], "id long, __c array<string>, __r array<array<string>>")
     got = sorted((r["n"], r["side"], r["gram"]) for r in overlap.held_grams(texts, ["id"], 2).collect())
     assert got == [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (1, 1, "a"), (1, 1, "b"), (2, 0, "a b"), (2, 1, "a b")]
+
+
+def test_gram_matches_count_totals_and_shared_grams_only(spark):
+    pairs = spark.createDataFrame([(1, "a b a c", "a a d"), (None, "x y", None)], "k long, a string, b string")
+    got = sorted((tuple(r) for r in overlap.gram_matches(pairs, ["k"], "a", "b", 2).collect()), key=str)
+    assert got == sorted([(1, 1, 2, 4, 3), (1, 2, 0, 3, 2), (None, 1, 0, 2, 0), (None, 2, 0, 1, 0)], key=str)
+    plan = overlap.gram_matches(pairs, ["k"], "a", "b", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan
