@@ -81,6 +81,20 @@ def test_jaccard_repeated_id_joins_its_texts(spark):
     assert got == {(7, 3), (3, 3), (9, 3), (4, 4)}
 
 
+def test_near_copies_cost_as_one_text(spark):
+    """Of forty copies with a word of their own each, one prefix goes on, and a set of other size is still found."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(40)] + [(100, " ".join(base[:170])), (101, " ".join(f"v{i}" for i in range(90)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.selectExpr("doc_id id", "text __text")
+    described = jaccard._described(texts, 3, 8, 10, jaccard._counter_levels(texts, 3)).cache()
+    assert described.selectExpr("sum(size(prefix))").first()[0] > 40 * 38
+    assert jaccard._heads(described, jaccard._clusters(described)).count() < 5 * 40
+    described.unpersist()
+    got = {x.doc_id: x.component_id for x in jaccard.similar_groups(docs, n=3, num=8, den=10).collect()}
+    assert got == {i: 0 for i, _ in rows} | {101: 101}
+
+
 @pytest.fixture(scope="module")
 def vectors():
     r = np.random.RandomState(4)
