@@ -104,6 +104,22 @@ def test_unlike_texts_under_one_id_stay(spark):
     assert corpus_pipeline.near_copies_stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_few_dropped_documents_shuffle_no_texts(spark, monkeypatch):
+    p = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, p), (2, p + " end"), (3, "other"), (3, "other"), (3, "third")], "doc_id long, text string")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = corpus_pipeline.near_copies_stage(spark, docs, "")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((x.doc_id, x.text) for x in got.collect())
+    finally:
+        spark.conf.set(threshold, before)
+    assert found == [(1, p), (3, "other"), (3, "third")]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_run_does_all_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder[0])
     assert corpus_pipeline.ORACLE_SQL is None and got.select("sequence_id").distinct().count() == got.count() > 0
