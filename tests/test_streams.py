@@ -132,3 +132,20 @@ def test_stream_audit_runs_in_a_session_with_the_default_state_store(spark):
     want = rate_audit(spark.createDataFrame([(i, BASE + dt.timedelta(seconds=s), k, t) for i, s, k, t in rows], SCHEMA), ["key"], "ts", "id", F.col("tok"), 60, 3, 9)
     table = lambda df: sorted(str(tuple(r)) for r in df.select("id", "key", "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history").collect())
     assert table(got) == table(want) and len(table(got)) == 12
+
+
+def test_stream_audit_deals_many_keys_into_few_groups(spark):
+    root = fresh_folder(spark, "b")
+    rows = [(i, (i * 37) % 300, None if i % 41 == 0 else f"k{i % 40}", i % 4) for i in range(900)]
+    put(spark, f"{root}/in", rows[:500])
+    put(spark, f"{root}/in", rows[500:])
+    put(spark, f"{root}/in", [(None, 4000, None, None)])
+    audit = rate_audit_stream(open_stream(spark, f"{root}/in"), ["key"], "ts", "id", F.col("tok"), 60, 3, 9, "500 seconds", buckets=2)
+    query = audit.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.read.schema(audit.schema).parquet(f"{root}/out")
+    want = rate_audit(spark.createDataFrame([(i, BASE + dt.timedelta(seconds=s), k, t) for i, s, k, t in rows], SCHEMA), ["key"], "ts", "id", F.col("tok"), 60, 3, 9)
+    table = lambda df: sorted(str(tuple(r)) for r in df.select("id", "key", "in_window", "tokens_in_window", "rpm_hit", "tpm_hit", "wait_s", "no_history").collect())
+    assert table(got) == table(want) and len(table(got)) == 900
+    state = [p["stateOperators"][0]["customMetrics"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(m.get("numRegisteredTimers", 0) for m in state) <= 2 * 2 * 6  # two buckets, six blocks, two files
