@@ -139,6 +139,36 @@ def test_corpus_bleu_leaves_out_reference_grams_its_candidate_lacks(spark):
     assert got == [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (1, 1, "a"), (1, 1, "b"), (2, 0, "a b"), (2, 1, "a b")]
 
 
+def test_corpus_bleu_counts_within_rows_and_pools_repeated_keys(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(7)
+    text = lambda most: " ".join(rng.choice("abcd") for _ in range(rng.randrange(most)))
+    rows = [(None if i % 9 == 0 else i % 50, "xy"[i % 50 % 2], text(30), [text(20) for _ in range(rng.randrange(1, 4))]) for i in range(80)]
+    rows += [(200, "x", "a b c d " * 5000, ["b c d a " * 4000, "d"])]  # in time that grows with the words
+    df = spark.createDataFrame(rows, "id int, g string, c string, rs array<string>").repartition(3)
+    begin = time.perf_counter()
+    got = {r["g"]: tuple(r)[1:] for r in overlap.corpus_bleu(df, ["id"], ["g"], "c", "rs").collect()}
+    assert time.perf_counter() - begin < 60
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for g in "xy":
+        own = [(i, c.split(), [r.split() for r in rs]) for i, k, c, rs in rows if k == g]
+        total, nearest = sum(len(c) for _, c, _ in own), sum(min((abs(len(r) - len(c)), len(r)) for r in rs)[1] for _, c, rs in own)
+        log = 0.0
+        for n in range(1, 5):
+            sides = {}
+            for i, c, rs in own:
+                of = sides.setdefault(i, [Counter()])
+                of[0] += grams(c, n)
+                for k, r in enumerate(rs, 1):
+                    of += [Counter()] * (k + 1 - len(of))
+                    of[k] = of[k] + Counter({x: t for x, t in grams(r, n).items() if x in grams(c, n)})
+            matched = sum(min(t, max([s[x] for s in of[1:]])) for of in sides.values() for x, t in of[0].items())
+            log += math.log(matched / sum(sum(of[0].values()) for of in sides.values())) / 4
+        assert got[g] == (total, nearest, pytest.approx((1 if total > nearest else math.exp(1 - nearest / total)) * math.exp(log)))
+
+
 def test_gram_matches_count_totals_and_shared_grams_only(spark):
     pairs = spark.createDataFrame([(1, "a b a c", "a a d"), (None, "x y", None)], "k long, a string, b string")
     got = sorted((tuple(r) for r in overlap.gram_matches(pairs, ["k"], "a", "b", 2).collect()), key=str)
